@@ -17,12 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-RINGS_DDL = "array<array<struct<x:double,y:double>>>"
-GEOMETRY_DDL = (
-    f"struct<rings:{RINGS_DDL},xmin:double,ymin:double,"
-    "xmax:double,ymax:double,valid:boolean>"
-)
+POINT_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+RINGS_TYPE = T.ArrayType(T.ArrayType(POINT_TYPE))
 
 # Areas closer than this share of the smaller polygon count as equal; it only
 # absorbs rounding of the edge sums.

@@ -8,8 +8,6 @@ doubles.  A user with real layers passes a dict of DataFrames instead (see
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.validity import with_geometry
 from ..sources.layers import write_layer
+from ..sources.storage import working_folder
 
 # State codes by column of the 5x5 county grid.
 STATE_CODES = ["48", "12", "22", "05", "01"]
@@ -110,7 +109,7 @@ def _zcta(t):
     return t("nation").select(
         F.lpad(n.cast("string"), 5, "0").alias("GEOID"),
         state_of(n % 5).alias("STATEFP"),
-        square((n % 5) * F.lit(4.0) - 1.0, F.floor(n / 5) * F.lit(4.0) - 1.0, 4.0).alias(
+        square((n % 5) * F.lit(4.0) - 1.25, F.floor(n / 5) * F.lit(4.0) - 1.25, 4.0).alias(
             "rings"
         ),
     )
@@ -307,14 +306,6 @@ POLYGON_KEYS = {
 }
 
 
-def working_folder(spark: SparkSession) -> str:
-    """Shared folder of the session; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "tidegrid")
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
 class DerivedLayers(Mapping):
     """Layer name -> DataFrame, made on first use; base tables via ``table``.
 

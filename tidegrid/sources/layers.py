@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators.validity import with_geometry
 
-# Fixed value: file-name suffix of the three-state extract.
-EXTRACT_SUFFIX = "_tx_fl_la"
+# File-name suffixes of the three-state extract.
+EXTRACT_SUFFIXES = ("_tx_fl_la", "_TX_FL_LA")
 
 
 def layer_name(path: str) -> str:
     """Logical name of a layer file or directory."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
-    return name.removesuffix(".parquet").removesuffix(EXTRACT_SUFFIX)
+    name = name.removesuffix(".parquet")
+    for suffix in EXTRACT_SUFFIXES:
+        name = name.removesuffix(suffix)
+    return name
 
 
 # -- WKB ---------------------------------------------------------------------
@@ -67,7 +70,7 @@ def _rings_from_wkb(data: bytes | None):
     return geometry(0)[0]
 
 
-@F.pandas_udf(g.RINGS_DDL)
+@F.pandas_udf(g.RINGS_TYPE)
 def rings_from_wkb(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Decode a binary WKB column to oriented rings."""
     for batch in values:
