@@ -1,4 +1,4 @@
-"""Planar geometry as Column expressions.
+"""Planar geometry as SQL expressions.
 
 A polygon (or multipolygon) travels as one struct column::
 
@@ -11,6 +11,10 @@ counter-clockwise, holes clockwise.  With that convention every measure below
 is a sum over directed edges, so holes and several parts need no special case.
 Everything stays in the JVM; all coordinates are used as they are (lon/lat
 degrees, so areas are square degrees).
+
+The ``*_sql`` functions take and return expression text, to be put together
+and parsed once; the others take column names (or expressions) and return a
+Column.
 """
 
 from __future__ import annotations
@@ -21,488 +25,500 @@ from pyspark.sql import types as T
 
 POINT_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RINGS_TYPE = T.ArrayType(T.ArrayType(POINT_TYPE))
+BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
 # Areas closer than this share of the smaller polygon count as equal; it only
 # absorbs rounding of the edge sums.
-AREA_TOLERANCE = 1e-9
-
-_ZERO = 0.0
+AREA_TOLERANCE = "1e-9D"
 
 
 # -- building blocks ---------------------------------------------------------
 
-def ring_edges(ring: Column) -> Column:
+def ring_edges_sql(ring: str) -> str:
     """Directed edges of one closed ring as array<struct<ax,ay,bx,by>>."""
-    n = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(ring, 1, n),
-        F.slice(ring, 2, n),
-        lambda p, q: F.struct(
-            p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")
-        ),
+    n = f"greatest(size({ring}) - 1, 0)"
+    return (
+        f"zip_with(slice({ring}, 1, {n}), slice({ring}, 2, {n}), (u_, v_) ->"
+        " named_struct('ax', u_.x, 'ay', u_.y, 'bx', v_.x, 'by', v_.y))"
     )
 
 
-def edges(rings: Column) -> Column:
+def edges_sql(rings: str) -> str:
     """Directed edges of all rings in one flat array."""
-    return F.flatten(F.transform(rings, ring_edges))
+    return f"flatten(transform({rings}, r_ -> {ring_edges_sql('r_')}))"
 
 
-def ring_starts(rings: Column) -> Column:
+def starts_sql(rings: str) -> str:
     """First vertex of every non-empty ring."""
-    return F.transform(F.filter(rings, lambda r: F.size(r) > 0), lambda r: r[0])
+    return f"transform(filter({rings}, r_ -> size(r_) > 0), r_ -> r_[0])"
 
 
-def orient(ax, ay, bx, by, px, py) -> Column:
-    """Twice the signed area of (a, b, p); positive when p is left of a->b."""
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+def orient_sql(s: str, x: str, y: str) -> str:
+    """Twice the signed area of an edge and a point; positive when it is to the left."""
+    return f"(({s}.bx - {s}.ax) * ({y} - {s}.ay) - ({s}.by - {s}.ay) * ({x} - {s}.ax))"
 
 
-def _fold(items: Column, term) -> Column:
-    return F.aggregate(items, F.lit(_ZERO), lambda acc, e: acc + term(e))
+def _sum_sql(items: str, var: str, term: str) -> str:
+    return f"aggregate({items}, 0D, (sum_{var}, {var}) -> sum_{var} + {term})"
 
 
-def edges_area(es: Column) -> Column:
-    """Enclosed area from directed edges (trapezoids above a local base line)."""
-    base = F.coalesce(es[0]["ay"], F.lit(_ZERO))
-    return F.abs(
-        _fold(es, lambda e: (e["ax"] - e["bx"]) * ((e["ay"] - base) + (e["by"] - base)) / 2.0)
-    )
+def area_sql(edges: str) -> str:
+    """Enclosed area of an edge array: trapezoids above the first corner."""
+    base = f"coalesce({edges}[0].ay, 0D)"
+    term = f"(t_.ax - t_.bx) * ((t_.ay - {base}) + (t_.by - {base})) / 2D"
+    return f"abs({_sum_sql(edges, 't_', term)})"
+
+
+def ring_area_sql(ring: str) -> str:
+    """Signed area of one ring, positive when counter-clockwise."""
+    return _sum_sql(ring_edges_sql(ring), "t_", "(t_.ax - t_.bx) * (t_.ay + t_.by) / 2D")
+
 
+def polygon_area_sql(geom: str) -> str:
+    term = f"(t_.ax - t_.bx) * (t_.ay + t_.by - 2D * {geom}.ymin) / 2D"
+    return f"abs({_sum_sql(edges_sql(f'{geom}.rings'), 't_', term)})"
 
-def polygon_area(geom: Column) -> Column:
+
+def polygon_area(geom: str) -> Column:
     """Planar area with holes taken out."""
-    return edges_area(edges(geom["rings"]))
-
-
-def rings_bound(rings: Column, axis: str, highest: bool) -> Column:
-    values = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p[axis])))
-    return F.array_max(values) if highest else F.array_min(values)
-
-
-def make_polygon(rings: Column, valid: Column) -> Column:
-    """Geometry struct from rings and a validity flag; give ``rings`` as a plain
-    column, since it is looked at once per bound."""
-    return F.when(
-        rings.isNotNull(),
-        F.struct(
-            rings.alias("rings"),
-            rings_bound(rings, "x", False).alias("xmin"),
-            rings_bound(rings, "y", False).alias("ymin"),
-            rings_bound(rings, "x", True).alias("xmax"),
-            rings_bound(rings, "y", True).alias("ymax"),
-            valid.alias("valid"),
-        ),
-    )
+    return F.expr(polygon_area_sql(geom))
 
 
-def envelope(geom: Column) -> Column:
-    """Bounding rectangle as struct<xmin,ymin,xmax,ymax>."""
-    return F.struct(*[geom[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+def geometry_sql(rings: str, valid: str) -> str:
+    """Geometry struct from a rings column and a validity flag."""
 
+    def bound(fn, c):
+        return f"{fn}(flatten(transform({rings}, r_ -> transform(r_, p_ -> p_.{c}))))"
 
-def signed_ring_area(ring: Column) -> Column:
-    return _fold(
-        ring_edges(ring), lambda e: (e["ax"] - e["bx"]) * (e["ay"] + e["by"]) / 2.0
+    return (
+        f"CASE WHEN {rings} IS NOT NULL THEN named_struct('rings', {rings},"
+        f" 'xmin', {bound('array_min', 'x')}, 'ymin', {bound('array_min', 'y')},"
+        f" 'xmax', {bound('array_max', 'x')}, 'ymax', {bound('array_max', 'y')},"
+        f" 'valid', {valid}) END"
     )
 
 
-def orient_rings(rings: Column) -> Column:
+def make_polygon(rings: str, valid: str) -> Column:
+    """Geometry struct; give ``rings`` as a plain column, it is used once per bound."""
+    return F.expr(geometry_sql(rings, valid))
+
+
+def envelope(geom: str) -> Column:
+    """Bounding rectangle as struct<xmin,ymin,xmax,ymax>."""
+    return F.struct(*[F.col(geom)[c].alias(c) for c in BOUNDS])
+
+
+def orient_rings_sql(rings: str) -> str:
     """First ring counter-clockwise, the others clockwise (one part, with holes)."""
-    return F.transform(
-        rings,
-        lambda r, i: F.when((signed_ring_area(r) > 0) == (i == 0), r).otherwise(F.reverse(r)),
+    return (
+        f"transform({rings}, (r_, i_) ->"
+        f" CASE WHEN ({ring_area_sql('r_')} > 0) = (i_ = 0) THEN r_ ELSE reverse(r_) END)"
     )
 
 
 # -- points against polygons -------------------------------------------------
 
-def _on_edge(e: Column, x: Column, y: Column) -> Column:
+def on_boundary_sql(edges: str, x: str, y: str) -> str:
     return (
-        (orient(e["ax"], e["ay"], e["bx"], e["by"], x, y) == 0)
-        & (x >= F.least(e["ax"], e["bx"]))
-        & (x <= F.greatest(e["ax"], e["bx"]))
-        & (y >= F.least(e["ay"], e["by"]))
-        & (y <= F.greatest(e["ay"], e["by"]))
+        f"exists({edges}, b_ -> {orient_sql('b_', x, y)} = 0"
+        f" AND {x} BETWEEN least(b_.ax, b_.bx) AND greatest(b_.ax, b_.bx)"
+        f" AND {y} BETWEEN least(b_.ay, b_.by) AND greatest(b_.ay, b_.by))"
     )
 
 
-def on_boundary(es: Column, x: Column, y: Column) -> Column:
-    return F.exists(es, lambda e: _on_edge(e, x, y))
-
-
-def winding(es: Column, x: Column, y: Column) -> Column:
+def winding_sql(edges: str, x: str, y: str) -> str:
     """Winding number; holes run the other way round and cancel."""
-
-    def turn(e):
-        side = orient(e["ax"], e["ay"], e["bx"], e["by"], x, y)
-        return (
-            F.when((e["ay"] <= y) & (e["by"] > y) & (side > 0), F.lit(1))
-            .when((e["by"] <= y) & (e["ay"] > y) & (side < 0), F.lit(-1))
-            .otherwise(F.lit(0))
-        )
-
-    return F.aggregate(es, F.lit(0), lambda acc, e: acc + turn(e))
+    side = orient_sql("w_", x, y)
+    return (
+        f"aggregate({edges}, 0, (turns_, w_) -> turns_ + CASE"
+        f" WHEN w_.ay <= {y} THEN CASE WHEN w_.by > {y} AND {side} > 0 THEN 1 ELSE 0 END"
+        f" WHEN w_.by <= {y} AND {side} < 0 THEN -1 ELSE 0 END)"
+    )
 
 
-def edges_contain(es: Column, x: Column, y: Column) -> Column:
+def contains_sql(edges: str, x: str, y: str) -> str:
     """Strictly inside; a point on the boundary is outside."""
-    return (winding(es, x, y) != 0) & ~on_boundary(es, x, y)
+    return f"({winding_sql(edges, x, y)} <> 0 AND NOT {on_boundary_sql(edges, x, y)})"
 
 
-def edges_cover(es: Column, x: Column, y: Column) -> Column:
+def covers_sql(edges: str, x: str, y: str) -> str:
     """Inside or on the boundary."""
-    return (winding(es, x, y) != 0) | on_boundary(es, x, y)
+    return f"({winding_sql(edges, x, y)} <> 0 OR {on_boundary_sql(edges, x, y)})"
 
 
-def contains_xy(geom: Column, x: Column, y: Column) -> Column:
+def contains_xy(geom: str, x: str, y: str) -> Column:
     """The polygon strictly contains the point (x, y)."""
-    return (
-        (x > geom["xmin"]) & (x < geom["xmax"]) & (y > geom["ymin"]) & (y < geom["ymax"])
-        & edges_contain(edges(geom["rings"]), x, y)
+    return F.expr(
+        f"{x} > {geom}.xmin AND {x} < {geom}.xmax AND {y} > {geom}.ymin AND {y} < {geom}.ymax"
+        f" AND {contains_sql(edges_sql(f'{geom}.rings'), x, y)}"
     )
 
 
 # -- polygons against polygons -----------------------------------------------
 
-def boxes_meet(a: Column, b: Column) -> Column:
+class Shape:
+    """Names of the parts of one polygon operand: edges, ring starts and bounds."""
+
+    def __init__(self, edges: str, starts: str, xmin: str, ymin: str, xmax: str, ymax: str):
+        self.edges, self.starts = edges, starts
+        self.xmin, self.ymin, self.xmax, self.ymax = xmin, ymin, xmax, ymax
+
+    @classmethod
+    def of(cls, geom: str) -> Shape:
+        return cls(
+            edges_sql(f"{geom}.rings"), starts_sql(f"{geom}.rings"),
+            *[f"{geom}.{c}" for c in BOUNDS],
+        )
+
+    @property
+    def area(self) -> str:
+        return area_sql(self.edges)
+
+
+def boxes_meet_sql(a: Shape, b: Shape) -> str:
     return (
-        (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"])
-        & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
+        f"({a.xmin} <= {b.xmax} AND {b.xmin} <= {a.xmax}"
+        f" AND {a.ymin} <= {b.ymax} AND {b.ymin} <= {a.ymax})"
     )
 
 
-def segments_meet(e: Column, f: Column) -> Column:
+def _apart_sql(e: str, f: str) -> str:
+    """Sign of the sides on which the ends of e lie seen from f: negative when
+    on different sides, zero when one is on the line, positive when on one side."""
+    return (
+        f"(signum({orient_sql(f, f'{e}.ax', f'{e}.ay')})"
+        f" * signum({orient_sql(f, f'{e}.bx', f'{e}.by')}))"
+    )
+
+
+def segments_meet_sql(e: str, f: str) -> str:
     """Closed segments share at least one point."""
-    d1 = orient(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"])
-    d2 = orient(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"])
-    d3 = orient(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"])
-    d4 = orient(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
+
+    def ranges(a, b):
+        return (
+            f"least({e}.{a}, {e}.{b}) <= greatest({f}.{a}, {f}.{b})"
+            f" AND least({f}.{a}, {f}.{b}) <= greatest({e}.{a}, {e}.{b})"
+        )
+
     return (
-        (F.least(e["ax"], e["bx"]) <= F.greatest(f["ax"], f["bx"]))
-        & (F.least(f["ax"], f["bx"]) <= F.greatest(e["ax"], e["bx"]))
-        & (F.least(e["ay"], e["by"]) <= F.greatest(f["ay"], f["by"]))
-        & (F.least(f["ay"], f["by"]) <= F.greatest(e["ay"], e["by"]))
-        & ~(((d1 > 0) & (d2 > 0)) | ((d1 < 0) & (d2 < 0)))
-        & ~(((d3 > 0) & (d4 > 0)) | ((d3 < 0) & (d4 < 0)))
+        f"({ranges('ax', 'bx')} AND {ranges('ay', 'by')}"
+        f" AND {_apart_sql(e, f)} <= 0 AND {_apart_sql(f, e)} <= 0)"
     )
 
 
-def _edges_in_box(es: Column, box: Column) -> Column:
-    return F.filter(
-        es,
-        lambda e: (F.least(e["ax"], e["bx"]) <= box["xmax"])
-        & (F.greatest(e["ax"], e["bx"]) >= box["xmin"])
-        & (F.least(e["ay"], e["by"]) <= box["ymax"])
-        & (F.greatest(e["ay"], e["by"]) >= box["ymin"]),
+def _edges_in_box_sql(edges: str, var: str, box: Shape) -> str:
+    return (
+        f"filter({edges}, {var} -> least({var}.ax, {var}.bx) <= {box.xmax}"
+        f" AND greatest({var}.ax, {var}.bx) >= {box.xmin}"
+        f" AND least({var}.ay, {var}.by) <= {box.ymax}"
+        f" AND greatest({var}.ay, {var}.by) >= {box.ymin})"
     )
 
 
-def edges_intersect(a: Column, ea: Column, sa: Column, b: Column, eb: Column, sb: Column) -> Column:
+def intersects_sql(a: Shape, b: Shape) -> str:
     """Any shared point.  Cheap tests first: a ring start of one polygon inside
     the other, then edge pairs, looking only at edges inside the other's box."""
+    near_a, near_b = _edges_in_box_sql(a.edges, "e_", b), _edges_in_box_sql(b.edges, "f_", a)
     return (
-        boxes_meet(a, b)
-        & (
-            F.exists(sb, lambda p: edges_cover(ea, p["x"], p["y"]))
-            | F.exists(sa, lambda p: edges_cover(eb, p["x"], p["y"]))
-            | F.exists(
-                _edges_in_box(ea, b),
-                lambda e: F.exists(_edges_in_box(eb, a), lambda f: segments_meet(e, f)),
-            )
-        )
+        f"({boxes_meet_sql(a, b)}"
+        f" AND (exists({b.starts}, p_ -> {covers_sql(a.edges, 'p_.x', 'p_.y')})"
+        f" OR exists({a.starts}, p_ -> {covers_sql(b.edges, 'p_.x', 'p_.y')})"
+        f" OR exists({near_a}, e_ -> exists({near_b}, f_ -> {segments_meet_sql('e_', 'f_')}))))"
     )
 
 
-def intersects(a: Column, b: Column) -> Column:
-    """The polygons share at least one point; touching counts."""
-    return edges_intersect(
-        a, edges(a["rings"]), ring_starts(a["rings"]),
-        b, edges(b["rings"]), ring_starts(b["rings"]),
-    )
+def _under_both_sql(lo: str, hi: str, base: str) -> str:
+    """Signed area between base and the lower of edges e_ and f_ over [lo, hi].
 
-
-def _pair_area(e: Column, f: Column, x0: Column, x1: Column, base: Column) -> Column:
-    """Signed area under min(e, f) over their common x range within [x0, x1]."""
-    lo = F.greatest(F.least(e["ax"], e["bx"]), F.least(f["ax"], f["bx"]), x0)
-    hi = F.least(F.greatest(e["ax"], e["bx"]), F.greatest(f["ax"], f["bx"]), x1)
-    width = hi - lo
+    Straight piece from both ends; where the edges cross, the lower one changes
+    at distance c from lo and the area is that of two pieces.
+    """
 
     def height(s, x):
-        return (s["ay"] - base) + (x - s["ax"]) * (s["by"] - s["ay"]) / (s["bx"] - s["ax"])
-
-    e0, e1, f0, f1 = height(e, lo), height(e, hi), height(f, lo), height(f, hi)
-    m0, m1 = F.least(e0, f0), F.least(e1, f1)
-    gap0, gap1 = e0 - f0, e1 - f1
-    # distance from lo to the crossing, and the height there
-    cut = gap0 * width / (gap0 - gap1)
-    mid = e0 + cut * ((e1 - e0) / width)
-    crosses = ((gap0 > 0) & (gap1 < 0)) | ((gap0 < 0) & (gap1 > 0))
-    under = F.when(
-        crosses, (m0 + mid) * cut / 2.0 + (mid + m1) * (width - cut) / 2.0
-    ).otherwise((m0 + m1) * width / 2.0)
-    sign = F.when((e["ax"] > e["bx"]) == (f["ax"] > f["bx"]), F.lit(1.0)).otherwise(F.lit(-1.0))
-    return F.when(lo < hi, sign * under).otherwise(F.lit(_ZERO))
-
-
-def edges_overlap_area(a: Column, ea: Column, b: Column, eb: Column) -> Column:
+        return f"({s}.ay - {base} + ({x} - {s}.ax) * ({s}.by - {s}.ay) / ({s}.bx - {s}.ax))"
+
+    ends = (
+        f"named_struct('w', {hi} - {lo}, 'e0', {height('e_', lo)}, 'e1', {height('e_', hi)},"
+        f" 'f0', {height('f_', lo)}, 'f1', {height('f_', hi)})"
+    )
+    m0, m1 = "least(h_.e0, h_.f0)", "least(h_.e1, h_.f1)"
+    cut = "((h_.e0 - h_.f0) * h_.w / ((h_.e0 - h_.f0) - (h_.e1 - h_.f1)))"
+    mid = f"(h_.e0 + {cut} * ((h_.e1 - h_.e0) / h_.w))"
+    area = (
+        "CASE WHEN signum(h_.e0 - h_.f0) * signum(h_.e1 - h_.f1) < 0"
+        f" THEN ({m0} + {mid}) * {cut} / 2D + ({mid} + {m1}) * (h_.w - {cut}) / 2D"
+        f" ELSE ({m0} + {m1}) * h_.w / 2D END"
+    )
+    # a one-element transform names the heights, so each is worked out once
+    return f"transform(array({ends}), h_ -> {area})[0]"
+
+
+def overlap_area_sql(a: Shape, b: Shape) -> str:
     """area(A and B) without clipping: over all pairs of directed edges, the
     signed area under the lower of the two.  Edges outside the common x range,
     or wholly below the other polygon, cannot contribute and are left out."""
-    x0, x1 = F.greatest(a["xmin"], b["xmin"]), F.least(a["xmax"], b["xmax"])
-    base = F.greatest(a["ymin"], b["ymin"])
-
-    def relevant(es):
-        return F.filter(
-            es,
-            lambda e: (e["ax"] != e["bx"])
-            & (F.least(e["ax"], e["bx"]) < x1)
-            & (F.greatest(e["ax"], e["bx"]) > x0)
-            & (F.greatest(e["ay"], e["by"]) > base),
+    x0, x1 = f"greatest({a.xmin}, {b.xmin})", f"least({a.xmax}, {b.xmax})"
+    base = f"greatest({a.ymin}, {b.ymin})"
+
+    def relevant(edges, v):
+        return (
+            f"filter({edges}, {v} -> {v}.ax <> {v}.bx AND least({v}.ax, {v}.bx) < {x1}"
+            f" AND greatest({v}.ax, {v}.bx) > {x0} AND greatest({v}.ay, {v}.by) > {base})"
         )
 
-    total = _fold(
-        relevant(ea),
-        lambda e: _fold(relevant(eb), lambda f: _pair_area(e, f, x0, x1, base)),
+    lo = f"greatest(least(e_.ax, e_.bx), least(f_.ax, f_.bx), {x0})"
+    hi = f"least(greatest(e_.ax, e_.bx), greatest(f_.ax, f_.bx), {x1})"
+    pair = (
+        f"CASE WHEN {lo} < {hi} THEN"
+        f" CASE WHEN (e_.ax > e_.bx) = (f_.ax > f_.bx) THEN 1D ELSE -1D END"
+        f" * {_under_both_sql(lo, hi, base)} ELSE 0D END"
+    )
+    total = _sum_sql(relevant(a.edges, "e_"), "e_", _sum_sql(relevant(b.edges, "f_"), "f_", pair))
+    return (
+        f"CASE WHEN {x0} < {x1} AND {base} < least({a.ymax}, {b.ymax})"
+        f" THEN greatest({total}, 0D) ELSE 0D END"
     )
-    met = (x0 < x1) & (base < F.least(a["ymax"], b["ymax"]))
-    return F.when(met, F.greatest(total, F.lit(_ZERO))).otherwise(F.lit(_ZERO))
 
 
-def intersection_area(a: Column, b: Column) -> Column:
-    """Area shared by two valid polygons."""
-    return edges_overlap_area(a, edges(a["rings"]), b, edges(b["rings"]))
+def _all_of(part: str, whole: str) -> str:
+    return f"({part} >= {whole} * (1D - {AREA_TOLERANCE}))"
 
 
-def area_at_least(part: Column, whole: Column) -> Column:
-    return part >= whole * (1.0 - AREA_TOLERANCE)
+def _none_of(part: str, a: Shape, b: Shape) -> str:
+    return f"({part} <= least({a.area}, {b.area}) * {AREA_TOLERANCE})"
 
 
-def area_is_zero(part: Column, area_a: Column, area_b: Column) -> Column:
-    return part <= F.least(area_a, area_b) * AREA_TOLERANCE
+def predicate_sql(predicate: str, a: Shape, b: Shape, shared: str | None = None) -> str:
+    """Polygon predicate by name; ``shared`` may give area(A and B) if known.
 
+    contains    all of B lies in A          within   all of A lies in B
+    intersects  any shared point            equals   same point set
+    overlaps    interiors meet, neither covers the other
+    touches     boundaries meet, interiors do not
+    """
+    if predicate == "intersects":
+        return intersects_sql(a, b)
+    shared = shared or overlap_area_sql(a, b)
+    if predicate == "contains":
+        return f"({boxes_meet_sql(a, b)} AND {_all_of(shared, b.area)})"
+    if predicate == "within":
+        return f"({boxes_meet_sql(a, b)} AND {_all_of(shared, a.area)})"
+    if predicate == "equals":
+        return (
+            f"({boxes_meet_sql(a, b)}"
+            f" AND {_all_of(shared, f'greatest({a.area}, {b.area})')})"
+        )
+    if predicate == "overlaps":
+        smaller = f"least({a.area}, {b.area})"
+        return f"(NOT {_none_of(shared, a, b)} AND NOT {_all_of(shared, smaller)})"
+    if predicate == "touches":
+        return f"({_none_of(shared, a, b)} AND {intersects_sql(a, b)})"
+    raise ValueError(f"unknown spatial predicate {predicate!r}")
 
-def overlaps(a: Column, b: Column) -> Column:
-    """Interiors meet and neither covers the other."""
-    shared, aa, ab = intersection_area(a, b), polygon_area(a), polygon_area(b)
-    return ~area_is_zero(shared, aa, ab) & ~area_at_least(shared, F.least(aa, ab))
 
+def intersection_area(a: str, b: str) -> Column:
+    """Area shared by two valid polygons."""
+    return F.expr(overlap_area_sql(Shape.of(a), Shape.of(b)))
 
-def touches(a: Column, b: Column) -> Column:
-    """Boundaries meet, interiors do not."""
-    return intersects(a, b) & area_is_zero(
-        intersection_area(a, b), polygon_area(a), polygon_area(b)
-    )
 
+def _predicate(name: str, a: str, b: str) -> Column:
+    return F.expr(predicate_sql(name, Shape.of(a), Shape.of(b)))
 
-def contains_polygon(a: Column, b: Column) -> Column:
-    """All of B lies in A."""
-    return boxes_meet(a, b) & area_at_least(intersection_area(a, b), polygon_area(b))
 
+def intersects(a: str, b: str) -> Column:
+    return _predicate("intersects", a, b)
 
-def within_polygon(a: Column, b: Column) -> Column:
-    return contains_polygon(b, a)
 
+def overlaps(a: str, b: str) -> Column:
+    return _predicate("overlaps", a, b)
 
-def equals(a: Column, b: Column) -> Column:
-    """Same point set."""
-    shared = intersection_area(a, b)
-    return (
-        boxes_meet(a, b)
-        & area_at_least(shared, polygon_area(a))
-        & area_at_least(shared, polygon_area(b))
-    )
 
+def touches(a: str, b: str) -> Column:
+    return _predicate("touches", a, b)
 
-def crosses(a: Column, b: Column) -> Column:
-    """Two areas never cross in the OGC sense (that needs a line)."""
-    return F.when(a.isNotNull() & b.isNotNull(), F.lit(False))
 
+def contains_polygon(a: str, b: str) -> Column:
+    return _predicate("contains", a, b)
 
-# -- distance ----------------------------------------------------------------
 
-def point_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+def within_polygon(a: str, b: str) -> Column:
+    return _predicate("within", a, b)
 
 
-def _point_edge_sq(e: Column, x: Column, y: Column) -> Column:
-    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-    length = dx * dx + dy * dy
-    along = (x - e["ax"]) * dx + (y - e["ay"]) * dy
-    t = F.when(
-        length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / length))
-    ).otherwise(F.lit(0.0))
-    px, py = e["ax"] + t * dx - x, e["ay"] + t * dy - y
-    return px * px + py * py
+def equals(a: str, b: str) -> Column:
+    return _predicate("equals", a, b)
 
 
-def _nearest(items: Column, measure) -> Column:
-    return F.aggregate(
-        items, F.lit(float("inf")), lambda acc, e: F.least(acc, measure(e))
-    )
+def crosses(a: str, b: str) -> Column:
+    """Two areas never cross in the OGC sense (that needs a line)."""
+    return F.expr(f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN false END")
+
+
+# -- distance ----------------------------------------------------------------
 
+def point_distance_sql(ax: str, ay: str, bx: str, by: str) -> str:
+    return f"sqrt(({ax} - {bx}) * ({ax} - {bx}) + ({ay} - {by}) * ({ay} - {by}))"
 
-def edges_point_distance(es: Column, x: Column, y: Column) -> Column:
-    return F.when(edges_cover(es, x, y), F.lit(0.0)).otherwise(
-        F.sqrt(_nearest(es, lambda e: _point_edge_sq(e, x, y)))
+
+def _to_edge_sql(edges: str, v: str, x: str, y: str) -> str:
+    """Squared distance from a point to the nearest of the edges."""
+    dx, dy = f"({v}.bx - {v}.ax)", f"({v}.by - {v}.ay)"
+    along = (
+        f"coalesce(greatest(0D, least(1D, try_divide(({x} - {v}.ax) * {dx} + ({y} - {v}.ay) * {dy},"
+        f" {dx} * {dx} + {dy} * {dy}))), 0D)"
+    )
+    gap_x, gap_y = f"({v}.ax + t_ * {dx} - {x})", f"({v}.ay + t_ * {dy} - {y})"
+    square = f"transform(array({along}), t_ -> {gap_x} * {gap_x} + {gap_y} * {gap_y})[0]"
+    return (
+        f"aggregate({edges}, CAST('Infinity' AS DOUBLE), (near_{v}, {v}) -> least(near_{v}, {square}))"
     )
 
 
-def distance_xy(geom: Column, x: Column, y: Column) -> Column:
+def point_polygon_distance_sql(edges: str, x: str, y: str) -> str:
     """Distance from a point to a polygon, zero inside."""
-    return edges_point_distance(edges(geom["rings"]), x, y)
+    return (
+        f"CASE WHEN {covers_sql(edges, x, y)} THEN 0D ELSE sqrt({_to_edge_sql(edges, 'd_', x, y)}) END"
+    )
+
 
+def distance_sql(a: Shape, b: Shape) -> str:
+    """Smallest distance of two polygons, zero when they meet."""
 
-def edges_distance(a: Column, ea: Column, sa: Column, b: Column, eb: Column, sb: Column) -> Column:
     def one_way(es, fs):
-        return _nearest(
-            es, lambda e: _nearest(fs, lambda f: _point_edge_sq(f, e["ax"], e["ay"]))
+        nearest = _to_edge_sql(fs, "d_", "e_.ax", "e_.ay")
+        return (
+            f"aggregate({es}, CAST('Infinity' AS DOUBLE), (least_, e_) -> least(least_, {nearest}))"
         )
 
-    return F.when(edges_intersect(a, ea, sa, b, eb, sb), F.lit(0.0)).otherwise(
-        F.sqrt(F.least(one_way(ea, eb), one_way(eb, ea)))
+    return (
+        f"CASE WHEN {intersects_sql(a, b)} THEN 0D"
+        f" ELSE sqrt(least({one_way(a.edges, b.edges)}, {one_way(b.edges, a.edges)})) END"
     )
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Smallest distance of two polygons, zero when they meet."""
-    return edges_distance(
-        a, edges(a["rings"]), ring_starts(a["rings"]),
-        b, edges(b["rings"]), ring_starts(b["rings"]),
-    )
+def distance_xy(geom: str, x: str, y: str) -> Column:
+    return F.expr(point_polygon_distance_sql(edges_sql(f"{geom}.rings"), x, y))
 
 
-def dwithin(a: Column, b: Column, radius) -> Column:
-    return distance(a, b) <= F.lit(radius)
+def distance(a: str, b: str) -> Column:
+    return F.expr(distance_sql(Shape.of(a), Shape.of(b)))
 
 
-# -- validity ----------------------------------------------------------------
+def dwithin(a: str, b: str, radius: float) -> Column:
+    return distance(a, b) <= F.lit(float(radius))
 
-def same_point(p: Column, q: Column) -> Column:
-    return (p["x"] == q["x"]) & (p["y"] == q["y"])
 
+# -- validity ----------------------------------------------------------------
 
-def drop_repeats(ring: Column) -> Column:
-    """Ring without consecutive repeats of the same point."""
-    return F.filter(
-        ring, lambda p, i: (i == 0) | ~same_point(p, ring[F.greatest(i - 1, F.lit(0))])
+def clean_rings_sql(rings: str) -> str:
+    """Rings without consecutive repeats of the same point."""
+    return (
+        f"transform({rings}, r_ -> filter(r_, (p_, i_) -> i_ = 0"
+        " OR p_.x <> r_[greatest(i_ - 1, 0)].x OR p_.y <> r_[greatest(i_ - 1, 0)].y))"
     )
 
 
-def rings_closed(rings: Column) -> Column:
-    """Every ring is closed and has at least three distinct corners."""
-    return F.coalesce(
-        (F.size(rings) > 0)
-        & F.forall(
-            rings,
-            lambda r: (F.size(r) >= 4) & same_point(r[0], F.element_at(r, -1)),
-        ),
-        F.lit(False),
+def closed_sql(rings: str) -> str:
+    """There are rings, each closed and with at least three corners."""
+    return (
+        f"(coalesce(size({rings}), 0) > 0 AND forall({rings}, r_ -> size(r_) >= 4"
+        " AND r_[0].x = element_at(r_, -1).x AND r_[0].y = element_at(r_, -1).y))"
     )
 
 
-def numbered_edges(rings: Column) -> Column:
+def numbered_edges_sql(rings: str) -> str:
     """Edges with ring number, position and ring length, for validity checks."""
-    return F.flatten(
-        F.transform(
-            rings,
-            lambda r, k: F.transform(
-                ring_edges(r),
-                lambda e, i: F.struct(
-                    k.alias("ring"), i.alias("pos"), (F.size(r) - 1).alias("len"),
-                    e["ax"].alias("ax"), e["ay"].alias("ay"),
-                    e["bx"].alias("bx"), e["by"].alias("by"),
-                ),
-            ),
-        )
+    return (
+        f"flatten(transform({rings}, (r_, k_) -> transform({ring_edges_sql('r_')}, (e_, i_) ->"
+        " named_struct('ring', k_, 'pos', i_, 'len', size(r_) - 1,"
+        " 'ax', e_.ax, 'ay', e_.ay, 'bx', e_.bx, 'by', e_.by))))"
     )
 
 
-def _folds_back(e, f) -> Column:
-    """Consecutive edges run back over each other (a spike)."""
-    return (orient(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"]) == 0) & (
-        (e["bx"] - e["ax"]) * (f["bx"] - f["ax"]) + (e["by"] - e["ay"]) * (f["by"] - f["ay"]) < 0
-    )
+def later_sql(e: str, f: str) -> str:
+    """f comes after e in the numbering."""
+    return f"({f}.ring > {e}.ring OR ({f}.ring = {e}.ring AND {f}.pos > {e}.pos))"
 
 
-def _cut_properly(e, f) -> Column:
-    """Edges of different rings cross in their interiors or share a stretch;
-    meeting in a single point is allowed."""
-    d1 = orient(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"])
-    d2 = orient(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"])
-    d3 = orient(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"])
-    d4 = orient(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
-    cross = (((d1 > 0) & (d2 < 0)) | ((d1 < 0) & (d2 > 0))) & (
-        ((d3 > 0) & (d4 < 0)) | ((d3 < 0) & (d4 > 0))
-    )
+def clash_sql(e: str, f: str) -> str:
+    """Two different numbered edges that cannot both be in a valid polygon:
+    neighbours folding back, others of a ring meeting, rings cutting each other.
+    Rings may meet in single points, but not cross or share a stretch."""
+    ex, ey = f"({e}.bx - {e}.ax)", f"({e}.by - {e}.ay)"
+    fx, fy = f"({f}.bx - {f}.ax)", f"({f}.by - {f}.ay)"
+    parallel = f"{ex} * {fy} = {ey} * {fx}"
 
     def shared(a, b):
-        return F.least(F.greatest(e[a], e[b]), F.greatest(f[a], f[b])) - F.greatest(
-            F.least(e[a], e[b]), F.least(f[a], f[b])
+        return (
+            f"(least(greatest({e}.{a}, {e}.{b}), greatest({f}.{a}, {f}.{b}))"
+            f" - greatest(least({e}.{a}, {e}.{b}), least({f}.{a}, {f}.{b})))"
         )
 
     sx, sy = shared("ax", "bx"), shared("ay", "by")
-    stretch = (d1 == 0) & (d2 == 0) & (sx >= 0) & (sy >= 0) & ((sx > 0) | (sy > 0))
-    return cross | stretch
+    stretch = (
+        f"{parallel} AND {orient_sql(f, f'{e}.ax', f'{e}.ay')} = 0"
+        f" AND least({sx}, {sy}) >= 0 AND greatest({sx}, {sy}) > 0"
+    )
+    return (
+        f"CASE WHEN {e}.ring <> {f}.ring"
+        f" THEN ({_apart_sql(e, f)} < 0 AND {_apart_sql(f, e)} < 0) OR ({stretch})"
+        f" WHEN abs({e}.pos - {f}.pos) IN (1, {e}.len - 1)"
+        f" THEN {parallel} AND {ex} * {fx} + {ey} * {fy} < 0"
+        f" ELSE {segments_meet_sql(e, f)} END"
+    )
 
 
-def edges_clash(e, f) -> Column:
-    """Two numbered edges (e before f) that cannot both be in a valid polygon."""
-    next_to = F.when(f["pos"] == e["pos"] + 1, _folds_back(e, f)).otherwise(
-        F.when((e["pos"] == 0) & (f["pos"] == f["len"] - 1), _folds_back(f, e)).otherwise(
-            segments_meet(e, f)
-        )
+def holes_inside_sql(rings: str) -> str:
+    """Every corner of every hole lies in or on an outer ring."""
+    shells = f"filter({rings}, s_ -> {ring_area_sql('s_')} >= 0)"
+    return (
+        f"forall(filter({rings}, h_ -> {ring_area_sql('h_')} < 0), h_ ->"
+        f" forall(h_, p_ -> {covers_sql(edges_sql(shells), 'p_.x', 'p_.y')}))"
     )
-    return F.when(e["ring"] == f["ring"], next_to).otherwise(_cut_properly(e, f))
 
 
-def holes_inside(rings: Column) -> Column:
-    """Every corner of every hole lies in or on an outer ring."""
-    shells = F.flatten(F.transform(F.filter(rings, lambda r: signed_ring_area(r) >= 0), ring_edges))
-    return F.forall(
-        F.filter(rings, lambda r: signed_ring_area(r) < 0),
-        lambda r: F.forall(r, lambda p: edges_cover(shells, p["x"], p["y"])),
+def clashes_in_row_sql(edges: str) -> str:
+    """Some pair of the numbered edges of one row clashes."""
+    return (
+        f"exists({edges}, e_ -> exists({edges}, f_ -> {later_sql('e_', 'f_')}"
+        f" AND {clash_sql('e_', 'f_')}))"
     )
 
 
-def is_valid(rings: Column) -> Column:
+def shape_ok_sql(rings: str) -> str:
+    """The part of validity that looks at rings one by one."""
+    return f"({closed_sql(rings)} AND (size({rings}) = 1 OR {holes_inside_sql(rings)}))"
+
+
+def is_valid(rings: str) -> Column:
     """Rings closed, simple and not crossing, holes inside an outer ring.
 
-    Compares all edge pairs of one row, so it suits single small polygons; a
-    whole layer is checked by ``tidegrid.operators.validity.flag_valid``.
+    Compares all edge pairs of one row, so it suits small polygons; a whole
+    layer is checked by ``tidegrid.operators.validity.flag_valid``.
     """
-    clean = F.transform(rings, drop_repeats)
-    es = numbered_edges(clean)
-    clash = F.exists(
-        es,
-        lambda e: F.exists(
-            es,
-            lambda f: (
-                (f["ring"] > e["ring"]) | ((f["ring"] == e["ring"]) & (f["pos"] > e["pos"]))
-            )
-            & edges_clash(e, f),
-        ),
-    )
-    return F.coalesce(
-        rings_closed(clean) & ~clash & ((F.size(rings) == 1) | holes_inside(clean)), F.lit(False)
+    clean = clean_rings_sql(rings)
+    return F.expr(
+        f"coalesce({shape_ok_sql(clean)} AND NOT {clashes_in_row_sql(numbered_edges_sql(clean))}, false)"
     )
 
 
 # -- reprojection ------------------------------------------------------------
 
-# Web Mercator sphere radius in metres.
-EARTH_RADIUS = 6378137.0
+# Fixed value: Web Mercator sphere radius in metres.
+EARTH_RADIUS = 6378137
 
 
-def mercator_xy(lon: Column, lat: Column) -> Column:
+def mercator_sql(lon: str, lat: str) -> str:
     """lon/lat degrees to Mercator metres as struct<x,y>."""
-    return F.struct(
-        (F.radians(lon) * EARTH_RADIUS).alias("x"),
-        (F.log(F.tan(F.lit(3.141592653589793 / 4) + F.radians(lat) / 2)) * EARTH_RADIUS).alias("y"),
+    return (
+        f"named_struct('x', radians({lon}) * {EARTH_RADIUS}D,"
+        f" 'y', ln(tan(pi() / 4 + radians({lat}) / 2)) * {EARTH_RADIUS}D)"
     )
 
 
-def to_mercator(rings: Column) -> Column:
-    return F.transform(
-        rings, lambda r: F.transform(r, lambda p: mercator_xy(p["x"], p["y"]))
-    )
+def mercator_xy(lon: str, lat: str) -> Column:
+    return F.expr(mercator_sql(lon, lat))
+
+
+def to_mercator(rings: str) -> Column:
+    return F.expr(f"transform({rings}, r_ -> transform(r_, p_ -> {mercator_sql('p_.x', 'p_.y')}))")

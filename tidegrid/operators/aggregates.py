@@ -50,7 +50,7 @@ def coverage_share(pairs: DataFrame, keys: Sequence[str], geom: str, area: str,
 
     Overlaps of stacked partners add up; they are not unioned.
     """
-    own = pairs.withColumn("__own", g.polygon_area(F.col(geom)))
+    own = pairs.withColumn("__own", g.polygon_area(geom))
     return (
         own.groupBy(*keys)
         .agg(F.sum(area).alias("__sum"), F.first("__own").alias("__own"))

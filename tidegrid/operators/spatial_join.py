@@ -46,172 +46,114 @@ POLYGON_PREDICATES = SYMMETRIC | {"contains", "within"}
 
 
 class _Side:
-    """One input: its DataFrame plus internal bounds and shape columns."""
+    """One input: its DataFrame plus internal bounds and shape columns.
+
+    ``grow`` widens the bounds, ``tag`` (a or b) names the internal columns.
+    """
 
     def __init__(self, df: DataFrame, geom, tag: str, grow: float = 0.0):
-        self.tag = tag
+        self.tag, self.geom = tag, geom
         self.is_point = not isinstance(geom, str)
+        self.has_extent = bool(grow) or not self.is_point
         self.columns = df.columns
-        if self.is_point:
-            lon, lat = (F.col(c) for c in geom)
-            bounds = {"x0": lon, "y0": lat, "x1": lon, "y1": lat}
-            shape = {}
-        else:
-            box = F.col(geom)
-            bounds = {"x0": box["xmin"], "y0": box["ymin"], "x1": box["xmax"], "y1": box["ymax"]}
-            shape = {"edges": g.edges(box["rings"]), "starts": g.ring_starts(box["rings"])}
+        x0, y0, x1, y1 = (
+            [*geom, *geom] if self.is_point else [f"{geom}.{c}" for c in g.BOUNDS]
+        )
         if grow:
-            bounds = {k: v - grow if k.endswith("0") else v + grow for k, v in bounds.items()}
-        self.has_extent = bool(grow) or not self.is_point
-        self.geom = geom
-        self.source = df.where(bounds["x0"].isNotNull() & bounds["y0"].isNotNull())
-        self.bounds_columns = bounds
-        self.shape_columns = shape
-
-    def __call__(self, name: str) -> Column:
-        return F.col(f"__{self.tag}_{name}")
+            x0, y0, x1, y1 = (f"({v} {op} {grow!r}D)" for v, op in zip((x0, y0, x1, y1), "--++"))
+        self.bounds = {"x0": x0, "y0": y0, "x1": x1, "y1": y1}
+        self.source = df.where(f"{x0} IS NOT NULL AND {y0} IS NOT NULL")
+        self.shape = g.Shape(*[self.name(k) for k in ("edges", "starts", "x0", "y0", "x1", "y1")])
 
-    def _named(self, columns: dict) -> dict:
-        return {f"__{self.tag}_{k}": v for k, v in columns.items()}
+    def name(self, part: str) -> str:
+        return f"__{self.tag}_{part}"
 
-    def _own_level(self, b: dict) -> Column:
+    @property
+    def level(self) -> str:
         if not self.has_extent:
-            return F.lit(_POINT_LEVEL)
-        extent = F.greatest(b["x1"] - b["x0"], b["y1"] - b["y0"])
-        return F.when(extent > 0, F.ceil(F.log2(extent)).cast("int")).otherwise(
-            F.lit(_POINT_LEVEL)
-        )
+            return str(_POINT_LEVEL)
+        b = self.bounds
+        extent = f"greatest({b['x1']} - {b['x0']}, {b['y1']} - {b['y0']})"
+        return f"CASE WHEN {extent} > 0 THEN int(ceil(log2({extent}))) ELSE {_POINT_LEVEL} END"
 
     def summary(self) -> Column:
         """Levels in use and extent as a one-row scalar subquery."""
-        b = self.bounds_columns
-        return (
-            self.source.agg(
-                F.struct(
-                    F.collect_set(self._own_level(b)).alias("levels"),
-                    F.min(b["x0"]).alias("x0"),
-                    F.min(b["y0"]).alias("y0"),
-                    F.max(b["x1"]).alias("x1"),
-                    F.max(b["y1"]).alias("y1"),
-                ).alias("summary")
-            ).scalar()
-        )
+        b = self.bounds
+        return self.source.selectExpr(
+            f"struct(collect_set({self.level}) AS levels, min({b['x0']}) AS x0,"
+            f" min({b['y0']}) AS y0, max({b['x1']}) AS x1, max({b['y1']}) AS y1) AS summary"
+        ).scalar()
 
-    def prepared(self, other_summary: Column) -> DataFrame:
-        """Rows inside the other layer's extent, with bounds, shape and summary."""
-        b = self.bounds_columns
+    def in_cells(self, other_summary: Column, owner: int) -> DataFrame:
+        """Rows inside the other layer's extent, once per cell.
+
+        ``owner`` is 0 for the left side and 1 for the right; the coarser
+        partner of a pair owns the cell, the left side on a tie.
+        """
+        b = self.bounds
         inside = (
-            (b["x0"] <= other_summary["x1"]) & (b["x1"] >= other_summary["x0"])
-            & (b["y0"] <= other_summary["y1"]) & (b["y1"] >= other_summary["y0"])
+            (F.expr(b["x0"]) <= other_summary["x1"]) & (F.expr(b["x1"]) >= other_summary["x0"])
+            & (F.expr(b["y0"]) <= other_summary["y1"]) & (F.expr(b["y1"]) >= other_summary["y0"])
         )
-        return self.source.where(inside).withColumns(
-            self._named(
-                {
-                    **b,
-                    **self.shape_columns,
-                    "level": self._own_level(b),
-                    "foreign": other_summary["levels"],
-                }
-            )
+        parts = [f"{v} AS {self.name(k)}" for k, v in b.items()]
+        parts.append(f"{self.level} AS {self.name('level')}")
+        if not self.is_point:
+            parts.append(f"{g.edges_sql(f'{self.geom}.rings')} AS {self.name('edges')}")
+            parts.append(f"{g.starts_sql(f'{self.geom}.rings')} AS {self.name('starts')}")
+        rows = self.source.where(inside).select(
+            "*", *[F.expr(p) for p in parts], other_summary["levels"].alias("__foreign")
         )
-
-    def in_cells(self, other_summary: Column, owner: int) -> DataFrame:
-        """One row per cell.  ``owner`` 0 is the left side, 1 the right; the
-        coarser partner of a pair owns the cell, the left side on a tie."""
-        bounds = [self(k) for k in ("x0", "y0", "x1", "y1")]
-        level = self("level")
-
-        def wanted(lv):
-            return lv > level if owner == 0 else lv >= level
-
-        foreign = F.flatten(
-            F.transform(
-                F.filter(self("foreign"), lambda lv: wanted(lv) & (lv > _POINT_LEVEL)),
-                lambda lv: _cells(lv, 1 - owner, bounds),
-            )
+        level = self.name("level")
+        coarser = f"lv_ > {level}" if owner == 0 else f"lv_ >= {level}"
+        cells = (
+            f"flatten(transform(filter(__foreign, lv_ -> {coarser} AND lv_ > {_POINT_LEVEL}),"
+            f" lv_ -> {self._cells('lv_', 1 - owner)}))"
         )
-        cells = foreign
         if self.has_extent:
-            own = F.when(level > _POINT_LEVEL, _cells(level, owner, bounds)).otherwise(
-                F.slice(_cells(F.lit(0), owner, bounds), 1, 0)
-            )
-            cells = F.concat(own, foreign)
-        return self.prepared(other_summary).withColumn("__cell", F.explode(cells)).select(
-            "*", *[F.col("__cell")[k].alias(k) for k in _CELL]
-        ).drop("__cell", f"__{self.tag}_foreign")
-
-
-def _cells(level: Column, owner: int, bounds: Sequence[Column]) -> Column:
-    size = F.pow(F.lit(2.0), level)
-    x0, y0, x1, y1 = (F.floor(v / size) for v in bounds)
-    key = (level * 2 + owner).cast("int").alias(_CELL[0])
-    return F.flatten(
-        F.transform(
-            F.sequence(x0, x1),
-            lambda cx: F.transform(
-                F.sequence(y0, y1),
-                lambda cy: F.struct(key, cx.alias(_CELL[1]), cy.alias(_CELL[2])),
-            ),
+            # a shape without extent (a collapsed polygon) owns no cell
+            own = f"transform(filter(array({level}), lv_ -> lv_ > {_POINT_LEVEL}), lv_ -> {self._cells('lv_', owner)})"
+            cells = f"concat(flatten({own}), {cells})"
+        kept = [*self.columns, *[self.name(k) for k in b]]
+        if not self.is_point:
+            kept += [self.name("edges"), self.name("starts")]
+        return rows.selectExpr(*[f"`{c}`" for c in kept], f"inline({cells})")
+
+    def _cells(self, level: str, owner: int) -> str:
+        size = f"pow(2D, {level})"
+        x0, y0, x1, y1 = (f"floor({self.name(k)} / {size})" for k in ("x0", "y0", "x1", "y1"))
+        return (
+            f"flatten(transform(sequence({x0}, {x1}), cx_ -> transform(sequence({y0}, {y1}), cy_ ->"
+            f" named_struct('__owner_level', int({level} * 2 + {owner}), '__cx', cx_, '__cy', cy_))))"
         )
-    )
 
 
-def _boxes(a: _Side, b: _Side) -> Column:
+def _boxes(a: _Side, b: _Side) -> str:
     """Bounds meet, and this cell is the one that reports the pair."""
-    meet = (
-        (a("x0") <= b("x1")) & (b("x0") <= a("x1"))
-        & (a("y0") <= b("y1")) & (b("y0") <= a("y1"))
-    )
+    meet = g.boxes_meet_sql(a.shape, b.shape)
     if a.has_extent and b.has_extent:
-        size = F.pow(F.lit(2.0), F.shiftright(F.col(_CELL[0]), 1))
-        meet = (
-            meet
-            & (F.floor(F.greatest(a("x0"), b("x0")) / size) == F.col(_CELL[1]))
-            & (F.floor(F.greatest(a("y0"), b("y0")) / size) == F.col(_CELL[2]))
+        size = "pow(2D, shiftright(__owner_level, 1))"
+        meet += (
+            f" AND floor(greatest({a.shape.xmin}, {b.shape.xmin}) / {size}) = __cx"
+            f" AND floor(greatest({a.shape.ymin}, {b.shape.ymin}) / {size}) = __cy"
         )
     return meet
 
 
-def _box(side: _Side) -> Column:
-    return F.struct(
-        side("x0").alias("xmin"), side("y0").alias("ymin"),
-        side("x1").alias("xmax"), side("y1").alias("ymax"),
-    )
-
-
-def _exact(predicate: str, a: _Side, b: _Side) -> Column:
+def _exact(predicate: str, a: _Side, b: _Side) -> str:
     if a.is_point and b.is_point:
         raise ValueError("use distance_join for two point layers")
-    if a.is_point or b.is_point:
-        point, area = (a, b) if a.is_point else (b, a)
-        x, y, es = point("x0"), point("y0"), area("edges")
-        if predicate == ("within" if a.is_point else "contains"):
-            return g.edges_contain(es, x, y)
-        if predicate == "intersects":
-            return g.edges_cover(es, x, y)
-        if predicate == "touches":
-            return g.on_boundary(es, x, y)
-        # a point is never equal to, overlapping, or a container of an area
-        return F.lit(False)
+    if not (a.is_point or b.is_point):
+        return g.predicate_sql(predicate, a.shape, b.shape)
+    point, area = (a, b) if a.is_point else (b, a)
+    operands = area.shape.edges, point.shape.xmin, point.shape.ymin
+    if predicate == ("within" if a.is_point else "contains"):
+        return g.contains_sql(*operands)
     if predicate == "intersects":
-        return g.edges_intersect(
-            _box(a), a("edges"), a("starts"), _box(b), b("edges"), b("starts")
-        )
-    shared = g.edges_overlap_area(_box(a), a("edges"), _box(b), b("edges"))
-    area_a, area_b = g.edges_area(a("edges")), g.edges_area(b("edges"))
-    if predicate == "contains":
-        return g.area_at_least(shared, area_b)
-    if predicate == "within":
-        return g.area_at_least(shared, area_a)
-    if predicate == "equals":
-        return g.area_at_least(shared, area_a) & g.area_at_least(shared, area_b)
-    if predicate == "overlaps":
-        return ~g.area_is_zero(shared, area_a, area_b) & ~g.area_at_least(
-            shared, F.least(area_a, area_b)
-        )
-    return g.area_is_zero(shared, area_a, area_b) & g.edges_intersect(
-        _box(a), a("edges"), a("starts"), _box(b), b("edges"), b("starts")
-    )
+        return g.covers_sql(*operands)
+    if predicate == "touches":
+        return g.on_boundary_sql(*operands)
+    # a point is never equal to, overlapping, or a container of an area
+    return "false"
 
 
 def _estimated_bytes(df: DataFrame) -> int:
@@ -246,7 +188,7 @@ def _split_hot_cells(left: DataFrame, right: DataFrame, a: _Side, b: _Side, bloc
 
     def spread(df, side, mine, theirs):
         row_hash = F.xxhash64(
-            *[F.col(c) for c in side.columns if c != side.geom], *[side(k) for k in ("x0", "y0")]
+            *[c for c in side.columns if c != side.geom], *[side.name(k) for k in ("x0", "y0")]
         )
         blocks = F.coalesce(F.col(f"__blocks_{mine}"), F.lit(1))
         others = F.coalesce(F.col(f"__blocks_{theirs}"), F.lit(1))
@@ -279,9 +221,8 @@ def _candidates(a: _Side, b: _Side, partition_keys, split_hot, block_rows):
 
 def _joined(left, right, keys, condition, how):
     renamed = right.withColumnsRenamed({k: f"{k}_r" for k in keys})
-    for k in keys:
-        condition = (F.col(k) == F.col(f"{k}_r")) & condition
-    return left.join(renamed, condition, how)
+    equal = " AND ".join(f"{k} = {k}_r" for k in keys)
+    return left.join(renamed, F.expr(f"{equal} AND {condition}"), how)
 
 
 def spatial_join(
@@ -317,15 +258,11 @@ def spatial_join(
             raise ValueError(f"rename columns present on both sides: {sorted(clash)}")
     sa, sb = _Side(a, a_geom, "a"), _Side(b, b_geom, "b")
     left, right, keys = _candidates(sa, sb, partition_keys, split_hot, block_rows)
-    condition = _boxes(sa, sb) & _exact(predicate, sa, sb)
+    condition = f"{_boxes(sa, sb)} AND {_exact(predicate, sa, sb)}"
     if how == "inner":
         out = [F.col(c) for c in (*a.columns, *b.columns)]
         if overlap_area is not None:
-            out.append(
-                g.edges_overlap_area(_box(sa), sa("edges"), _box(sb), sb("edges")).alias(
-                    overlap_area
-                )
-            )
+            out.append(F.expr(g.overlap_area_sql(sa.shape, sb.shape)).alias(overlap_area))
         return _joined(left, right, keys, condition, "inner").select(*out)
     if how not in ("left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -365,18 +302,18 @@ def distance_join(
     sa, sb = _Side(a, a_geom, "a", grow=radius), _Side(b, b_geom, "b")
     left, right, keys = _candidates(sa, sb, partition_keys, split_hot, block_rows)
     if sa.is_point and sb.is_point:
-        far = g.point_distance(F.col(a_geom[0]), F.col(a_geom[1]), sb("x0"), sb("y0"))
+        far = g.point_distance_sql(*a_geom, *b_geom)
     elif sa.is_point:
-        far = g.edges_point_distance(sb("edges"), F.col(a_geom[0]), F.col(a_geom[1]))
+        far = g.point_polygon_distance_sql(sb.shape.edges, *a_geom)
     elif sb.is_point:
-        far = g.edges_point_distance(sa("edges"), sb("x0"), sb("y0"))
+        far = g.point_polygon_distance_sql(sa.shape.edges, *b_geom)
     else:
-        far = g.edges_distance(
-            F.col(a_geom), sa("edges"), sa("starts"), F.col(b_geom), sb("edges"), sb("starts")
-        )
+        # the bounds kept for the grid are widened, the measure needs the real ones
+        own = g.Shape(sa.shape.edges, sa.shape.starts, *[f"{a_geom}.{c}" for c in g.BOUNDS])
+        far = g.distance_sql(own, sb.shape)
     pairs = _joined(left, right, keys, _boxes(sa, sb), "inner")
     return (
-        pairs.withColumn("__far", far)
+        pairs.withColumn("__far", F.expr(far))
         .where(F.col("__far") <= radius)
         .select(*a.columns, *b.columns, F.col("__far").alias(distance))
     )
@@ -386,4 +323,4 @@ def with_overlap_area(
     pairs: DataFrame, a_geom: str, b_geom: str, name: str = "overlap_area"
 ) -> DataFrame:
     """Add area(a and b) to rows that carry both geometries."""
-    return pairs.withColumn(name, g.intersection_area(F.col(a_geom), F.col(b_geom)))
+    return pairs.withColumn(name, g.intersection_area(a_geom, b_geom))

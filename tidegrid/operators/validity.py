@@ -1,100 +1,104 @@
 """Validity check and limited repair of polygon layers.
 
-A layer is checked as one distributed job over its edges: edges go into cells
-of a grid as large as the edge itself, and only edges of the same polygon and
-cell are compared, each pair on the level of the longer one.  A polygon with a
-million corners is thus many small cells, not one quadratic row.
+Small polygons are checked inside their row.  For large ones the edges go into
+cells of a grid as large as the edge itself, and only edges of the same polygon
+and cell are compared, each pair on the level of the longer one.  A polygon
+with a million corners is thus many small cells, not one quadratic row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 
+# Up to this many edges all pairs of a row are compared in place.
+IN_ROW_EDGES = 64
+
 _EDGE = ("ring", "pos", "len", "ax", "ay", "bx", "by")
 _CELL = ("__level", "__cx", "__cy")
 
-
-def _edge_level(e: Column) -> Column:
-    extent = F.greatest(F.abs(e["bx"] - e["ax"]), F.abs(e["by"] - e["ay"]))
-    return F.ceil(F.log2(F.greatest(extent, F.lit(1e-12)))).cast("int")
+_EDGE_LEVEL = "int(ceil(log2(greatest(abs(bx - ax), abs(by - ay), 1e-12D))))"
 
 
-def _edge_cells(level: Column, own: bool) -> Column:
-    size = F.pow(F.lit(2.0), level)
+def _edge_cells(level: str, own: str) -> str:
+    size = f"pow(2D, {level})"
 
     def span(a, b):
-        lo, hi = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-        return F.sequence(F.floor(lo / size), F.floor(hi / size))
-
-    return F.flatten(
-        F.transform(
-            span("ax", "bx"),
-            lambda cx: F.transform(
-                span("ay", "by"),
-                lambda cy: F.struct(
-                    level.alias("__level"), cx.alias("__cx"), cy.alias("__cy"),
-                    F.lit(own).alias("__own"),
-                ),
-            ),
-        )
+        return f"sequence(floor(least({a}, {b}) / {size}), floor(greatest({a}, {b}) / {size}))"
+
+    return (
+        f"flatten(transform({span('ax', 'bx')}, cx_ -> transform({span('ay', 'by')}, cy_ ->"
+        f" named_struct('__level', {level}, '__cx', cx_, '__cy', cy_, '__own', {own}))))"
     )
 
 
-def _edge_rows(df: DataFrame, key: list[str], rings: str) -> DataFrame:
-    """One row per edge and cell.  An edge owns the cells of its own length and
-    visits those of longer edges of the same polygon."""
-    edges = (
-        df.withColumn("__es", g.numbered_edges(F.transform(F.col(rings), g.drop_repeats)))
-        .withColumn("__levels", F.array_distinct(F.transform("__es", _edge_level)))
-        .select(*key, "__levels", F.inline("__es"))
-        .withColumn("__own_level", _edge_level({c: F.col(c) for c in _EDGE}))
-    )
-    longer = F.filter("__levels", lambda lv: lv > F.col("__own_level"))
-    cells = F.concat(
-        _edge_cells(F.col("__own_level"), True),
-        F.flatten(F.transform(longer, lambda lv: _edge_cells(lv, False))),
+def _edge_rows(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row per edge and cell, from a column ``__es`` of numbered edges.  An
+    edge owns the cells of its own length and visits those of longer edges of
+    the same polygon."""
+    level_of_item = _EDGE_LEVEL.replace("bx", "e_.bx").replace("ax", "e_.ax")
+    level_of_item = level_of_item.replace("by", "e_.by").replace("ay", "e_.ay")
+    visited = (
+        f"flatten(transform(filter(__levels, lv_ -> lv_ > __edge_level),"
+        f" lv_ -> {_edge_cells('lv_', 'false')}))"
     )
     return (
-        edges.withColumn("__cell", F.explode(cells))
-        .select(*key, "__cell.*", F.struct(*_EDGE).alias("__edge"))
+        df.selectExpr(*key, f"array_distinct(transform(__es, e_ -> {level_of_item})) AS __levels", "__es")
+        .selectExpr(*key, "__levels", "inline(__es)")
+        .selectExpr("*", f"{_EDGE_LEVEL} AS __edge_level")
+        .selectExpr(
+            *key,
+            f"struct({', '.join(_EDGE)}) AS __edge",
+            f"inline(concat({_edge_cells('__edge_level', 'true')}, {visited}))",
+        )
     )
 
 
-def clashing_keys(df: DataFrame, key: Sequence[str], rings: str) -> DataFrame:
-    """Keys of polygons with edges that cross, overlap or fold back."""
+def clashing_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of polygons whose numbered edges ``__es`` cross, overlap or fold back."""
     key = list(key)
-    rows = _edge_rows(df, key, rings)
+    rows = _edge_rows(df, key)
     others = rows.withColumnsRenamed({"__edge": "__other", "__own": "__other_own"})
-    e, f = F.col("__edge"), F.col("__other")
-    e_first = (f["ring"] > e["ring"]) | ((f["ring"] == e["ring"]) & (f["pos"] > e["pos"]))
-    return (
-        rows.join(others, [*key, *_CELL])
-        .where(F.col("__own") & (e_first | ~F.col("__other_own")))
-        .where(F.when(e_first, g.edges_clash(e, f)).otherwise(g.edges_clash(f, e)))
-        .select(*key)
-        .distinct()
+    clash = (
+        f"__own AND ({g.later_sql('__edge', '__other')} OR NOT __other_own)"
+        f" AND {g.clash_sql('__edge', '__other')}"
     )
+    return rows.join(others, [*key, *_CELL]).where(clash).select(*key).distinct()
 
 
-def flag_valid(df: DataFrame, key: Sequence[str] | str, rings: str, flag: str = "valid") -> DataFrame:
+def flag_valid(
+    df: DataFrame,
+    key: Sequence[str] | str,
+    rings: str,
+    flag: str = "valid",
+    in_row_edges: int = IN_ROW_EDGES,
+) -> DataFrame:
     """Add a boolean column telling whether each polygon is valid.
 
     ``key`` identifies a row.
     """
     key = [key] if isinstance(key, str) else list(key)
-    bad = clashing_keys(df, key, rings).withColumn("__clash", F.lit(True))
-    clean = F.transform(F.col(rings), g.drop_repeats)
-    shaped = g.rings_closed(clean) & ((F.size(rings) == 1) | g.holes_inside(clean))
-    return (
-        df.join(bad, key, "left")
-        .withColumn(flag, F.coalesce(F.col("__clash").isNull() & shaped, F.lit(False)))
-        .drop("__clash")
+    columns = [c for c in df.columns if c != flag]
+    staged = df.withColumn("__clean", F.expr(g.clean_rings_sql(rings))).withColumn(
+        "__es", F.expr(g.numbered_edges_sql("__clean"))
+    )
+    corners = f"aggregate({rings}, 0, (n_, r_) -> n_ + size(r_))"
+    small = F.expr(f"coalesce({corners}, 0) <= {in_row_edges}")
+    shape_ok = g.shape_ok_sql("__clean")
+    in_row = staged.where(small).selectExpr(
+        *columns,
+        f"coalesce({shape_ok} AND NOT {g.clashes_in_row_sql('__es')}, false) AS {flag}",
     )
+    large = staged.where(~small)
+    bad = clashing_keys(large, key).withColumn("__clash", F.lit(True))
+    by_edges = large.join(bad, key, "left").selectExpr(
+        *columns, f"coalesce({shape_ok} AND __clash IS NULL, false) AS {flag}"
+    )
+    return in_row.unionByName(by_edges)
 
 
 def with_geometry(
@@ -102,26 +106,23 @@ def with_geometry(
 ) -> DataFrame:
     """Replace a rings column by the full geometry struct (bounds, validity)."""
     flagged = flag_valid(df, key, rings, "__valid")
-    return flagged.withColumn(name, g.make_polygon(F.col(rings), F.col("__valid"))).drop(
-        "__valid", *([rings] if rings != name else [])
-    )
+    kept = [c for c in df.columns if c not in (rings, name)]
+    return flagged.select(*kept, g.make_polygon(rings, "__valid").alias(name))
 
 
-def repaired_rings(rings: Column) -> Column:
+def repaired_rings_sql(rings: str) -> str:
     """Drop repeated points, close open rings, drop rings without area, set orientation."""
-
-    def closed(r):
-        return F.when(g.same_point(r[0], F.element_at(r, -1)), r).otherwise(
-            F.concat(r, F.slice(r, 1, 1))
-        )
-
-    tidy = F.transform(F.filter(rings, lambda r: F.size(r) >= 3), lambda r: closed(g.drop_repeats(r)))
-    return g.orient_rings(F.filter(tidy, lambda r: F.size(r) >= 4))
+    closed = (
+        "CASE WHEN r_[0] = element_at(r_, -1) THEN r_ ELSE concat(r_, slice(r_, 1, 1)) END"
+    )
+    enough = f"filter({g.clean_rings_sql(rings)}, r_ -> size(r_) >= 3)"
+    tidy = f"filter(transform({enough}, r_ -> {closed}), r_ -> size(r_) >= 4)"
+    return g.orient_rings_sql(tidy)
 
 
 def repair_polygons(
     df: DataFrame, key: Sequence[str] | str, geom: str = "geometry"
 ) -> DataFrame:
     """Limited repair; rows that stay invalid keep valid = false in the geometry."""
-    rebuilt = df.withColumn("__rings", repaired_rings(F.col(geom)["rings"])).drop(geom)
+    rebuilt = df.withColumn("__rings", F.expr(repaired_rings_sql(f"{geom}.rings"))).drop(geom)
     return with_geometry(rebuilt, key, "__rings", geom)

@@ -132,7 +132,10 @@ def _floodplain(t):
     zone = F.lit(None).cast("string")
     for source, code in ZONES.items():
         zone = F.when(priority == source, F.lit(code)).otherwise(zone)
-    return t("orders").select(
+    orders = t("orders").select("o_orderkey", "o_orderpriority")
+    # narrow rows now, so that outlines are built and checked on every core
+    cores = orders.sparkSession.sparkContext.defaultParallelism
+    return orders.repartition(cores, "o_orderkey").select(
         j.cast("string").alias("GFID"),
         zone.alias("FLD_ZONE"),
         state_of(F.floor(x0 / 4)).alias("STATEFP"),
@@ -330,7 +333,10 @@ class DerivedLayers(Mapping):
         path = f"{base}/{token}/{name}"
         if self._stored.get((base, path)) is None:
             key = POLYGON_KEYS[name]
-            checked = with_geometry(_BUILDERS[name](self.table), key, "rings")
+            # outlines are looked at several times below, so they are stored first
+            outlines = f"{path}-outlines"
+            _BUILDERS[name](self.table).write.mode("overwrite").parquet(outlines)
+            checked = with_geometry(self.spark.read.parquet(outlines), key, "rings")
             # the one layer that grows with the data gets a file per core
             files = self.spark.sparkContext.defaultParallelism if name == "floodplain" else None
             write_layer(checked, path, key=key, files=files)

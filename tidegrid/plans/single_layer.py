@@ -21,7 +21,7 @@ def measured(layer: DataFrame) -> DataFrame:
     box = F.col("geometry")
     return layer.withColumns(
         {
-            "area": g.polygon_area(box),
+            "area": g.polygon_area("geometry"),
             "valid": box["valid"],
             **{c: box[c] for c in ("xmin", "ymin", "xmax", "ymax")},
         }
@@ -297,7 +297,7 @@ def layer_extent(layers):
 )
 def polygon_envelopes(layers):
     return layers["floodplain"].select(
-        "GFID", F.inline(F.array(g.envelope(F.col("geometry"))))
+        "GFID", F.inline(F.array(g.envelope("geometry")))
     )
 
 
@@ -333,7 +333,7 @@ def repaired(layers):
 def mercator_points(layers):
     """lon/lat to Mercator metres."""
     points = layers["hospitals"].where(F.col("LON").isNotNull())
-    xy = g.mercator_xy(F.col("LON"), F.col("LAT"))
+    xy = g.mercator_xy("LON", "LAT")
     return points.select("HOSPITAL_ID", F.round(xy["x"], 3).alias("x"), F.round(xy["y"], 3).alias("y"))
 
 

@@ -106,8 +106,12 @@ def write_layer(
     """Store a polygon layer so that bounds filters skip row groups.
 
     Rows are range-partitioned and sorted by grid cell; the key's hash breaks
-    ties, so a crowded cell spreads over several files.
+    ties, so a crowded cell spreads over several files.  The rows are staged
+    next to ``path`` first, because a range partitioning reads its input twice.
     """
+    staging = f"{path}-staging"
+    df.write.mode("overwrite").parquet(staging)
+    df = df.sparkSession.read.parquet(staging)
     box = F.col(geometry)
     order = [
         F.floor(box["xmin"] / cell), F.floor(box["ymin"] / cell), F.xxhash64(*key)
