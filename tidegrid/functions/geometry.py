@@ -256,14 +256,14 @@ def _under_both_sql(lo: str, hi: str, base: str) -> str:
 def overlap_area_sql(a: Shape, b: Shape) -> str:
     """area(A and B) without clipping: over all pairs of directed edges, the
     signed area under the lower of the two.  Edges outside the common x range,
-    or wholly below the other polygon, cannot contribute and are left out."""
+    or wholly below the other polygon, add up to nothing and are left out."""
     x0, x1 = f"greatest({a.xmin}, {b.xmin})", f"least({a.xmax}, {b.xmax})"
     base = f"greatest({a.ymin}, {b.ymin})"
 
-    def relevant(edges, v):
+    def relevant(edges, v, floor):
         return (
             f"filter({edges}, {v} -> {v}.ax <> {v}.bx AND least({v}.ax, {v}.bx) < {x1}"
-            f" AND greatest({v}.ax, {v}.bx) > {x0} AND greatest({v}.ay, {v}.by) > {base})"
+            f" AND greatest({v}.ax, {v}.bx) > {x0} AND greatest({v}.ay, {v}.by) > {floor})"
         )
 
     lo = f"greatest(least(e_.ax, e_.bx), least(f_.ax, f_.bx), {x0})"
@@ -273,7 +273,8 @@ def overlap_area_sql(a: Shape, b: Shape) -> str:
         f" CASE WHEN (e_.ax > e_.bx) = (f_.ax > f_.bx) THEN 1D ELSE -1D END"
         f" * {_under_both_sql(lo, hi, base)} ELSE 0D END"
     )
-    total = _sum_sql(relevant(a.edges, "e_"), "e_", _sum_sql(relevant(b.edges, "f_"), "f_", pair))
+    under_b = _sum_sql(relevant(b.edges, "f_", a.ymin), "f_", pair)
+    total = _sum_sql(relevant(a.edges, "e_", b.ymin), "e_", under_b)
     return (
         f"CASE WHEN {x0} < {x1} AND {base} < least({a.ymax}, {b.ymax})"
         f" THEN greatest({total}, 0D) ELSE 0D END"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .similarity import WHITE_SPACE
+
 
 def has_prefix(column: str, prefix: str) -> Column:
     """Prefix match that reaches the parquet scan as StringStartsWith."""
@@ -55,7 +57,7 @@ def iso_text(column: str) -> Column:
 
 def flatten_text(text: Column) -> Column:
     """Runs of white space become one blank, ends are trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, WHITE_SPACE, " "))
 
 
 def strip_fences(text: Column) -> Column:

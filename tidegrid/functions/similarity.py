@@ -17,13 +17,16 @@ COMPONENT_WEIGHTS = {
     "order_by": 0.05,
 }
 
+# Fixed value: the characters a text is split at (all Unicode white space).
+WHITE_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
 # Fixed value: keeps the cosine of a zero vector at zero.
 COSINE_EPSILON = 1e-10
 
 
 def tokens(text: Column) -> Column:
     """Lower-case white-space tokens of a text, without empty ones."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), WHITE_SPACE), lambda t: t != "")
 
 
 def jaccard(a: Column, b: Column) -> Column:

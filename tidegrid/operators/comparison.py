@@ -146,7 +146,7 @@ def top_shared_items(pairs: DataFrame, key: str, left: str, right: str, n: int =
     longest = Window.partitionBy(key).orderBy(F.length("item").desc(), "item")
     return (
         counts.where(F.col("matches") > 0)
-        .withColumn("rank", F.row_number().over(longest))
+        .withColumn("rank", F.row_number().over(longest).cast("long"))
         .where(F.col("rank") <= n)
         .select(key, "item", "matches", "rank")
     )

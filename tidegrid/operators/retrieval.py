@@ -25,6 +25,10 @@ def _blocks(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def cosine_topk(
     queries: DataFrame,
     vectors: DataFrame,
@@ -36,7 +40,6 @@ def cosine_topk(
     item_vector: str = "item_vector",
     within: Sequence[tuple[str, str]] = (),
     forced: str | None = None,
-    exclude_self: bool = False,
 ) -> DataFrame:
     """Best k items per query (and per ``within`` group) by cosine.
 
@@ -59,16 +62,16 @@ def cosine_topk(
         F.col(query_vector).cast("array<double>").alias("__qv"),
         limit.cast("int").alias("__k"),
         *[F.col(a).alias(n) for (a, _), n in zip(within, groups)],
-        F.pmod(F.xxhash64(query_id), F.lit(n_query)).alias("__qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_vector - 1))).cast("long").alias("__vb"),
+        F.pmod(F.xxhash64(query_id), F.lit(n_query).cast("long")).alias("__qb"),
+        F.explode(_numbers(n_vector)).alias("__vb"),
     )
     v = vectors.select(
         F.col(item_id).alias("__i"),
         F.col(item_vector).cast("array<double>").alias("__iv"),
         (F.col(forced) if forced else F.lit(False)).alias("__forced"),
         *[F.col(b).alias(n) for (_, b), n in zip(within, groups)],
-        F.pmod(F.xxhash64(item_id), F.lit(n_vector)).alias("__vb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).cast("long").alias("__qb"),
+        F.pmod(F.xxhash64(item_id), F.lit(n_vector).cast("long")).alias("__vb"),
+        F.explode(_numbers(n_query)).alias("__qb"),
     )
     keys = [*groups, "__qb", "__vb"]
     types = {f.name: f.dataType.simpleString() for f in (*q.schema, *v.schema)}
@@ -83,15 +86,12 @@ def cosine_topk(
         a, b = np.stack(left["__qv"].to_numpy()), np.stack(right["__iv"].to_numpy())
         norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
         scores = np.round((a @ b.T) / (norms + COSINE_EPSILON), SCORE_DIGITS)
-        if exclude_self:
-            same = left["__q"].to_numpy()[:, None] == right["__i"].to_numpy()[None, :]
-            scores[same] = -np.inf
         # columns in id order, so a stable sort settles ties by id
         by_id = np.argsort(right["__i"].to_numpy(), kind="stable")
         right, scores = right.iloc[by_id], scores[:, by_id]
         ranks = np.argsort(np.argsort(-scores, axis=1, kind="stable"), axis=1)
         keep = (ranks < left["__k"].to_numpy()[:, None]) | right["__forced"].to_numpy()[None, :]
-        rows, cols = np.nonzero(keep & np.isfinite(scores))
+        rows, cols = np.nonzero(keep)
         out = left.iloc[rows][["__q", "__k", *groups]].reset_index(drop=True)
         out["__i"] = right["__i"].to_numpy()[cols]
         out["__forced"] = right["__forced"].to_numpy()[cols]
@@ -101,7 +101,7 @@ def cosine_topk(
     best = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(score, schema)
     order = Window.partitionBy("__q", *groups).orderBy(F.desc("__score"), "__i")
     return (
-        best.withColumn("rank", F.row_number().over(order))
+        best.withColumn("rank", F.row_number().over(order).cast("long"))
         .where((F.col("rank") <= F.col("__k")) | F.col("__forced"))
         .select(
             F.col("__q").alias(query_id), F.col("__i").alias(item_id),

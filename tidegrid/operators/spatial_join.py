@@ -51,7 +51,7 @@ class _Side:
     ``grow`` widens the bounds, ``tag`` (a or b) names the internal columns.
     """
 
-    def __init__(self, df: DataFrame, geom, tag: str, grow: float = 0.0):
+    def __init__(self, df: DataFrame, geom, tag: str, grow: float = 0.0, layer=None):
         self.tag, self.geom = tag, geom
         self.is_point = not isinstance(geom, str)
         self.has_extent = bool(grow) or not self.is_point
@@ -63,6 +63,7 @@ class _Side:
             x0, y0, x1, y1 = (f"({v} {op} {grow!r}D)" for v, op in zip((x0, y0, x1, y1), "--++"))
         self.bounds = {"x0": x0, "y0": y0, "x1": x1, "y1": y1}
         self.source = df.where(f"{x0} IS NOT NULL AND {y0} IS NOT NULL")
+        self.layer = df if layer is None else layer
         self.shape = g.Shape(*[self.name(k) for k in ("edges", "starts", "x0", "y0", "x1", "y1")])
 
     def name(self, part: str) -> str:
@@ -77,9 +78,13 @@ class _Side:
         return f"CASE WHEN {extent} > 0 THEN int(ceil(log2({extent}))) ELSE {_POINT_LEVEL} END"
 
     def summary(self) -> Column:
-        """Levels in use and extent as a one-row scalar subquery."""
+        """Levels in use and extent as a one-row scalar subquery.
+
+        Both may come from a larger layer: more levels or a wider extent cost a
+        little work and never change the result.
+        """
         b = self.bounds
-        return self.source.selectExpr(
+        return self.layer.selectExpr(
             f"struct(collect_set({self.level}) AS levels, min({b['x0']}) AS x0,"
             f" min({b['y0']}) AS y0, max({b['x1']}) AS x1, max({b['y1']}) AS y1) AS summary"
         ).scalar()
@@ -236,6 +241,8 @@ def spatial_join(
     partition_keys: Sequence[tuple[str, str]] = (),
     left_key: Sequence[str] | str | None = None,
     overlap_area: str | None = None,
+    a_layer: DataFrame | None = None,
+    b_layer: DataFrame | None = None,
     split_hot: bool | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -248,6 +255,9 @@ def spatial_join(
     left_key        columns that identify a row's geometry in ``a``; needed for
                     semi/anti joins of polygons (points use their coordinates)
     overlap_area    name of an extra column holding area(a and b) (inner only)
+    a_layer, b_layer  for an input that is itself the result of joins: a plain
+                    layer that holds all its geometries, to read the grid levels
+                    and extent from without running those joins twice
     split_hot       split crowded cells; by default only for two large layers
     """
     if predicate not in POLYGON_PREDICATES:
@@ -256,7 +266,8 @@ def spatial_join(
         clash = set(a.columns) & set(b.columns)
         if clash:
             raise ValueError(f"rename columns present on both sides: {sorted(clash)}")
-    sa, sb = _Side(a, a_geom, "a"), _Side(b, b_geom, "b")
+    sa = _Side(a, a_geom, "a", layer=a_layer)
+    sb = _Side(b, b_geom, "b", layer=b_layer)
     left, right, keys = _candidates(sa, sb, partition_keys, split_hot, block_rows)
     condition = f"{_boxes(sa, sb)} AND {_exact(predicate, sa, sb)}"
     if how == "inner":
@@ -270,13 +281,20 @@ def spatial_join(
 
 
 def _keep_by_match(a, sa, left, right, keys, condition, how, left_key):
-    """A row sits in several cells, so matches are collected by key first."""
+    """A row sits in several cells, so matches are collected by key first.
+
+    When the kept side is the smaller one, the large side streams past it in an
+    inner join and only distinct keys leave each task; otherwise a semi join
+    stops at a row's first match.
+    """
     if left_key is None:
         if not sa.is_point:
             raise ValueError("left_key is needed for semi and anti joins of polygons")
         left_key = list(sa.geom)
     left_key = [left_key] if isinstance(left_key, str) else list(left_key)
-    matched = _joined(left, right, keys, condition, "left_semi").select(*left_key).distinct()
+    semi = _estimated_bytes(left) > _estimated_bytes(right)
+    matched = _joined(left, right, keys, condition, "left_semi" if semi else "inner")
+    matched = matched.select(*left_key).distinct()
     return a.join(matched, left_key, how).select(*a.columns)
 
 

@@ -92,7 +92,7 @@ def _tract_geoid() -> Column:
 
 
 def _census_tracts(t):
-    n, slot = F.col("s_nationkey"), (F.col("s_suppkey") * 7) % 64
+    n, slot = F.col("s_nationkey"), (F.col("s_suppkey") * 7) % 32
     x0 = (n % 5) * F.lit(4.0) + (slot % 8) * F.lit(0.5)
     y0 = F.floor(n / 5) * F.lit(4.0) + F.floor(slot / 8) * F.lit(0.5)
     return t("supplier").select(

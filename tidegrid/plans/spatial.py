@@ -224,11 +224,6 @@ _county_ranking("county_rank_by_loss", "nri", "48", "TRUE",
 
 # -- facilities in floodplains, tracts and counties --------------------------------
 
-def _points_in(layers, points, polygons, predicate_columns=(), **kw):
-    """Points strictly inside polygons, with the polygon's columns."""
-    return spatial_join(points, polygons, "within", a_geom=XY, **kw)
-
-
 def _hospitals(layers, *columns, where=None):
     rows = layers["hospitals"]
     if where is not None:
@@ -347,6 +342,7 @@ def claimed_tract_floods(layers):
     met = spatial_join(
         _floods(layers), tracts, "intersects", "left_semi",
         a_geom="flood_geom", b_geom="tract_geom", left_key="GFID",
+        b_layer=_tracts(layers, where=has_prefix("GEOID", "22007")),
     )
     return met.agg(F.count_distinct("GFID").alias("num_intersecting_floodplains"))
 
@@ -373,7 +369,9 @@ def city_with_schools_at_risk(layers):
     risky = layers["nri"].where(F.col("RFLD_RISKS") > 50).select(county_key().alias("GEOID"))
     county = _polygons(layers, "county", "GEOID").join(risky, "GEOID", "left_semi")
     rows = _schools(layers, "CITY", where=F.col("STATEFP") == "48")
-    inside = spatial_join(rows, county, "within", "left_semi", a_geom=XY)
+    inside = spatial_join(
+        rows, county, "within", "left_semi", a_geom=XY, b_layer=_polygons(layers, "county")
+    )
     return top_n(
         inside.withColumnRenamed("CITY", "city_name"), ["city_name"], F.count_distinct("SCHOOL_ID"), 1
     )
@@ -440,7 +438,9 @@ def schools_in_flooded_tracts(layers):
     tracts = _polygons(layers, "census_tracts", "GEOID", where=has_prefix("GEOID", "22")).join(
         flooded, "GEOID", "left_semi"
     )
-    inside = spatial_join(_schools(layers), tracts, "within", a_geom=XY)
+    inside = spatial_join(
+        _schools(layers), tracts, "within", a_geom=XY, b_layer=_polygons(layers, "census_tracts")
+    )
     joined = inside.withColumn("county_geoid", county_key()).join(
         _county_names(layers, "22"), "county_geoid"
     )
@@ -506,11 +506,14 @@ def nested_exists_spatial(layers):
         areas, _floods(layers), "intersects", "left_semi",
         a_geom="zcta_geom", b_geom="flood_geom", left_key="zcta_geoid",
     )
-    schools = spatial_join(_schools(layers), wet, "within", "left_semi", a_geom=XY, b_geom="zcta_geom")
+    schools = spatial_join(
+        _schools(layers), wet, "within", "left_semi", a_geom=XY, b_geom="zcta_geom", b_layer=areas
+    )
     county = _polygons(
         layers, "county", F.col("NAME").alias("county_name"), where="STATEFP = '22'"
     )
-    return top_n(spatial_join(schools, county, "within", a_geom=XY), ["county_name"], row_count(), 2)
+    inside = spatial_join(schools, county, "within", a_geom=XY, a_layer=layers["schools"])
+    return top_n(inside, ["county_name"], row_count(), 2)
 
 
 @query(
@@ -530,7 +533,9 @@ def hospitals_in_floods_crossing_tracts(layers):
     rows = _hospitals(
         layers, F.left("COUNTYFIPS", F.lit(5)).alias("county_geoid"), where=has_prefix("COUNTYFIPS", "12")
     )
-    inside = spatial_join(rows, crossing, "within", "left_semi", a_geom=XY, b_geom="flood_geom")
+    inside = spatial_join(
+        rows, crossing, "within", "left_semi", a_geom=XY, b_geom="flood_geom", b_layer=_floods(layers)
+    )
     joined = inside.join(_county_names(layers, "12"), "county_geoid")
     return top_n(joined, ["county_name"], F.count_distinct("HOSPITAL_ID"), 5)
 
@@ -552,7 +557,10 @@ def mixed_key_and_containment(layers):
     inside = spatial_join(
         rows, county, "within", a_geom=XY, partition_keys=[("school_state", "STATEFP")]
     ).select("SCHOOL_ID", "county_name", *XY)
-    wet = spatial_join(inside, _floods(layers), "within", "left_semi", a_geom=XY, b_geom="flood_geom")
+    wet = spatial_join(
+        inside, _floods(layers), "within", "left_semi",
+        a_geom=XY, b_geom="flood_geom", a_layer=rows,
+    )
     return top_n(wet, ["county_name"], F.count_distinct("SCHOOL_ID"), 5)
 
 
@@ -601,7 +609,10 @@ def point_in_two_polygons(layers):
     inside = spatial_join(
         _hospitals(layers, "UNIQUE_ID"), tracts, "within", "left_semi", a_geom=XY, b_geom="tract_geom"
     )
-    wet = spatial_join(inside, _floods(layers), "within", "left_semi", a_geom=XY, b_geom="flood_geom")
+    wet = spatial_join(
+        inside, _floods(layers), "within", "left_semi",
+        a_geom=XY, b_geom="flood_geom", a_layer=layers["hospitals"],
+    )
     return wet.agg(F.count_distinct("UNIQUE_ID").alias("num_hospitals"))
 
 
@@ -632,7 +643,8 @@ def _point_rule(points, polygons):
     def run(layers):
         rows = layers[points].select(key, *XY)
         areas = _polygons(layers, polygons, F.col(group).alias("key"))
-        return join_layers(rows, points, areas, polygons).groupBy("key").agg(row_count().alias("num_points"))
+        inside = join_layers(rows, points, areas, polygons, predicate="within")
+        return inside.groupBy("key").agg(row_count().alias("num_points"))
 
 
 def _polygon_rule(a, b):
@@ -775,7 +787,8 @@ def three_polygon_chain(layers):
         _tracts(layers), _zctas(layers), "overlaps", a_geom="tract_geom", b_geom="zcta_geom"
     ).select("GEOID", "zcta_geoid", "tract_geom")
     chain = spatial_join(
-        overlapping, _floods(layers), "intersects", a_geom="tract_geom", b_geom="flood_geom"
+        overlapping, _floods(layers), "intersects",
+        a_geom="tract_geom", b_geom="flood_geom", a_layer=_tracts(layers),
     )
     return chain.groupBy("zcta_geoid").agg(
         row_count().alias("num_rows"), F.count_distinct("GFID").alias("num_floods")

@@ -145,8 +145,8 @@ _POLYGONS = {
       SELECT {_county('s_nationkey')} || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS GEOID,
         {_state('s_nationkey % 5')} AS STATEFP,
         lpad(CAST(s_nationkey AS VARCHAR), 3, '0') AS COUNTYFP, s_name AS NAME,
-        {_square("(s_nationkey % 5) * CAST(4 AS DOUBLE) + (((s_suppkey * 7) % 64) % 8) * CAST(0.5 AS DOUBLE)",
-                 "(s_nationkey // 5) * CAST(4 AS DOUBLE) + (((s_suppkey * 7) % 64) // 8) * CAST(0.5 AS DOUBLE)", 0.5)} AS rings
+        {_square("(s_nationkey % 5) * CAST(4 AS DOUBLE) + (((s_suppkey * 7) % 32) % 8) * CAST(0.5 AS DOUBLE)",
+                 "(s_nationkey // 5) * CAST(4 AS DOUBLE) + (((s_suppkey * 7) % 32) // 8) * CAST(0.5 AS DOUBLE)", 0.5)} AS rings
       FROM supplier""",
     "zcta": f"""
       SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS GEOID, {_state('n_nationkey % 5')} AS STATEFP,
