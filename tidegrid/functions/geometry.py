@@ -157,11 +157,12 @@ def contains_xy(geom: str, x: str, y: str) -> Column:
 # -- polygons against polygons -----------------------------------------------
 
 class Shape:
-    """Names of the parts of one polygon operand: edges, ring starts and bounds."""
+    """Parts of one polygon operand: edges, ring starts, bounds and area."""
 
-    def __init__(self, edges: str, starts: str, xmin: str, ymin: str, xmax: str, ymax: str):
+    def __init__(self, edges, starts, xmin, ymin, xmax, ymax, area=None):
         self.edges, self.starts = edges, starts
         self.xmin, self.ymin, self.xmax, self.ymax = xmin, ymin, xmax, ymax
+        self.area = area or area_sql(edges)
 
     @classmethod
     def of(cls, geom: str) -> Shape:
@@ -170,10 +171,6 @@ class Shape:
             *[f"{geom}.{c}" for c in BOUNDS],
         )
 
-    @property
-    def area(self) -> str:
-        return area_sql(self.edges)
-
 
 def boxes_meet_sql(a: Shape, b: Shape) -> str:
     return (
@@ -281,16 +278,30 @@ def overlap_area_sql(a: Shape, b: Shape) -> str:
     )
 
 
-def _all_of(part: str, whole: str) -> str:
-    return f"({part} >= {whole} * (1D - {AREA_TOLERANCE}))"
+# Area predicates over a struct o_ of the shared area and both areas.
+_AREA_TESTS = {
+    "contains": f"o_.shared >= o_.b * (1D - {AREA_TOLERANCE})",
+    "within": f"o_.shared >= o_.a * (1D - {AREA_TOLERANCE})",
+    "equals": f"o_.shared >= greatest(o_.a, o_.b) * (1D - {AREA_TOLERANCE})",
+    "overlaps": f"o_.shared > least(o_.a, o_.b) * {AREA_TOLERANCE}"
+    f" AND o_.shared < least(o_.a, o_.b) * (1D - {AREA_TOLERANCE})",
+    "touches": f"o_.shared <= least(o_.a, o_.b) * {AREA_TOLERANCE}",
+}
+
+
+def areas_sql(a: Shape, b: Shape) -> str:
+    """struct<shared, a, b> of area(A and B), area(A), area(B)."""
+    return f"named_struct('shared', {overlap_area_sql(a, b)}, 'a', {a.area}, 'b', {b.area})"
 
 
-def _none_of(part: str, a: Shape, b: Shape) -> str:
-    return f"({part} <= least({a.area}, {b.area}) * {AREA_TOLERANCE})"
+def area_test_sql(predicate: str, areas: str) -> str:
+    """Area part of a predicate; a one-element filter names the struct, so that
+    the areas are worked out once."""
+    return f"exists(array({areas}), o_ -> {_AREA_TESTS[predicate]})"
 
 
-def predicate_sql(predicate: str, a: Shape, b: Shape, shared: str | None = None) -> str:
-    """Polygon predicate by name; ``shared`` may give area(A and B) if known.
+def predicate_sql(predicate: str, a: Shape, b: Shape) -> str:
+    """Polygon predicate by name.
 
     contains    all of B lies in A          within   all of A lies in B
     intersects  any shared point            equals   same point set
@@ -299,22 +310,12 @@ def predicate_sql(predicate: str, a: Shape, b: Shape, shared: str | None = None)
     """
     if predicate == "intersects":
         return intersects_sql(a, b)
-    shared = shared or overlap_area_sql(a, b)
-    if predicate == "contains":
-        return f"({boxes_meet_sql(a, b)} AND {_all_of(shared, b.area)})"
-    if predicate == "within":
-        return f"({boxes_meet_sql(a, b)} AND {_all_of(shared, a.area)})"
-    if predicate == "equals":
-        return (
-            f"({boxes_meet_sql(a, b)}"
-            f" AND {_all_of(shared, f'greatest({a.area}, {b.area})')})"
-        )
-    if predicate == "overlaps":
-        smaller = f"least({a.area}, {b.area})"
-        return f"(NOT {_none_of(shared, a, b)} AND NOT {_all_of(shared, smaller)})"
+    if predicate not in _AREA_TESTS:
+        raise ValueError(f"unknown spatial predicate {predicate!r}")
+    test = f"{boxes_meet_sql(a, b)} AND {area_test_sql(predicate, areas_sql(a, b))}"
     if predicate == "touches":
-        return f"({_none_of(shared, a, b)} AND {intersects_sql(a, b)})"
-    raise ValueError(f"unknown spatial predicate {predicate!r}")
+        test += f" AND {intersects_sql(a, b)}"
+    return f"({test})"
 
 
 def intersection_area(a: str, b: str) -> Column:

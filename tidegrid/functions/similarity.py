@@ -26,15 +26,14 @@ COSINE_EPSILON = 1e-10
 
 def tokens(text: Column) -> Column:
     """Lower-case white-space tokens of a text, without empty ones."""
-    return F.filter(F.split(F.lower(text), WHITE_SPACE), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), WHITE_SPACE), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Set Jaccard of two arrays; two empty sets are equal, one empty set scores 0."""
-    a, b = F.array_distinct(a), F.array_distinct(b)
-    shared = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
-        shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1.0))
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(1.0)).otherwise(
+        F.size(F.array_intersect(a, b)).cast("double") / F.greatest(union, F.lit(1))
     )
 
 

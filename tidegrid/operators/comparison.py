@@ -102,12 +102,11 @@ def item_counts(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """
 
     def side(column, n_left, n_right):
-        return pairs.select(key, F.explode(column).alias("item")).select(
-            key, "item", F.lit(n_left).alias("l"), F.lit(n_right).alias("r")
-        )
+        return F.struct(F.col(column).alias("items"), F.lit(n_left).alias("l"), F.lit(n_right).alias("r"))
 
+    sides = pairs.select(key, F.inline(F.array(side(left, 1, 0), side(right, 0, 1))))
     return (
-        side(left, 1, 0).unionAll(side(right, 0, 1))
+        sides.select(key, F.explode("items").alias("item"), "l", "r")
         .groupBy(key, "item")
         .agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
     )

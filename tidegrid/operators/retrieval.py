@@ -52,7 +52,7 @@ def cosine_topk(
     is scored as one matrix product, from which only its own best k leave, so
     the quadratic part is never materialised and a crowded group is spread over
     many tasks.  Returns query id, item id, score and rank, plus the item's
-    ``within`` columns.
+    ``within`` columns; the rank of a forced item outside the best k is NULL.
     """
     n_query, n_vector = _blocks(queries, QUERY_BLOCK), _blocks(vectors, VECTOR_BLOCK)
     limit = F.lit(k) if isinstance(k, int) else F.col(k)
@@ -106,7 +106,8 @@ def cosine_topk(
         .select(
             F.col("__q").alias(query_id), F.col("__i").alias(item_id),
             *[F.col(n).alias(b) for n, (_, b) in zip(groups, within)],
-            F.col("__score").alias("score"), "rank",
+            F.col("__score").alias("score"),
+            F.when(F.col("rank") <= F.col("__k"), F.col("rank")).alias("rank"),
         )
     )
 

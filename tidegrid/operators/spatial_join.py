@@ -64,7 +64,7 @@ class _Side:
         self.bounds = {"x0": x0, "y0": y0, "x1": x1, "y1": y1}
         self.source = df.where(f"{x0} IS NOT NULL AND {y0} IS NOT NULL")
         self.layer = df if layer is None else layer
-        self.shape = g.Shape(*[self.name(k) for k in ("edges", "starts", "x0", "y0", "x1", "y1")])
+        self.shape = g.Shape(*[self.name(k) for k in ("edges", "starts", "x0", "y0", "x1", "y1", "area")])
 
     def name(self, part: str) -> str:
         return f"__{self.tag}_{part}"
@@ -105,6 +105,7 @@ class _Side:
         if not self.is_point:
             parts.append(f"{g.edges_sql(f'{self.geom}.rings')} AS {self.name('edges')}")
             parts.append(f"{g.starts_sql(f'{self.geom}.rings')} AS {self.name('starts')}")
+            parts.append(f"{g.polygon_area_sql(self.geom)} AS {self.name('area')}")
         rows = self.source.where(inside).select(
             "*", *[F.expr(p) for p in parts], other_summary["levels"].alias("__foreign")
         )
@@ -120,7 +121,7 @@ class _Side:
             cells = f"concat(flatten({own}), {cells})"
         kept = [*self.columns, *[self.name(k) for k in b]]
         if not self.is_point:
-            kept += [self.name("edges"), self.name("starts")]
+            kept += [self.name("edges"), self.name("starts"), self.name("area")]
         return rows.selectExpr(*[f"`{c}`" for c in kept], f"inline({cells})")
 
     def _cells(self, level: str, owner: int) -> str:
@@ -272,9 +273,15 @@ def spatial_join(
     condition = f"{_boxes(sa, sb)} AND {_exact(predicate, sa, sb)}"
     if how == "inner":
         out = [F.col(c) for c in (*a.columns, *b.columns)]
-        if overlap_area is not None:
-            out.append(F.expr(g.overlap_area_sql(sa.shape, sb.shape)).alias(overlap_area))
-        return _joined(left, right, keys, condition, "inner").select(*out)
+        if overlap_area is None:
+            return _joined(left, right, keys, condition, "inner").select(*out)
+        # the measure comes with the predicate, so both are worked out in one go
+        areas = g.areas_sql(sa.shape, sb.shape)
+        test = g.area_test_sql(predicate, "o_") if predicate != "intersects" else "true"
+        rest = _exact("intersects", sa, sb) if predicate in ("intersects", "touches") else "true"
+        pairs = _joined(left, right, keys, f"{_boxes(sa, sb)} AND {rest}", "inner")
+        measured = pairs.selectExpr("*", f"inline(filter(array({areas}), o_ -> {test}))")
+        return measured.select(*out, F.col("shared").alias(overlap_area))
     if how not in ("left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     return _keep_by_match(a, sa, left, right, keys, condition, how, left_key)

@@ -58,7 +58,7 @@ def topk(layers):
 
 @query(
     "cosine_topk_forced",
-    _SCORES + " SELECT query_id, item_id, item_label, score, rank FROM (SELECT *, row_number() OVER"
+    _SCORES + " SELECT query_id, item_id, item_label, score, CASE WHEN rank <= 10 THEN rank END AS rank FROM (SELECT *, row_number() OVER"
     " (PARTITION BY query_id, item_label ORDER BY score DESC, item_id) AS rank FROM scored"
     " WHERE query_label = item_label) WHERE rank <= 10 OR item_id % 97 = 0",
 )
@@ -80,6 +80,14 @@ def _pairs(layers):
     return gold.join(predicted, "pair_id")
 
 
+def _set_pairs(layers):
+    """Distinct tokens of both texts; component sets are taken from these."""
+    pairs = _token_pairs(layers)
+    return pairs.select(
+        "pair_id", F.array_distinct("gold").alias("gold"), F.array_distinct("predicted").alias("predicted")
+    )
+
+
 def _token_pairs(layers):
     return _pairs(layers).select(
         "pair_id", tokens(F.col("gold")).alias("gold"), tokens(F.col("predicted")).alias("predicted")
@@ -144,7 +152,7 @@ def _component_sql(column, name):
     + ", 6) AS score FROM pairs",
 )
 def weighted_component_score(layers):
-    rows = _token_pairs(layers)
+    rows = _set_pairs(layers)
     for name in COMPONENT_WEIGHTS:
         rows = rows.withColumns(
             {f"g_{name}": _component("gold", name), f"p_{name}": _component("predicted", name)}
@@ -165,7 +173,7 @@ def _except_sql(a, b):
     f" list_min({_except_sql('gold', 'predicted')}) AS first_missing FROM pairs",
 )
 def missing_extra_sets(layers):
-    parts = _token_pairs(layers).select(
+    parts = _set_pairs(layers).select(
         "pair_id", set_difference(F.col("gold"), F.col("predicted")).alias("d")
     )
     return parts.select(
@@ -188,7 +196,7 @@ def _missing_count_sql(name):
 )
 def missing_component_counts(layers):
     """Pairs that lack an item of a component, for the three reported components."""
-    rows, names = _token_pairs(layers), ("from", "where", "join")
+    rows, names = _set_pairs(layers), ("from", "where", "join")
     lacking = rows.select(
         *[
             F.array_except(_component("gold", n), _component("predicted", n)).alias(f"missing_{n}")
