@@ -62,6 +62,11 @@ def _sum_sql(items: str, var: str, term: str) -> str:
     return f"aggregate({items}, 0D, (sum_{var}, {var}) -> sum_{var} + {term})"
 
 
+def let_sql(var: str, value: str, body: str) -> str:
+    """Body with a name for a value that is used several times in it."""
+    return f"transform(array({value}), {var} -> {body})[0]"
+
+
 def area_sql(edges: str) -> str:
     """Enclosed area of an edge array: trapezoids above the first corner."""
     base = f"coalesce({edges}[0].ay, 0D)"
@@ -216,11 +221,12 @@ def intersects_sql(a: Shape, b: Shape) -> str:
     """Any shared point.  Cheap tests first: a ring start of one polygon inside
     the other, then edge pairs, looking only at edges inside the other's box."""
     near_a, near_b = _edges_in_box_sql(a.edges, "e_", b), _edges_in_box_sql(b.edges, "f_", a)
+    meet = f"exists({near_a}, e_ -> exists(near_, f_ -> {segments_meet_sql('e_', 'f_')}))"
     return (
         f"({boxes_meet_sql(a, b)}"
         f" AND (exists({b.starts}, p_ -> {covers_sql(a.edges, 'p_.x', 'p_.y')})"
         f" OR exists({a.starts}, p_ -> {covers_sql(b.edges, 'p_.x', 'p_.y')})"
-        f" OR exists({near_a}, e_ -> exists({near_b}, f_ -> {segments_meet_sql('e_', 'f_')}))))"
+        f" OR {let_sql('near_', near_b, meet)}))"
     )
 
 
@@ -246,35 +252,39 @@ def _under_both_sql(lo: str, hi: str, base: str) -> str:
         f" THEN ({m0} + {mid}) * {cut} / 2D + ({mid} + {m1}) * (h_.w - {cut}) / 2D"
         f" ELSE ({m0} + {m1}) * h_.w / 2D END"
     )
-    # a one-element transform names the heights, so each is worked out once
-    return f"transform(array({ends}), h_ -> {area})[0]"
+    return let_sql("h_", ends, area)
 
 
 def overlap_area_sql(a: Shape, b: Shape) -> str:
     """area(A and B) without clipping: over all pairs of directed edges, the
     signed area under the lower of the two.  Edges outside the common x range,
     or wholly below the other polygon, add up to nothing and are left out."""
-    x0, x1 = f"greatest({a.xmin}, {b.xmin})", f"least({a.xmax}, {b.xmax})"
-    base = f"greatest({a.ymin}, {b.ymin})"
+    box = (
+        f"named_struct('x0', greatest({a.xmin}, {b.xmin}), 'x1', least({a.xmax}, {b.xmax}),"
+        f" 'y0', greatest({a.ymin}, {b.ymin}), 'y1', least({a.ymax}, {b.ymax}))"
+    )
 
     def relevant(edges, v, floor):
         return (
-            f"filter({edges}, {v} -> {v}.ax <> {v}.bx AND least({v}.ax, {v}.bx) < {x1}"
-            f" AND greatest({v}.ax, {v}.bx) > {x0} AND greatest({v}.ay, {v}.by) > {floor})"
+            f"filter({edges}, {v} -> {v}.ax <> {v}.bx AND least({v}.ax, {v}.bx) < k_.x1"
+            f" AND greatest({v}.ax, {v}.bx) > k_.x0 AND greatest({v}.ay, {v}.by) > {floor})"
         )
 
-    lo = f"greatest(least(e_.ax, e_.bx), least(f_.ax, f_.bx), {x0})"
-    hi = f"least(greatest(e_.ax, e_.bx), greatest(f_.ax, f_.bx), {x1})"
-    pair = (
-        f"CASE WHEN {lo} < {hi} THEN"
-        f" CASE WHEN (e_.ax > e_.bx) = (f_.ax > f_.bx) THEN 1D ELSE -1D END"
-        f" * {_under_both_sql(lo, hi, base)} ELSE 0D END"
+    span = (
+        "named_struct('lo', greatest(least(e_.ax, e_.bx), least(f_.ax, f_.bx), k_.x0),"
+        " 'hi', least(greatest(e_.ax, e_.bx), greatest(f_.ax, f_.bx), k_.x1))"
     )
-    under_b = _sum_sql(relevant(b.edges, "f_", a.ymin), "f_", pair)
-    total = _sum_sql(relevant(a.edges, "e_", b.ymin), "e_", under_b)
-    return (
-        f"CASE WHEN {x0} < {x1} AND {base} < least({a.ymax}, {b.ymax})"
-        f" THEN greatest({total}, 0D) ELSE 0D END"
+    pair = let_sql(
+        "l_", span,
+        "CASE WHEN l_.lo < l_.hi THEN"
+        " CASE WHEN (e_.ax > e_.bx) = (f_.ax > f_.bx) THEN 1D ELSE -1D END"
+        f" * {_under_both_sql('l_.lo', 'l_.hi', 'k_.y0')} ELSE 0D END",
+    )
+    pairs = _sum_sql(relevant(a.edges, "e_", b.ymin), "e_", _sum_sql("near_", "f_", pair))
+    total = let_sql("near_", relevant(b.edges, "f_", a.ymin), pairs)
+    return let_sql(
+        "k_", box,
+        f"CASE WHEN k_.x0 < k_.x1 AND k_.y0 < k_.y1 THEN greatest({total}, 0D) ELSE 0D END",
     )
 
 

@@ -284,10 +284,10 @@ def spatial_join(
         return measured.select(*out, F.col("shared").alias(overlap_area))
     if how not in ("left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    return _keep_by_match(a, sa, left, right, keys, condition, how, left_key)
+    return _keep_by_match(a, sa, sb, left, right, keys, condition, how, left_key)
 
 
-def _keep_by_match(a, sa, left, right, keys, condition, how, left_key):
+def _keep_by_match(a, sa, sb, left, right, keys, condition, how, left_key):
     """A row sits in several cells, so matches are collected by key first.
 
     When the kept side is the smaller one, the large side streams past it in an
@@ -299,7 +299,7 @@ def _keep_by_match(a, sa, left, right, keys, condition, how, left_key):
             raise ValueError("left_key is needed for semi and anti joins of polygons")
         left_key = list(sa.geom)
     left_key = [left_key] if isinstance(left_key, str) else list(left_key)
-    semi = _estimated_bytes(left) > _estimated_bytes(right)
+    semi = _estimated_bytes(sa.layer) > _estimated_bytes(sb.layer)
     matched = _joined(left, right, keys, condition, "left_semi" if semi else "inner")
     matched = matched.select(*left_key).distinct()
     return a.join(matched, left_key, how).select(*a.columns)

@@ -73,11 +73,16 @@ def topk_forced(layers):
 # -- text and set similarity -----------------------------------------------------
 
 def _pairs(layers):
-    """Each document beside the next one."""
+    """Each document beside the next one.
+
+    Texts are spread by pair before anything is done with them, so the work on
+    long texts does not depend on how the input is cut; the join reuses that
+    partitioning.
+    """
     docs = layers.table("documents")
     gold = docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("gold"))
     predicted = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("predicted"))
-    return gold.join(predicted, "pair_id")
+    return gold.repartition("pair_id").join(predicted.repartition("pair_id"), "pair_id")
 
 
 def _set_pairs(layers):
