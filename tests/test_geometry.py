@@ -69,7 +69,7 @@ OVERLAPS = [
     (sh.UNIT, sh.moved(sh.UNIT, 4, 0), 0.0),
     (sh.UNIT, sh.moved(sh.UNIT, 9, 9), 0.0),
     (sh.DIAMOND, sh.moved(sh.DIAMOND, 1, 0), 4.5),
-    (sh.UNIT, sh.moved(sh.ELL, 1, -2), 7.0),
+    (sh.UNIT, sh.moved(sh.ELL, 1, -2), 4.0),
 ]
 
 

@@ -1,0 +1 @@
+"""Flood-risk and geospatial analytics on Spark DataFrames."""
