@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import county_key, has_prefix, year_text
 from ..operators.aggregates import top_n, weighted_mean
 from ..operators.key_join import JOIN_RULES, _layer_of, join_layers, join_rules
+from ..sources.layers import row_counts
 from ..sources.records import pending
+from .layers import LAYER_NAMES
 from .registry import query
 
 
@@ -198,15 +200,22 @@ def resume_anti_join(layers):
     return pending(todo, layers.table("labels"), "doc_id")
 
 
+_RULE_ROWS = ", ".join(
+    f"('{kind}', '{_layer_of(left)}')" for kind, pairs in JOIN_RULES.items() for left, _ in pairs
+)
+
+
 @query(
     "join_rule_lookup",
-    "SELECT r.kind, COUNT(*) AS num_rules, (SELECT COUNT(*) FROM nation) AS num_nations FROM (VALUES "
-    + ", ".join(f"('{kind}')" for kind, pairs in JOIN_RULES.items() for _ in pairs)
-    + ") r(kind) GROUP BY r.kind",
+    "WITH counts AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS layer, COUNT(*) AS n FROM {n}" for n in LAYER_NAMES)
+    + f") SELECT r.kind, COUNT(*) AS num_rules, CAST(SUM(c.n) AS BIGINT) AS left_rows FROM (VALUES {_RULE_ROWS})"
+    " r(kind, layer) JOIN counts c ON r.layer = c.layer GROUP BY r.kind",
 )
 def join_rule_lookup(layers):
-    """The rule catalog by kind, beside the number of base counties."""
-    nations = layers.table("nation").agg(row_count()).scalar()
-    return join_rules(layers.spark).groupBy("kind").agg(row_count().alias("num_rules")).withColumn(
-        "num_nations", nations
+    """The rule catalog joined to the layers: rules and rows of their left layers by kind."""
+    left = F.regexp_extract("left_expr", r"(\w+)\.", 1).alias("layer")
+    rules = join_rules(layers.spark).select("kind", left)
+    return rules.join(row_counts(layers), "layer").groupBy("kind").agg(
+        row_count().alias("num_rules"), F.sum("row_count").alias("left_rows")
     )
