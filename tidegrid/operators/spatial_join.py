@@ -10,11 +10,11 @@ of two, so a box covers four cells at most), and the join runs on the cell key:
 * a pair sharing several cells is kept only in the cell that holds the lower
   left corner of the common box, so no de-duplicating shuffle is needed.
 
-The levels in use and the extent of each layer come from a one-row scalar
-subquery over the bounds columns, so they cost one narrow scan and no driver
-round trip; the extent also drops rows of one layer that lie outside the other
-(the "one state only" filter, without being told the state).  Catalyst then
-picks broadcast or sort-merge by size.  For large inputs a cell that would
+The levels in use and the extent of each layer are read beforehand by one small
+job over the bounds columns (two result rows).  Each extent becomes a filter on the
+other layer's bounds, which the parquet scan uses to skip row groups of a layer
+stored by place (the "one state only" filter, without being told the state).
+Catalyst then picks broadcast or sort-merge by size.  For large inputs a cell that would
 hold too much work is split into blocks (see ``_split_hot_cells``).
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -77,19 +77,20 @@ class _Side:
         extent = f"greatest({b['x1']} - {b['x0']}, {b['y1']} - {b['y0']})"
         return f"CASE WHEN {extent} > 0 THEN int(ceil(log2({extent}))) ELSE {_POINT_LEVEL} END"
 
-    def summary(self) -> Column:
-        """Levels in use and extent as a one-row scalar subquery.
+    def summary(self) -> DataFrame:
+        """Levels in use and extent, as one row.
 
         Both may come from a larger layer: more levels or a wider extent cost a
         little work and never change the result.
         """
         b = self.bounds
         return self.layer.selectExpr(
-            f"struct(collect_set({self.level}) AS levels, min({b['x0']}) AS x0,"
-            f" min({b['y0']}) AS y0, max({b['x1']}) AS x1, max({b['y1']}) AS y1) AS summary"
-        ).scalar()
+            f"'{self.tag}' AS tag", f"collect_set({self.level}) AS levels",
+            f"CAST(min({b['x0']}) AS DOUBLE) AS x0", f"CAST(min({b['y0']}) AS DOUBLE) AS y0",
+            f"CAST(max({b['x1']}) AS DOUBLE) AS x1", f"CAST(max({b['y1']}) AS DOUBLE) AS y1",
+        )
 
-    def in_cells(self, other_summary: Column, owner: int) -> DataFrame:
+    def in_cells(self, other: Row, owner: int) -> DataFrame:
         """Rows inside the other layer's extent, once per cell.
 
         ``owner`` is 0 for the left side and 1 for the right; the coarser
@@ -97,22 +98,22 @@ class _Side:
         """
         b = self.bounds
         inside = (
-            (F.expr(b["x0"]) <= other_summary["x1"]) & (F.expr(b["x1"]) >= other_summary["x0"])
-            & (F.expr(b["y0"]) <= other_summary["y1"]) & (F.expr(b["y1"]) >= other_summary["y0"])
+            (F.expr(b["x0"]) <= F.lit(other["x1"])) & (F.expr(b["x1"]) >= F.lit(other["x0"]))
+            & (F.expr(b["y0"]) <= F.lit(other["y1"])) & (F.expr(b["y1"]) >= F.lit(other["y0"]))
         )
+        levels = sorted(lv for lv in other["levels"] if lv > _POINT_LEVEL)
+        foreign = f"CAST(array({', '.join(map(str, levels))}) AS ARRAY<INT>)"
         parts = [f"{v} AS {self.name(k)}" for k, v in b.items()]
         parts.append(f"{self.level} AS {self.name('level')}")
         if not self.is_point:
             parts.append(f"{g.edges_sql(f'{self.geom}.rings')} AS {self.name('edges')}")
             parts.append(f"{g.starts_sql(f'{self.geom}.rings')} AS {self.name('starts')}")
             parts.append(f"{g.polygon_area_sql(self.geom)} AS {self.name('area')}")
-        rows = self.source.where(inside).select(
-            "*", *[F.expr(p) for p in parts], other_summary["levels"].alias("__foreign")
-        )
+        rows = self.source.where(inside).selectExpr("*", *parts)
         level = self.name("level")
         coarser = f"lv_ > {level}" if owner == 0 else f"lv_ >= {level}"
         cells = (
-            f"flatten(transform(filter(__foreign, lv_ -> {coarser} AND lv_ > {_POINT_LEVEL}),"
+            f"flatten(transform(filter({foreign}, lv_ -> {coarser}),"
             f" lv_ -> {self._cells('lv_', 1 - owner)}))"
         )
         if self.has_extent:
@@ -209,9 +210,13 @@ def _split_hot_cells(left: DataFrame, right: DataFrame, a: _Side, b: _Side, bloc
 
 
 def _candidates(a: _Side, b: _Side, partition_keys, split_hot, block_rows):
-    """Both sides in cells, and the names of the equi-join columns."""
-    summary_a, summary_b = a.summary(), b.summary()
-    left, right = a.in_cells(summary_b, 0), b.in_cells(summary_a, 1)
+    """Both sides in cells, and the names of the equi-join columns.
+
+    The two summaries are read in one small job now, so that the extents reach
+    the scans as plain filters.
+    """
+    summary = {row["tag"]: row for row in a.summary().unionAll(b.summary()).collect()}
+    left, right = a.in_cells(summary["b"], 0), b.in_cells(summary["a"], 1)
     keys = list(_CELL)
     for i, (ka, kb) in enumerate(partition_keys):
         left = left.withColumn(f"__key{i}", F.col(ka))
