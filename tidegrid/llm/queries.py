@@ -6,19 +6,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .binary_ids import token_ids
+from .packing import pack_documents
 from .tokens import token_counts
+from .warc import archived_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = archived_pages(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, strlen(body) AS n, sha256(body) AS digest FROM p
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simple8b_ids": op2_simple8b_ids,
     "op5_token_counts": op5_token_counts,
+    "op9_warc_reassembly": op9_warc_reassembly,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_warc_reassembly": OP9_SQL,
+}
