@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.sources.storage import working_folder
@@ -34,7 +35,7 @@ def text_slices(
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Arrow batches cut where the texts reach ``limit`` bytes, each with its texts as Python strings."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start, n = 0, batch.num_rows
         while start < n:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, quality
 from .binary_ids import token_ids
 from .packing import pack_documents
 from .tokens import token_counts
+from .vafile import top_k
 from .warc import archived_pages
 
 
@@ -16,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(parts: int) -> Column:
+    """Remainder of the checksum of doc_id written as text; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
 def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,43 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return top_k(embeddings, embeddings.where("vec_id % 100 = 0"), k=10)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents, fold(3) != 1)
+    out = langid.predict(documents, model, reject=False)
+    return out.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "outlier")
+
+
+def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    weights = quality.fit(documents, table(spark, sf_dir, "labels"), fold(5) != 0)
+    out = quality.score(documents.withColumn("doc_id", F.col("doc_id").cast("long")), weights)
+    held_out = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = archived_pages(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,10 +96,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simple8b_ids": op2_simple8b_ids,
     "op5_token_counts": op5_token_counts,
+    "op6_va_file_top_k": op6_va_file_top_k,
+    "op7_language_id": op7_language_id,
+    "op8_quality_ftrl": op8_quality_ftrl,
     "op9_warc_reassembly": op9_warc_reassembly,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
+    "op6_va_file_top_k": OP6_SQL,
     "op9_warc_reassembly": OP9_SQL,
 }

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +143,7 @@ def token_counts(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", lim
             yield pa.RecordBatch.from_arrays(
                 [
                     part["doc_id"],
-                    pa.compute.fill_null(pa.compute.binary_length(part["text"]), 0).cast(pa.int64()),
+                    pc.fill_null(pc.binary_length(part["text"]), 0).cast(pa.int64()),
                     pa.array(n),
                     pa.array(n > limit),
                 ],
