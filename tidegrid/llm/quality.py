@@ -63,7 +63,7 @@ def logistic(x: float | np.ndarray):
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int = SAMPLE_ROWS, passes: int = 3,
+    documents: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int = SAMPLE_ROWS, passes: int = 6,
     bits: int = BITS,
 ) -> np.ndarray:
     """Weights learned from labelled rows that ``learn_from`` (a condition on doc_id) accepts.
