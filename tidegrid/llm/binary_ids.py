@@ -30,43 +30,60 @@ from .tokens import encoder
 #: slots of a word and bits of a slot, by selector (0 and 1 are not used)
 SLOTS = np.array([0, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-ESCAPE_WIDTHS = (8, 10, 12, 15, 20, 30, 60)
+#: selectors whose width may be the escape of a block (8 to 60 bits)
+ESCAPE_SELECTORS = (9, 10, 11, 12, 13, 14, 15)
 BLOCK = 512
 SEGMENT_IDS = 1 << 20
 _MAGIC = b"TS8B"
 _HEAD = struct.Struct("<4sIIIQ")
 
 
-def _slots_for(width: int) -> int:
-    return int(SLOTS[BITS == width][0])
+#: number of the narrowest selector whose slot takes an id, the escape of that width set apart
+_NARROWEST = np.searchsorted((1 << BITS[2:-1].astype(np.int64)) - 1, np.arange(1 << 16), side="right").astype(np.uint8) + np.uint8(2)
+
+
+def _fits(ids: np.ndarray) -> np.ndarray:
+    if ids.max(initial=0) < len(_NARROWEST):
+        return _NARROWEST[ids]
+    return (np.searchsorted((1 << BITS[2:-1].astype(np.int64)) - 1, ids.astype(np.int64), side="right") + 2).astype(np.uint8)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, words of each block, escapes, escapes of each block, width of each block; the last block may be short."""
     n = len(ids)
     blocks = -(-n // block)
-    # the escape width that costs least, block by block
+    if not n:
+        return np.empty(0, "<u8"), np.empty(0, np.int64), np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.uint8)
     starts = np.arange(0, n, block)
     sizes = np.diff(np.append(starts, n))
-    above = [np.add.reduceat((ids >= (1 << w) - 1).astype(np.int64), starts) if n else np.empty(0) for w in ESCAPE_WIDTHS]
-    cost = [8 * sizes / _slots_for(w) + 4 * a for w, a in zip(ESCAPE_WIDTHS, above, strict=True)]
-    width = np.array(ESCAPE_WIDTHS)[np.argmin(cost, axis=0)] if n else np.empty(0, np.int64)
-    marker = np.repeat((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1), sizes) if n else np.empty(0, np.uint64)
-    values = ids.astype(np.uint64)
-    escaped = values >= marker
+    # the escape width that costs least, block by block
+    fit = _fits(ids)
+    of = np.repeat(np.arange(blocks, dtype=np.int32), sizes)
+    by_width = np.bincount(of * np.int32(len(SLOTS)) + fit, minlength=blocks * len(SLOTS)).reshape(blocks, len(SLOTS))
+    above = [by_width[:, s + 1 :].sum(axis=1) for s in ESCAPE_SELECTORS]
+    cost = [8 * sizes / SLOTS[s] + 4 * a for s, a in zip(ESCAPE_SELECTORS, above, strict=True)]
+    widest = np.array(ESCAPE_SELECTORS, np.uint8)[np.argmin(cost, axis=0)]
+    width = BITS[widest]
+    widest = widest[of]
+    escaped = fit > widest
     escapes = ids[escaped].astype("<u4")
-    n_escapes = np.add.reduceat(escaped.astype(np.int64), starts) if n else np.empty(0, np.int64)
-    values = np.minimum(values, marker)
+    n_escapes = np.bincount(of[escaped], minlength=blocks)
+    values = ids.astype(np.uint64)
+    values[escaped] = (np.uint64(1) << BITS[widest[escaped]].astype(np.uint64)) - np.uint64(1)
+    fit = np.minimum(fit, widest)
 
     # for every place the selector with the most slots whose next ids all fit; the end of a block may leave slots empty
-    end = np.repeat(np.append(starts, n)[1:], sizes)
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
+    end = np.minimum((of + 1) * block, n).astype(np.int32)
     left = end - place
-    selector = np.zeros(n, np.int8)
-    for s in range(len(SLOTS) - 1, 1, -1):
-        wide = np.where(values >> np.uint64(BITS[s]) > 0, place, n)
-        too_wide = np.minimum.accumulate(wide[::-1])[::-1]  # next id that does not fit
-        selector[too_wide - place >= np.minimum(SLOTS[s], left)] = s
+    selector = np.full(n, len(SLOTS) - 1, np.int8)
+    for s in range(len(SLOTS) - 2, 1, -1):
+        wide = fit > s
+        at = np.flatnonzero(wide)
+        if len(at) and max(at[0], n - at[-1], np.diff(at).max(initial=0)) <= min(SLOTS[s], block):
+            break  # no run is long enough for this selector, nor for one with more slots
+        too_wide = np.minimum.accumulate(np.where(wide, place, np.int32(n))[::-1])[::-1]  # next id that does not fit
+        selector[too_wide - place >= np.minimum(np.int32(SLOTS[s]), left)] = s
     # walk all blocks side by side
     at, bound, heads = starts.copy(), starts + sizes, []
     while len(at):

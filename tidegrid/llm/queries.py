@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, quality
 from .binary_ids import token_ids
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .tokens import token_counts
 from .vafile import top_k
@@ -28,6 +29,10 @@ def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def op3_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simple8b_ids": op2_simple8b_ids,
+    "op3_probminhash_near_duplicates": op3_probminhash_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op6_va_file_top_k": op6_va_file_top_k,
     "op7_language_id": op7_language_id,

@@ -42,7 +42,7 @@ def tokenizer_path(name: str) -> str:
 class PieceEncoder:
     """Ids of texts for a ``.json`` file whose tokens never span white space, as packed 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,8 +89,19 @@ class PieceEncoder:
             known[piece] = known[letters] + known[marks]
         return odd
 
+    @staticmethod
+    def _plain_case(text: str) -> str:
+        """Lower case where that changes no id: Latin letters only, and nothing that could be a special string."""
+        if "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        cut = [self._plain_case(t or "").replace("\n", " ").split(" ") for t in texts]
         odd = self.learn(set(itertools.chain.from_iterable(cut)))
         get = self.known.__getitem__
         ids = [b"".join(map(get, pieces)) for pieces in cut]
