@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, quality
 from .binary_ids import token_ids
+from .decontaminate import contaminated
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .tokens import token_counts
@@ -33,6 +34,52 @@ def op3_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: every window of an item's length that starts where it can share a shingle, compared directly
+OP4_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark
+), d AS (
+  SELECT doc_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS g
+  FROM dw WHERE len(w) >= 5
+), i AS (
+  SELECT item_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS g
+  FROM iw WHERE len(w) >= 5
+), dp AS (
+  SELECT doc_id, n, unnest(g) AS s, unnest(range(0, len(g))) AS p FROM d
+), ip AS (
+  SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, n, unnest(g) AS s FROM i) GROUP BY ALL
+), hit AS (
+  SELECT DISTINCT dp.doc_id, dp.n AS dn, ip.item_id, ip.n AS m, p
+  FROM dp JOIN ip USING (s)
+), win AS (
+  SELECT DISTINCT doc_id, item_id, m, a
+  FROM (SELECT *, unnest(range(greatest(0, p - m + 5), least(p, greatest(0, dn - m)) + 1)) AS a FROM hit)
+), wg AS (
+  SELECT win.doc_id, item_id, m, a, unnest(g[a+1 : a+m-4]) AS s, len(g[a+1 : a+m-4]) AS size
+  FROM win JOIN d USING (doc_id)
+), wc AS (
+  SELECT doc_id, item_id, m, a, size, s, count(*) AS c FROM wg GROUP BY ALL
+), sim AS (
+  SELECT wc.doc_id, wc.item_id, wc.m, a, size, sum(least(wc.c, ip.c)) AS shared
+  FROM wc JOIN ip ON ip.item_id = wc.item_id AND ip.s = wc.s
+  GROUP BY ALL
+), best AS (
+  SELECT doc_id, item_id, CAST(shared AS DOUBLE) / (size + m - 4 - shared) AS similarity, a, m FROM sim
+)
+SELECT doc_id, item_id, max(similarity) AS similarity,
+       CAST(arg_min(a, (-similarity, a)) AS INTEGER) AS start_word, CAST(arg_min(m, (-similarity, a)) AS INTEGER) AS n_words
+FROM best
+WHERE similarity >= 0.8
+GROUP BY doc_id, item_id
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -101,6 +148,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simple8b_ids": op2_simple8b_ids,
     "op3_probminhash_near_duplicates": op3_probminhash_near_duplicates,
+    "op4_simhash_decontamination": op4_simhash_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_va_file_top_k": op6_va_file_top_k,
     "op7_language_id": op7_language_id,
@@ -110,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_simhash_decontamination": OP4_SQL,
     "op6_va_file_top_k": OP6_SQL,
     "op9_warc_reassembly": OP9_SQL,
 }
