@@ -12,6 +12,7 @@ from .binary_ids import token_ids
 from .decontaminate import contaminated
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .substring import without_repeats
 from .tokens import token_counts
 from .vafile import top_k
 from .warc import archived_pages
@@ -26,6 +27,32 @@ def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op1_fm_index_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return without_repeats(documents, columns=["doc_id", "text"], keep_text=False).drop("text")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, a, md5(array_to_string(w[a : a + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS a FROM d WHERE len(w) >= 35)
+), rep AS (
+  SELECT doc_id, a FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT doc_id, list_sort(list_distinct(flatten(list(range(a, a + 35))))) AS g FROM rep GROUP BY doc_id
+), cut AS (
+  SELECT doc_id, w, coalesce(g, []) AS g,
+         list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(g, x[2])), lambda x: x[1]) AS kept
+  FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(g) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN len(g) = 0 THEN w ELSE kept END, ' ')) AS kept_sha256
+FROM cut
+"""
+
+
 def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -146,6 +173,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fm_index_substring_dedup": op1_fm_index_substring_dedup,
     "op2_simple8b_ids": op2_simple8b_ids,
     "op3_probminhash_near_duplicates": op3_probminhash_near_duplicates,
     "op4_simhash_decontamination": op4_simhash_decontamination,
@@ -158,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_fm_index_substring_dedup": OP1_SQL,
     "op4_simhash_decontamination": OP4_SQL,
     "op6_va_file_top_k": OP6_SQL,
     "op9_warc_reassembly": OP9_SQL,
