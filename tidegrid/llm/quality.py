@@ -113,13 +113,15 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()])], names=["weights"])
 
     # one task over a sample of bounded size, in an order that does not depend on how it was read
-    (learned,) = (
+    learned = (
         rows.repartition(1)
         .sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id", "at", "quality")
         .mapInArrow(train, "weights binary")
         .collect()
     )
-    return np.frombuffer(bytes(learned["weights"]), "<f4")
+    if not learned:
+        return np.zeros((1 << bits) + 1, "<f4")
+    return np.frombuffer(bytes(learned[0]["weights"]), "<f4")
 
 
 def score(documents: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
