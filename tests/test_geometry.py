@@ -129,3 +129,45 @@ def test_mercator_and_envelope(spark):
     assert xy["x"] == pytest.approx(20037508.342789244) and xy["y"] == pytest.approx(0, abs=1e-6)
     box = one(spark, g.envelope("a"), a=sh.moved(sh.DIAMOND, 1, 2))
     assert tuple(box) == (1.0, 2.0, 5.0, 6.0)
+
+
+def test_parts_and_nesting(spark):
+    """Multipolygons keep their parts when oriented; shells directly in shells are invalid."""
+    def box(a, b, turned=False):
+        ring = [(a, a), (b, a), (b, b), (a, b), (a, a)]
+        return ring[::-1] if turned else ring
+
+    two = [box(0.0, 4.0), box(10.0, 12.0)]
+    with_hole = [box(0.0, 6.0), box(1.0, 5.0, True)]
+    island = [*with_hole, box(2.0, 3.0)]
+    rows = [
+        ("two", two, True), ("two turned", [r[::-1] for r in two], False), ("hole", with_hole, True), ("island", island, True),
+        ("shell in shell", [box(0.0, 6.0), box(1.0, 5.0)], False), ("hole in hole", [*with_hole, box(2.0, 3.0, True)], False),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "name string, rings array<array<struct<x:double,y:double>>>")
+    got = {r["name"]: r for r in df.select("name", g.is_valid("rings").alias("ok"), F.expr(g.orient_rings_sql("rings")).alias("r")).collect()}
+    assert {n: got[n].ok for n, *_ in rows if n != "two turned"} == {n: ok for n, _, ok in rows if n != "two turned"}
+    for name, want in (("two", two), ("two turned", two), ("island", island)):
+        area = spark.createDataFrame([([[tuple(p) for p in r] for r in got[name].r],)], "r array<array<struct<x:double,y:double>>>")
+        area = area.select(g.make_polygon("r", "true").alias("s")).select(g.polygon_area("s").alias("a")).first().a
+        assert area == {"two": 20.0, "two turned": 20.0, "island": 21.0}[name]
+
+
+def test_validity_does_not_hang_on_keys_or_size(spark):
+    import math
+
+    from tidegrid.operators.validity import flag_valid
+
+    def circle(n, x):
+        ring = [(x + math.cos(2 * math.pi * k / n), math.sin(2 * math.pi * k / n)) for k in range(n)]
+        return [[*ring, ring[0]]]
+
+    def bow(n):
+        top = [(k / n * 4.0, 4.0 - k / n * 4.0) for k in range(n)]
+        return [[(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), *reversed(top[1:-1]), (0.0, 4.0), (0.0, 0.0)]]
+
+    for n in (20, 90):
+        rows = [(None, circle(n, 0.0)), ("k", circle(n, 0.0)), ("k", circle(n, 0.5)), (None, bow(n))]
+        df = spark.createDataFrame(rows, "key string, rings array<array<struct<x:double,y:double>>>")
+        got = flag_valid(df, "key", "rings").withColumn("corners", F.expr("rings[0][0].x = 0 AND rings[0][1].x = 4")).collect()
+        assert sorted(r.valid for r in got) == [False, True, True, True] and [r.valid for r in got if r.corners] == [False]

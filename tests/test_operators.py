@@ -147,4 +147,13 @@ def test_profile(spark):
     assert [(r["column_name"], r["indexed"], r["description"], r["row_count"]) for r in rows] == [
         ("GEOID", True, "unknown", 2), ("v", False, "a value", 2),
     ]
-    assert sorted(rows[0]["sample"]) == ["12", "48"] and rows[1]["sample"] == ["1.0"]
+    # the samples of all columns are the same rows in the same order
+    assert dict(zip(rows[0]["sample"], rows[1]["sample"])) == {"48": "1.0", "12": None}
+
+
+def test_retrieval_leaves_null_vectors_out(spark):
+    from tidegrid.operators.retrieval import cosine_topk
+
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, query_vector array<double>")
+    v = spark.createDataFrame([(7, [1.0, 0.0]), (8, None), (9, [1.0, None])], "item_id long, item_vector array<double>")
+    assert [(r.query_id, r.item_id) for r in cosine_topk(q, v, 3).collect()] == [(1, 7)]

@@ -131,3 +131,28 @@ def test_plan_has_no_nested_loop(spark, left, right):
 def test_column_clash_is_reported(left):
     with pytest.raises(ValueError, match="rename"):
         spatial_join(left, left, "intersects", a_geom="a_geom", b_geom="a_geom")
+
+
+def test_semi_and_anti_joins_respect_partition_keys(spark):
+    area = spark.createDataFrame([("A", [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]])], "part string, r array<array<struct<x:double,y:double>>>")
+    area = area.select("part", g.make_polygon("r", "true").alias("shape"))
+    points = spark.createDataFrame([(1, "A", 1.0, 1.0), (2, "B", 1.0, 1.0)], "p int, part string, lon double, lat double")
+    kw = {"a_geom": ("lon", "lat"), "b_geom": "shape", "partition_keys": [("part", "part")]}
+    # both sides have a column named part
+    assert [r.p for r in spatial_join(points, area, "within", "left_semi", **kw).collect()] == [1]
+    assert [r.p for r in spatial_join(points, area, "within", "left_anti", **kw).collect()] == [2]
+
+
+def test_coincident_points(spark):
+    a = spark.createDataFrame([(1, 0.5, 0.5), (2, 3.0, 3.0), (3, None, 0.5)], "a int, ax double, ay double")
+    b = spark.createDataFrame([(7, 0.5, 0.5), (8, 0.5, 0.5000001)], "b int, bx double, by double")
+    got = distance_join(a, b, 0.0, a_geom=("ax", "ay"), b_geom=("bx", "by")).collect()
+    assert [(r.a, r.b, r.distance) for r in got] == [(1, 7, 0.0)]
+
+
+def test_a_hot_cell_of_equal_rows_is_found_and_split(spark):
+    area = spark.createDataFrame([([[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]],)] * 30, "r array<array<struct<x:double,y:double>>>")
+    area = area.select(g.make_polygon("r", "true").alias("shape"))
+    points = spark.createDataFrame([(1.0, 1.0)] * 50, "lon double, lat double")
+    got = spatial_join(points, area, "within", a_geom=("lon", "lat"), b_geom="shape", block_rows=7)
+    assert got.count() == 1500

@@ -113,11 +113,22 @@ def envelope(geom: str) -> Column:
     return F.struct(*[F.col(geom)[c].alias(c) for c in BOUNDS])
 
 
+def nesting_sql(rings: str, ring: str, number: str) -> str:
+    """How many other rings the ring lies in (rings do not cross in a sound outline)."""
+    inside = contains_sql(ring_edges_sql("q_"), "corner_.x", "corner_.y")
+    return f"size(filter({rings}, (q_, j_) -> j_ <> {number} AND exists({ring}, corner_ -> {inside})))"
+
+
 def orient_rings_sql(rings: str) -> str:
-    """First ring counter-clockwise, the others clockwise (one part, with holes)."""
+    """Shells counter-clockwise, holes clockwise, whatever part they belong to.
+
+    A ring inside an even number of others is a shell, else a hole, so the parts
+    of a multipolygon keep their shells and islands in holes stay islands.
+    """
     return (
         f"transform({rings}, (r_, i_) ->"
-        f" CASE WHEN ({ring_area_sql('r_')} > 0) = (i_ = 0) THEN r_ ELSE reverse(r_) END)"
+        f" CASE WHEN ({ring_area_sql('r_')} > 0) = ({nesting_sql(rings, 'r_', 'i_')} % 2 = 0)"
+        " THEN r_ ELSE reverse(r_) END)"
     )
 
 
@@ -489,6 +500,13 @@ def holes_inside_sql(rings: str) -> str:
     )
 
 
+def nesting_ok_sql(rings: str) -> str:
+    """Shells lie in an even number of other rings and holes in an odd number:
+    no shell directly inside another, no hole inside a hole."""
+    parity = f"(({ring_area_sql('r_')} < 0) = ({nesting_sql(rings, 'r_', 'i_')} % 2 = 1))"
+    return f"forall(transform({rings}, (r_, i_) -> {parity}), ok_ -> ok_)"
+
+
 def clashes_in_row_sql(edges: str) -> str:
     """Some pair of the numbered edges of one row clashes."""
     return (
@@ -499,7 +517,10 @@ def clashes_in_row_sql(edges: str) -> str:
 
 def shape_ok_sql(rings: str) -> str:
     """The part of validity that looks at rings one by one."""
-    return f"({closed_sql(rings)} AND (size({rings}) = 1 OR {holes_inside_sql(rings)}))"
+    return (
+        f"({closed_sql(rings)} AND (size({rings}) = 1"
+        f" OR ({holes_inside_sql(rings)} AND {nesting_ok_sql(rings)})))"
+    )
 
 
 def is_valid(rings: str) -> Column:

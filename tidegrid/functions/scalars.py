@@ -51,8 +51,13 @@ def blob_text(column: str) -> Column:
 
 
 def iso_text(column: str) -> Column:
-    """Date or timestamp as ISO text."""
-    return F.date_format(F.col(column), "yyyy-MM-dd'T'HH:mm:ss")
+    """Date or timestamp as ISO text; microseconds only where there are any."""
+    c = F.col(column).cast("timestamp")
+    fraction = F.date_format(c, "SSSSSS")
+    return F.concat(
+        F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""),
+    )
 
 
 def flatten_text(text: Column) -> Column:
@@ -61,8 +66,8 @@ def flatten_text(text: Column) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    """Take code fences off a text."""
-    return F.trim(F.regexp_replace(text, r"```(sql)?", ""))
+    """Take code fences off a text, and white space of any kind off its ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"```(sql)?", ""), r"^\s+|\s+$", "")
 
 
 def describe_or_unknown(description: Column) -> Column:

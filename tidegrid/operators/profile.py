@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import iso_text
 from ..sources.layers import sample_rows
 
 # Columns marked as indexed, and the one to keep out of SELECT *.
@@ -20,7 +21,7 @@ def _as_text(field: T.StructField):
     if isinstance(field.dataType, T.BinaryType):
         return F.concat(F.lit("BLOB("), F.octet_length(c).cast("string"), F.lit(" bytes)"))
     if isinstance(field.dataType, T.TimestampType):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return iso_text(field.name)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c).cast("string")
     if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
@@ -31,12 +32,19 @@ def _as_text(field: T.StructField):
 def profile_layer(
     name: str, df: DataFrame, key: str, descriptions: Mapping[str, str] | None = None, sample: int = 3
 ) -> DataFrame:
-    """One row per column of a layer."""
+    """One row per column of a layer.
+
+    ``sample`` holds a value of each sampled row in the same order for every
+    column, NULL included, so the samples of a layer line up as rows.
+    """
     descriptions = descriptions or {}
     count = df.agg(F.count(F.lit(1))).scalar()
     # at most ``sample`` rows reach the single aggregate below
     few = sample_rows(df, sample, key).select(*[_as_text(f).alias(f.name) for f in df.schema])
-    one = few.agg(*[F.collect_list(c).alias(c) for c in few.columns])
+    rows = F.collect_list(F.struct(*few.columns))
+    one = few.agg(rows.alias("__rows")).select(
+        *[F.col("__rows").getField(c).alias(c) for c in few.columns]
+    )
     entries = [
         F.struct(
             F.lit(i).alias("position"),

@@ -29,6 +29,10 @@ def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+def _usable(vector: str) -> Column:
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+
+
 def cosine_topk(
     queries: DataFrame,
     vectors: DataFrame,
@@ -53,7 +57,10 @@ def cosine_topk(
     the quadratic part is never materialised and a crowded group is spread over
     many tasks.  Returns query id, item id, score and rank, plus the item's
     ``within`` columns; the rank of a forced item outside the best k is NULL.
+    Rows whose vector is NULL or holds a NULL take no part on either side.
     """
+    queries = queries.where(_usable(query_vector))
+    vectors = vectors.where(_usable(item_vector))
     n_query, n_vector = _blocks(queries, QUERY_BLOCK), _blocks(vectors, VECTOR_BLOCK)
     limit = F.lit(k) if isinstance(k, int) else F.col(k)
     groups = [f"__g{i}" for i in range(len(within))]

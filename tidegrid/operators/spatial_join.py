@@ -14,8 +14,9 @@ The levels in use and the extent of each layer are read beforehand by one small
 job over the bounds columns (two result rows).  Each extent becomes a filter on the
 other layer's bounds, which the parquet scan uses to skip row groups of a layer
 stored by place (the "one state only" filter, without being told the state).
-Catalyst then picks broadcast or sort-merge by size.  For large inputs a cell that would
-hold too much work is split into blocks (see ``_split_hot_cells``).
+Catalyst then picks broadcast or sort-merge by size.  Rows per cell are counted from the
+bounds alone, and a cell that would hold too much work is split into blocks
+(see ``_split_hot_cells``).
 """
 
 from __future__ import annotations
@@ -30,14 +31,12 @@ from ..functions import geometry as g
 # Level of a point: finer than any polygon, so points never own a cell.
 _POINT_LEVEL = -200
 
-# Rows per block when a hot cell is split, and how many of the hottest cells
-# are split (this bounds the broadcast list of hot cells).
-BLOCK_ROWS = 20_000
-MAX_HOT_CELLS = 10_000
+# Level of shapes without extent where they have to own a cell (coincident
+# points, collapsed polygons).
+_SPOT_LEVEL = -20
 
-# Two layers estimated above this size are joined by shuffle, so hot cells are
-# looked for; a smaller side gets broadcast or stays cheap.
-SPLIT_ABOVE_BYTES = 256 << 20
+# Rows per block when a hot cell is split.
+BLOCK_ROWS = 20_000
 
 _CELL = ("__owner_level", "__cx", "__cy")
 
@@ -51,10 +50,10 @@ class _Side:
     ``grow`` widens the bounds, ``tag`` (a or b) names the internal columns.
     """
 
-    def __init__(self, df: DataFrame, geom, tag: str, grow: float = 0.0, layer=None):
-        self.tag, self.geom = tag, geom
+    def __init__(self, df: DataFrame, geom, tag: str, grow: float | None = None, layer=None):
+        self.tag, self.geom, self.grow = tag, geom, grow
         self.is_point = not isinstance(geom, str)
-        self.has_extent = bool(grow) or not self.is_point
+        self.has_extent = grow is not None or not self.is_point
         self.columns = df.columns
         x0, y0, x1, y1 = (
             [*geom, *geom] if self.is_point else [f"{geom}.{c}" for c in g.BOUNDS]
@@ -75,7 +74,7 @@ class _Side:
             return str(_POINT_LEVEL)
         b = self.bounds
         extent = f"greatest({b['x1']} - {b['x0']}, {b['y1']} - {b['y0']})"
-        return f"CASE WHEN {extent} > 0 THEN int(ceil(log2({extent}))) ELSE {_POINT_LEVEL} END"
+        return f"CASE WHEN {extent} > 0 THEN int(ceil(log2({extent}))) ELSE {_SPOT_LEVEL} END"
 
     def summary(self) -> DataFrame:
         """Levels in use and extent, as one row.
@@ -90,11 +89,20 @@ class _Side:
             f"CAST(max({b['x1']}) AS DOUBLE) AS x1", f"CAST(max({b['y1']}) AS DOUBLE) AS y1",
         )
 
-    def in_cells(self, other: Row, owner: int) -> DataFrame:
+    def bounds_only(self) -> _Side:
+        """The same side over nothing but what its bounds are read from.
+
+        A larger layer given for the summary stands in for the rows of a join.
+        """
+        columns = list(self.geom) if self.is_point else [self.geom]
+        return _Side(self.layer.select(*columns), self.geom, self.tag, self.grow)
+
+    def in_cells(self, other: Row, owner: int, rows_only: bool = False) -> DataFrame:
         """Rows inside the other layer's extent, once per cell.
 
         ``owner`` is 0 for the left side and 1 for the right; the coarser
-        partner of a pair owns the cell, the left side on a tie.
+        partner of a pair owns the cell, the left side on a tie.  With
+        ``rows_only`` just the cells come out, without the columns.
         """
         b = self.bounds
         inside = (
@@ -105,7 +113,7 @@ class _Side:
         foreign = f"CAST(array({', '.join(map(str, levels))}) AS ARRAY<INT>)"
         parts = [f"{v} AS {self.name(k)}" for k, v in b.items()]
         parts.append(f"{self.level} AS {self.name('level')}")
-        if not self.is_point:
+        if not (self.is_point or rows_only):
             parts.append(f"{g.edges_sql(f'{self.geom}.rings')} AS {self.name('edges')}")
             parts.append(f"{g.starts_sql(f'{self.geom}.rings')} AS {self.name('starts')}")
             parts.append(f"{g.polygon_area_sql(self.geom)} AS {self.name('area')}")
@@ -117,9 +125,10 @@ class _Side:
             f" lv_ -> {self._cells('lv_', 1 - owner)}))"
         )
         if self.has_extent:
-            # a shape without extent (a collapsed polygon) owns no cell
             own = f"transform(filter(array({level}), lv_ -> lv_ > {_POINT_LEVEL}), lv_ -> {self._cells('lv_', owner)})"
             cells = f"concat(flatten({own}), {cells})"
+        if rows_only:
+            return rows.selectExpr(f"inline({cells})")
         kept = [*self.columns, *[self.name(k) for k in b]]
         if not self.is_point:
             kept += [self.name("edges"), self.name("starts"), self.name("area")]
@@ -163,57 +172,52 @@ def _exact(predicate: str, a: _Side, b: _Side) -> str:
     return "false"
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of a plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _split_hot_cells(left: DataFrame, right: DataFrame, a: _Side, b: _Side, block_rows: int):
-    """Divide cells with too many candidate pairs into blocks.
+def _hot_cells(left_cells: DataFrame, right_cells: DataFrame, block_rows: int) -> DataFrame:
+    """Cells with too many candidate pairs, and into how many blocks each side is cut there.
 
-    Rows per cell are counted on both sides (combined before the shuffle) and
-    the hottest cells go out as a list of bounded length.  A left row of a hot
-    cell picks one of the left blocks by a hash of its columns and is repeated
-    for every right block, and the other way round, so each pair still meets
-    exactly once and no task has to take a whole hot cell.  Keep a row id among
-    the columns so that copies of one row spread over the blocks.
+    Only cells go in, without geometry; rows are counted before the shuffle.
     """
-    per_cell = left.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("__na")).join(
-        right.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("__nb")), list(_CELL)
+    per_cell = left_cells.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("__na")).join(
+        right_cells.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("__nb")), list(_CELL)
     )
     work = F.col("__na").cast("double") * F.col("__nb")
-    hot = (
-        per_cell.where(work > float(block_rows) * block_rows)
-        .orderBy(work.desc(), *_CELL)
-        .limit(MAX_HOT_CELLS)
-        .select(
-            *_CELL,
-            F.ceil(F.col("__na") / block_rows).alias("__blocks_a"),
-            F.ceil(F.col("__nb") / block_rows).alias("__blocks_b"),
-        )
+    return per_cell.where(work > float(block_rows) * block_rows).select(
+        *_CELL,
+        F.ceil(F.col("__na") / block_rows).alias("__blocks_a"),
+        F.ceil(F.col("__nb") / block_rows).alias("__blocks_b"),
     )
 
-    def spread(df, side, mine, theirs):
-        row_hash = F.xxhash64(
-            *[c for c in side.columns if c != side.geom], *[side.name(k) for k in ("x0", "y0")]
-        )
+
+def _split_hot_cells(left: DataFrame, right: DataFrame, hot: DataFrame):
+    """Divide hot cells into blocks.
+
+    A left row of a hot cell picks one of the left blocks by its row number and
+    is repeated for every right block, and the other way round, so each pair
+    meets exactly once, no task has to take a whole hot cell, and copies of one
+    row spread like other rows.  Every hot cell is split; the planner joins their
+    list by size.
+    """
+
+    def spread(df, mine, theirs):
         blocks = F.coalesce(F.col(f"__blocks_{mine}"), F.lit(1))
         others = F.coalesce(F.col(f"__blocks_{theirs}"), F.lit(1))
         return (
-            df.join(F.broadcast(hot), list(_CELL), "left")
-            .withColumn(f"__block_{mine}", F.pmod(row_hash, blocks))
+            df.withColumn("__row", F.monotonically_increasing_id())
+            .join(hot, list(_CELL), "left")
+            .withColumn(f"__block_{mine}", F.pmod(F.xxhash64("__row"), blocks))
             .withColumn(f"__block_{theirs}", F.explode(F.sequence(F.lit(0), others - 1)))
-            .drop("__blocks_a", "__blocks_b")
+            .drop("__blocks_a", "__blocks_b", "__row")
         )
 
-    return spread(left, a, "a", "b"), spread(right, b, "b", "a")
+    return spread(left, "a", "b"), spread(right, "b", "a")
 
 
 def _candidates(a: _Side, b: _Side, partition_keys, split_hot, block_rows):
     """Both sides in cells, and the names of the equi-join columns.
 
     The two summaries are read in one small job now, so that the extents reach
-    the scans as plain filters.
+    the scans as plain filters; a second one over the bounds columns looks
+    whether any cell is hot.
     """
     summary = {row["tag"]: row for row in a.summary().unionAll(b.summary()).collect()}
     left, right = a.in_cells(summary["b"], 0), b.in_cells(summary["a"], 1)
@@ -222,11 +226,15 @@ def _candidates(a: _Side, b: _Side, partition_keys, split_hot, block_rows):
         left = left.withColumn(f"__key{i}", F.col(ka))
         right = right.withColumn(f"__key{i}", F.col(kb))
         keys.append(f"__key{i}")
-    if split_hot is None:
-        split_hot = min(_estimated_bytes(a.source), _estimated_bytes(b.source)) > SPLIT_ABOVE_BYTES
-    if split_hot:
-        left, right = _split_hot_cells(left, right, a, b, block_rows)
-        keys += ["__block_a", "__block_b"]
+    if split_hot is not False:
+        hot = _hot_cells(
+            a.bounds_only().in_cells(summary["b"], 0, True),
+            b.bounds_only().in_cells(summary["a"], 1, True),
+            block_rows,
+        )
+        if split_hot or not hot.isEmpty():
+            left, right = _split_hot_cells(left, right, hot)
+            keys += ["__block_a", "__block_b"]
     return left, right, keys
 
 
@@ -264,7 +272,8 @@ def spatial_join(
     a_layer, b_layer  for an input that is itself the result of joins: a plain
                     layer that holds all its geometries, to read the grid levels
                     and extent from without running those joins twice
-    split_hot       split crowded cells; by default only for two large layers
+    split_hot       split crowded cells: None looks whether there are any, True
+                    splits without looking first, False never splits
     """
     if predicate not in POLYGON_PREDICATES:
         raise ValueError(f"unknown spatial predicate {predicate!r}")
@@ -289,25 +298,26 @@ def spatial_join(
         return measured.select(*out, F.col("shared").alias(overlap_area))
     if how not in ("left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    return _keep_by_match(a, sa, sb, left, right, keys, condition, how, left_key)
+    return _keep_by_match(a, sa, left, right, keys, condition, how, left_key, partition_keys)
 
 
-def _keep_by_match(a, sa, sb, left, right, keys, condition, how, left_key):
+def _keep_by_match(a, sa, left, right, keys, condition, how, left_key, partition_keys):
     """A row sits in several cells, so matches are collected by key first.
 
-    When the kept side is the smaller one, the large side streams past it in an
-    inner join and only distinct keys leave each task; otherwise a semi join
-    stops at a row's first match.
+    Of the right side only internal columns take part, so its names may be
+    those of the left.  The planner streams the large side past the small one,
+    and only distinct keys leave each task.
     """
     if left_key is None:
         if not sa.is_point:
             raise ValueError("left_key is needed for semi and anti joins of polygons")
         left_key = list(sa.geom)
     left_key = [left_key] if isinstance(left_key, str) else list(left_key)
-    semi = _estimated_bytes(sa.layer) > _estimated_bytes(sb.layer)
-    matched = _joined(left, right, keys, condition, "left_semi" if semi else "inner")
-    matched = matched.select(*left_key).distinct()
-    return a.join(matched, left_key, how).select(*a.columns)
+    # the keys that had to be equal are part of what a match is about
+    left_key += [ka for ka, _ in partition_keys if ka not in left_key]
+    internal = [c for c in right.columns if c.startswith("__")]
+    matched = _joined(left, right.select(*internal), keys, condition, "inner")
+    return a.join(matched.select(*left_key).distinct(), left_key, how).select(*a.columns)
 
 
 def distance_join(

@@ -79,9 +79,10 @@ def flag_valid(
 ) -> DataFrame:
     """Add a boolean column telling whether each polygon is valid.
 
-    ``key`` identifies a row.
+    The edges of large outlines are checked under 128 bits of the outline
+    itself, once per different outline, so null and repeated keys do not
+    matter; ``key`` is kept for callers and not needed to tell rows apart.
     """
-    key = [key] if isinstance(key, str) else list(key)
     columns = [c for c in df.columns if c != flag]
     staged = df.withColumn("__clean", F.expr(g.clean_rings_sql(rings))).withColumn(
         "__es", F.expr(g.numbered_edges_sql("__clean"))
@@ -93,9 +94,13 @@ def flag_valid(
         *columns,
         f"coalesce({shape_ok} AND NOT {g.clashes_in_row_sql('__es')}, false) AS {flag}",
     )
-    large = staged.where(~small)
-    bad = clashing_keys(large, key).withColumn("__clash", F.lit(True))
-    by_edges = large.join(bad, key, "left").selectExpr(
+    outline = ["__outline_a", "__outline_b"]
+    large = staged.where(~small).selectExpr(
+        "*", "xxhash64(__es) AS __outline_a", "xxhash64(17, __es) AS __outline_b"
+    )
+    shapes = large.select(*outline, "__es").dropDuplicates(outline)
+    bad = clashing_keys(shapes, outline).withColumn("__clash", F.lit(True))
+    by_edges = large.join(bad, outline, "left").selectExpr(
         *columns, f"coalesce({shape_ok} AND __clash IS NULL, false) AS {flag}"
     )
     return in_row.unionByName(by_edges)

@@ -69,7 +69,7 @@ def prefix_join_topn(layers):
     counties = layers["county"].where(F.col("STATEFP") == "48").select(
         F.col("GEOID").alias("county_geoid"), F.col("NAME").alias("county_name")
     )
-    rows = layers["cre"].where(F.col("PRED0_PE").isNotNull()).select(
+    rows = layers["cre"].where(F.col("PRED0_PE").isNotNull() & has_prefix("GEOID", "48")).select(
         county_key().alias("county_geoid"), "PRED0_PE"
     )
     return top_n(rows.join(counties, "county_geoid"), ["county_name"], F.avg("PRED0_PE"), 3)
@@ -86,7 +86,7 @@ def top_year(layers):
     )
     # counted per county and year before the join
     counts = (
-        layers["claims"].where(F.col("dateOfLoss").isNotNull())
+        layers["claims"].where(F.col("dateOfLoss").isNotNull() & has_prefix("GEOID", "22"))
         .groupBy(county_key().alias("county_geoid"), year_text("dateOfLoss").alias("year"))
         .agg(row_count().alias("n"))
     )

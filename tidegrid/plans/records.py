@@ -133,18 +133,21 @@ _LENGTHS = {
     "join": (6, 6),
     "predicate": (7, 7),
     "group_by": (8, 9),
-    "order_by": (10, 1_000_000),
+    "order_by": (10, None),
 }
 
 
 def _component(column, name):
     low, high = _LENGTHS[name]
+    if high is None:
+        return F.filter(column, lambda t: F.length(t) >= low)
     return F.filter(column, lambda t: F.length(t).between(low, high))
 
 
 def _component_sql(column, name):
     low, high = _LENGTHS[name]
-    return f"list_filter({column}, lambda x: length(x) BETWEEN {low} AND {high})"
+    fits = f">= {low}" if high is None else f"BETWEEN {low} AND {high}"
+    return f"list_filter({column}, lambda x: length(x) {fits})"
 
 
 @query(

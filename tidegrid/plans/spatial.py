@@ -285,7 +285,8 @@ def hospitals_in_flood_exists(layers):
 def hospital_county_risk_avg(layers):
     county = _polygons(layers, "county", "GEOID", where="NAME = 'NATION_7' AND STATEFP = '22'")
     counts = _hospital_counts(layers, county)
-    rows = layers["nri"].where(F.col("CFLD_RISKS").isNotNull()).withColumn("county_geoid", county_key())
+    known = F.col("CFLD_RISKS").isNotNull() & has_prefix("GEOID", "22")
+    rows = layers["nri"].where(known).withColumn("county_geoid", county_key())
     joined = rows.join(counts, "county_geoid")
     return joined.agg(
         F.round(weighted_avg(F.col("CFLD_RISKS"), F.col("n")), 6).alias("avg_coastal_risk_score")
@@ -390,16 +391,17 @@ def flooded_hospital_county_claims(layers):
     rows = _hospitals(layers, "COUNTYFIPS", where=F.col("STATEFP") == "12")
     inside = spatial_join(rows, _floods(layers), "within", a_geom=XY, b_geom="flood_geom")
     hospitals = inside.groupBy(F.col("COUNTYFIPS").alias("county_geoid")).agg(row_count().alias("n"))
-    joined = _claim_sums(layers).join(hospitals, "county_geoid")
+    # a county key begins with its state's, so the state filter holds for the claims too
+    joined = _claim_sums(layers, "12").join(hospitals, "county_geoid")
     mean = F.try_divide(F.sum(F.col("paid") * F.col("n")), F.sum(F.col("claims") * F.col("n")).cast("double"))
     return joined.agg(F.round(mean, 4).alias("avg_county_building_claim"))
 
 
-def _claim_sums(layers):
-    """Building payout and number of claims per county."""
+def _claim_sums(layers, prefix):
+    """Building payout and number of claims per county whose key starts with a known prefix."""
     paid = F.col("amountPaidOnBuildingClaim")
     return (
-        layers["claims"].where(paid.isNotNull())
+        layers["claims"].where(paid.isNotNull() & has_prefix("GEOID", prefix))
         .groupBy(county_key().alias("county_geoid"))
         .agg(F.sum(paid.cast("double")).alias("paid"), row_count().alias("claims"))
     )
@@ -417,7 +419,7 @@ def _county_claims(name, geoid):
         hospitals = _hospital_counts(
             layers, _polygons(layers, "county", "GEOID", where=F.col("GEOID") == geoid)
         )
-        joined = _claim_sums(layers).join(hospitals, "county_geoid")
+        joined = _claim_sums(layers, geoid).join(hospitals, "county_geoid")
         return joined.agg(F.round(F.sum(F.col("paid") * F.col("n")), 2).alias("total_claims_paid"))
 
 
@@ -573,7 +575,8 @@ def county_loss_if_hospital(layers):
     hosting = spatial_join(
         county, _hospitals(layers), "contains", "left_semi", b_geom=XY, left_key="GEOID"
     ).select(F.col("GEOID").alias("county_geoid"))
-    rows = layers["nri"].where(F.col("RFLD_EALB").isNotNull()).withColumn("county_geoid", county_key())
+    known = F.col("RFLD_EALB").isNotNull() & has_prefix("GEOID", "48015")
+    rows = layers["nri"].where(known).withColumn("county_geoid", county_key())
     return rows.join(hosting, "county_geoid", "left_semi").agg(
         F.round(F.sum("RFLD_EALB"), 6).alias("total_expected_loss")
     )
@@ -590,7 +593,7 @@ def hospital_tract_population_avg(layers):
     hosting = spatial_join(
         tracts, _hospitals(layers), "contains", "left_semi", b_geom=XY, left_key="GEOID"
     )
-    values = layers["svi"].where(F.col("E_TOTPOP").isNotNull())
+    values = layers["svi"].where(F.col("E_TOTPOP").isNotNull() & has_prefix("GEOID", "22007"))
     return values.join(hosting.select("GEOID"), "GEOID", "left_semi").agg(
         F.round(F.avg("E_TOTPOP"), 6).alias("avg_population_in_hospital_tracts")
     )

@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def working_folder(spark: SparkSession) -> str:
-    """Shared folder named by the session; a temporary one only where none is set."""
+    """Shared folder named by the session.
+
+    Where none is set, a local session uses a temporary folder; on a cluster
+    that is an error, since executors would write to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "tidegrid")
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
