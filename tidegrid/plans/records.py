@@ -6,6 +6,8 @@ embeddings for questions and described columns.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null, flatten_text, iso_text, strip_fences
@@ -17,6 +19,8 @@ from ..operators.profile import profile_layers
 from ..operators.retrieval import cosine_topk, level_k
 from ..operators.scoring import first_examples, level_rollup, missing_counts, status_share
 from ..sources.layers import row_counts
+from ..sources.records import append_json_lines, read_json_lines
+from ..sources.storage import working_folder
 from .layers import LAYER_NAMES
 from .registry import query
 
@@ -389,6 +393,26 @@ def counts(layers):
     return row_counts(layers)
 
 
+@query(
+    "json_lines_round_trip",
+    "SELECT o_orderpriority AS question, COUNT(*) AS num_records,"
+    " COUNT(DISTINCT o_orderkey) AS num_ids FROM orders GROUP BY o_orderpriority",
+)
+def json_lines_round_trip(layers):
+    """Records appended as JSON lines in two runs, then read back by the tolerant reader."""
+    orders = layers.table("orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("question"),
+        F.array("o_orderpriority").alias("chosen_tables"),
+    )
+    path = f"{working_folder(layers.spark)}/records-{uuid.uuid4().hex}"
+    late = F.col("id").cast("long") % 3 == 0
+    append_json_lines(orders.where(~late), path)
+    append_json_lines(orders.where(late), path)
+    return read_json_lines(layers.spark, path).groupBy("question").agg(
+        F.count(F.lit(1)).alias("num_records"), F.count_distinct("id").alias("num_ids")
+    )
+
+
 _PROFILE = {
     "hospitals": ("HOSPITAL_ID", ["HOSPITAL_ID", "NAME", "CITY", "ZIP", "COUNTYFIPS", "STATEFP", "TYPE", "LON", "LAT", "UNIQUE_ID"]),
     "svi": ("GEOID", ["GEOID", "FIPS", "E_TOTPOP", "E_HH", "EP_NOINT", "EP_POV150", "EP_LIMENG", "EP_MINRTY",

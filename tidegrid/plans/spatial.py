@@ -630,6 +630,39 @@ def dry_hospitals(layers):
     return dry.agg(row_count().alias("num_dry"))
 
 
+def _same_state(layers, how):
+    rows = layers["hospitals"].select("HOSPITAL_ID", "STATEFP", *XY)
+    floods = _polygons(layers, "floodplain", "STATEFP", geom="flood_geom")
+    kept = spatial_join(
+        rows, floods, "within", how, a_geom=XY, b_geom="flood_geom", partition_keys=[("STATEFP", "STATEFP")]
+    )
+    return kept.groupBy("STATEFP").agg(row_count().alias("num_hospitals"))
+
+
+_SAME_STATE = "WITH " + _sql_points(
+    "hospitals", "floodplain", "wet", "DISTINCT p.HOSPITAL_ID", "g.valid AND g.STATEFP = p.STATEFP"
+)
+
+
+@query(
+    "semi_partition_keys",
+    _SAME_STATE + " SELECT STATEFP, COUNT(*) AS num_hospitals FROM hospitals"
+    " WHERE HOSPITAL_ID IN (SELECT HOSPITAL_ID FROM wet) GROUP BY STATEFP",
+)
+def semi_partition_keys(layers):
+    """Hospitals in a floodplain of their own state; both sides have a column STATEFP."""
+    return _same_state(layers, "left_semi")
+
+
+@query(
+    "anti_partition_keys",
+    _SAME_STATE + " SELECT STATEFP, COUNT(*) AS num_hospitals FROM hospitals"
+    " WHERE HOSPITAL_ID NOT IN (SELECT HOSPITAL_ID FROM wet) GROUP BY STATEFP",
+)
+def anti_partition_keys(layers):
+    return _same_state(layers, "left_anti")
+
+
 # -- one query per spatial rule of the catalog ---------------------------------------
 
 def _point_rule(points, polygons):
