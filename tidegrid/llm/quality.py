@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import WordHashes, mix64, stored, text_slices
 
@@ -124,8 +125,8 @@ def fit(
     return np.frombuffer(bytes(learned[0]["weights"]), "<f4")
 
 
-def score(documents: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """Score of every whole text (0 to 1, higher is better): the columns in ``keep`` (doc_id) and score.
+def score(documents: DataFrame, weights: np.ndarray, keep: list[str] | None = None, into: str = "score") -> DataFrame:
+    """Score of every whole text (0 to 1, higher is better): the columns in ``keep`` (doc_id) and ``into``.
 
     A null or empty text has the score of the constant alone. Repeated rows give repeated results; a null doc_id stays
     null; an empty table gives an empty result; other columns are ignored.
@@ -144,9 +145,7 @@ def score(documents: DataFrame, weights: np.ndarray, keep: list[str] | None = No
                 at, values = features(text, hashes, bits)
                 raw[i] = w[at] @ values + w[-1]
             yield pa.RecordBatch.from_arrays(
-                [*(part[c] for c in keep), pa.array(logistic(raw))], names=[*keep, "score"]
+                [*(part[c] for c in keep), pa.array(logistic(raw))], names=[*keep, into]
             )
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return chosen.mapInArrow(run, StructType([*schema, StructField("score", DoubleType())]))
+    return chosen.mapInArrow(run, StructType([*schema, StructField(into, DoubleType())]))
