@@ -27,8 +27,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     It learns from the labels of these documents, without those kept apart for measuring it (every fifth by checksum).
     """
     weights = quality.fit(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
-    scored = quality.score(docs, weights, keep=docs.columns)
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality.score(docs, weights, keep=docs.columns, into="__score")
+    return scored.where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
