@@ -15,7 +15,7 @@ from ..functions.similarity import (
     COMPONENT_WEIGHTS, WHITE_SPACE, jaccard, set_difference, text_jaccard, tokens, weighted_score,
 )
 from ..operators.comparison import frames_match, multiset_jaccard, top_shared_items
-from ..operators.profile import profile_layers
+from ..operators.profile import INDEXED, profile_layers
 from ..operators.retrieval import cosine_topk, level_k
 from ..operators.scoring import first_examples, level_rollup, missing_counts, status_share
 from ..sources.layers import row_counts
@@ -413,35 +413,63 @@ def json_lines_round_trip(layers):
     )
 
 
+_AREA = ["GEOID", "STATEFP", "COUNTYFP", "NAME", "geometry"]
 _PROFILE = {
-    "hospitals": ("HOSPITAL_ID", ["HOSPITAL_ID", "NAME", "CITY", "ZIP", "COUNTYFIPS", "STATEFP", "TYPE", "LON", "LAT", "UNIQUE_ID"]),
+    "county": ("GEOID", _AREA),
+    "census_tracts": ("GEOID", _AREA),
+    "zcta": ("GEOID", ["GEOID", "STATEFP", "geometry"]),
+    "floodplain": ("GFID", ["GFID", "FLD_ZONE", "STATEFP", "geometry"]),
+    "claims": ("id", ["id", "GEOID", "STATEFP", "dateOfLoss", "amountPaidOnBuildingClaim", "amountPaidOnContentsClaim",
+                      "amountPaidOnIncreasedCostOfComplianceClaim"]),
+    "nri": ("GEOID", ["GEOID", "CFLD_RISKS", "CFLD_EALP", "RFLD_RISKS", "RFLD_RISKV", "RFLD_RISKR", "RFLD_EVNTS",
+                      "RFLD_AFREQ", "RFLD_EXP_AREA", "RFLD_EALB", "RFLD_EALT"]),
     "svi": ("GEOID", ["GEOID", "FIPS", "E_TOTPOP", "E_HH", "EP_NOINT", "EP_POV150", "EP_LIMENG", "EP_MINRTY",
                       "EP_UNEMP", "RPL_THEME1", "RPL_THEME4", "RPL_THEMES", "SPL_THEME1", "SPL_THEMES"]),
+    "cre": ("GEOID", ["GEOID", "POPUNI", "WATER_TRACT", "PRED12_E", "PRED0_PE", "PRED12_PE", "PRED3_PE"]),
+    "hospitals": ("HOSPITAL_ID", ["HOSPITAL_ID", "NAME", "CITY", "ZIP", "COUNTYFIPS", "STATEFP", "TYPE", "LON", "LAT", "UNIQUE_ID"]),
+    "schools": ("SCHOOL_ID", ["SCHOOL_ID", "NAME", "CITY", "ZIP", "STATEFP", "TYPE", "LON", "LAT", "UNIQUE_ID"]),
 }
-_DESCRIPTIONS = {"svi": {"E_TOTPOP": "population estimate"}}
+_DESCRIPTIONS = {"svi": {"E_TOTPOP": "population estimate"}, "county": {"geometry": "outline"}}
 
 
 def _profile_sql():
+    """Samples are shown in row order, NULLs as a word, so that rows can be told apart."""
     parts = []
     for layer, (key, columns) in _PROFILE.items():
         for i, c in enumerate(columns):
             text = _DESCRIPTIONS.get(layer, {}).get(c, "unknown")
+            sample = (
+                "CAST(NULL AS VARCHAR)" if c == "geometry" or (layer == "claims" and c != "id") else
+                f"(SELECT string_agg(coalesce(v, 'NULL'), '|' ORDER BY k) FROM (SELECT CAST({c} AS VARCHAR) AS v,"
+                f" CAST({key} AS VARCHAR) AS k FROM {layer} ORDER BY md5({key}), {key} LIMIT 3))"
+            )
             parts.append(
                 f"SELECT '{layer}' AS layer, {i} AS position, '{c}' AS column_name, '{text}' AS description,"
-                f" {'true' if c in ('GEOID', 'STATEFP', 'COUNTYFIPS') else 'false'} AS indexed,"
-                f" (SELECT COUNT(*) FROM {layer}) AS row_count,"
-                f" (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {layer}"
-                f" ORDER BY md5({key}), {key} LIMIT 3)) AS sample"
+                f" {'true' if c in INDEXED else 'false'} AS indexed,"
+                f" {'true' if c == 'geometry' else 'false'} AS avoid_select_star,"
+                f" (SELECT COUNT(*) FROM {layer}) AS row_count, {sample} AS sample"
             )
     return " UNION ALL ".join(parts)
 
 
 @query("profile_layers", _profile_sql())
 def profiles(layers):
+    """Profile of every layer; the samples of a layer are put in the order of its key.
+
+    Claims have no unique key, so rows that share an id could be sampled either
+    way; only their ids are shown.  Outlines are not shown as text.
+    """
     profile = profile_layers(layers, {n: key for n, (key, _) in _PROFILE.items()}, _DESCRIPTIONS)
-    return profile.select(
-        "layer", "position", "column_name", "description", "indexed", "row_count",
-        F.array_join(F.array_sort("sample"), "|").alias("sample"),
+    keys = F.create_map(*[F.lit(x) for n, (key, _) in _PROFILE.items() for x in (n, key)])
+    ids = profile.where(F.col("column_name") == F.element_at(keys, F.col("layer"))).select(
+        "layer", F.col("sample").alias("ids")
+    )
+    ordered = F.array_sort(F.arrays_zip("ids", "sample"))
+    settled = (F.col("column_name") != "geometry") & ((F.col("layer") != "claims") | (F.col("column_name") == "id"))
+    shown = F.transform(ordered, lambda r: F.coalesce(r["sample"], F.lit("NULL")))
+    return profile.join(ids, "layer").select(
+        "layer", "position", "column_name", "description", "indexed", "avoid_select_star", "row_count",
+        F.when(settled, F.array_join(shown, "|")).alias("sample"),
     )
 
 
