@@ -61,6 +61,34 @@ def op3_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: all pairs that share a shingle, compared directly; classes by following their links
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\S+') AS w FROM documents
+), g AS (
+  SELECT doc_id,
+         CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END AS g
+  FROM d WHERE len(w) > 0
+), c AS (
+  SELECT doc_id, n, s, count(*) AS c FROM (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g) GROUP BY ALL
+), p AS (
+  SELECT x, y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS n, sum(least(a.c, b.c)) AS shared
+    FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id
+    GROUP BY ALL
+  ) WHERE shared >= 0.8 * (n - shared)
+), e AS (
+  SELECT x, y FROM p UNION ALL SELECT y, x FROM p
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d
+  UNION
+  SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x
+)
+SELECT x AS doc_id, min(y) AS class_id, count(*) AS class_size FROM reach GROUP BY x
+"""
+
+
 def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -186,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_probminhash_near_duplicates": OP3_SQL,
     "op1_fm_index_substring_dedup": OP1_SQL,
     "op4_simhash_decontamination": OP4_SQL,
     "op6_va_file_top_k": OP6_SQL,
