@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null, flatten_text, iso_text, strip_fences
 from ..functions.similarity import (
-    COMPONENT_WEIGHTS, WHITE_SPACE, jaccard, set_difference, text_jaccard, tokens, weighted_score,
+    COMPONENT_WEIGHTS, WHITE_SPACE, cosine, jaccard, set_difference, text_jaccard, tokens, weighted_score,
 )
 from ..operators.comparison import frames_match, multiset_jaccard, top_shared_items
 from ..operators.profile import INDEXED, profile_layers
-from ..operators.retrieval import cosine_topk, level_k
+from ..operators.retrieval import corpus_texts, cosine_topk, level_k
 from ..operators.scoring import first_examples, level_rollup, missing_counts, status_share
 from ..sources.layers import row_counts
 from ..sources.records import append_json_lines, read_json_lines
@@ -393,6 +393,36 @@ def counts(layers):
     return row_counts(layers)
 
 
+@query(
+    "cosine_column",
+    "SELECT a.vec_id, ROUND(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v))"
+    " * sqrt(list_dot_product(b.v, b.v)) + 1e-10), 6) AS score"
+    " FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a"
+    " JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b ON b.vec_id = a.vec_id + 1",
+)
+def cosine_column(layers):
+    """Cosine of two vector columns of a row: each vector and the next one."""
+    rows = layers.table("embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    score = F.round(cosine(F.col("embedding"), F.col("next")), 6)
+    return rows.join(after, "vec_id").select("vec_id", score.alias("score"))
+
+
+@query(
+    "corpus_text",
+    "SELECT CAST(o_custkey AS VARCHAR) AS table_name, CAST(o_custkey AS VARCHAR) || chr(10) || string_agg("
+    "o_orderpriority || ': ' || coalesce(o_orderstatus, ''), chr(10) ORDER BY o_orderkey) AS text"
+    " FROM orders GROUP BY o_custkey",
+)
+def corpus_text(layers):
+    """One text per customer's orders, put together like that of a table and its columns."""
+    columns = layers.table("orders").select(
+        F.col("o_custkey").cast("string").alias("table_name"), F.col("o_orderkey").alias("position"),
+        F.col("o_orderpriority").alias("column_name"), F.col("o_orderstatus").alias("description"),
+    )
+    return corpus_texts(columns)
+
+
 @query(
     "json_lines_round_trip",
     "SELECT o_orderpriority AS question, COUNT(*) AS num_records,"
