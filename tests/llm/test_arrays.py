@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidegrid.llm import binary_ids, fmindex, packing, probminhash, quality, substring, tokens, vafile, warc
-from tidegrid.llm.common import WordHashes, text_slices
+from tidegrid.llm.common import WordHashes, gram_hashes, hashed_words, text_slices
 
 
 @pytest.fixture(scope="module")
@@ -68,7 +68,9 @@ def test_packing_is_whole_and_tight(lengths):
         own = own[np.argsort(offset[own])]
         assert offset[own].tolist() == (np.cumsum(sizes[own]) - sizes[own]).tolist()
         assert sizes[own].sum() <= 100 and set(free[own].tolist()) == {100 - int(sizes[own].sum())}
-    assert len(set(of.tolist())) <= max(1, 11 * -(-sum(lengths) // 100) / 9 + 1)
+    bins = packing.Bins(sizes, 100)
+    bins.best_fit()
+    assert len(set(of.tolist())) <= len(bins.free)
 
 
 def test_search_empties_bins_that_best_fit_leaves():
@@ -94,7 +96,7 @@ def test_index_finds_repeated_runs(window, spans):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=200), st.sampled_from([1, 4, 9, 35]))
 def test_equal_windows_meet_in_one_shard(text, window):
-    hashes = WordHashes()(text)
+    (hashes,) = hashed_words([" ".join(text)])
     mini, start, n, several = substring.window_runs(hashes, window)
     assert sum(n.tolist()) == max(0, len(text) - window + 1)
     of, many = {}, {}
@@ -111,8 +113,7 @@ def test_weighted_similarity_and_its_estimate():
     rng = np.random.default_rng(5)
     a = [str(w) for w in rng.integers(0, 50, 400)]
     b = a[:360] + [str(w) for w in rng.integers(0, 50, 40)]
-    h = WordHashes()
-    ga, gb = (probminhash.shingles(" ".join(x), h) for x in (a, b))
+    ga, gb = probminhash.shingles([" ".join(a), " ".join(b)])
     ca, cb = (collections.Counter(g.tolist()) for g in (ga, gb))
     want = sum((ca & cb).values()) / sum((ca | cb).values())
     assert probminhash.jaccard(probminhash.occurrences(ga), probminhash.occurrences(gb)) == pytest.approx(want)
@@ -121,8 +122,7 @@ def test_weighted_similarity_and_its_estimate():
 
 
 def test_equal_weights_do_not_depend_on_other_rows():
-    h = WordHashes()
-    g = [probminhash.shingles(t, h) for t in ("a b c d e f g", "x", "a b c d e f g h i")]
+    g = probminhash.shingles(["a b c d e f g", "x", "a b c d e f g h i"])
     together, alone = probminhash.signatures(g), [probminhash.signatures([x])[0] for x in g]
     assert all((together[i] == alone[i]).all() for i in range(3))
 
@@ -183,3 +183,17 @@ def test_cells_bound_every_score():
     for q in range(300):
         order = sorted((i for i in range(300) if i != q), key=lambda i: (-scores[q, i], i))[:5]
         assert best[q][1].tolist() == order and best[q][0].tolist() == scores[q, order].tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="ab \n\t\x0b\x0c\r\x1c\x85\xa0é中", max_size=30), max_size=5), st.integers(1, 9))
+def test_words_are_hashed_alike_wherever_they_stand(texts, n):
+    got = hashed_words(texts)
+    words = [substring.words_of(t) for t in texts]
+    assert [len(h) for h in got] == [len(w) for w in words]
+    seen, back = {}, {}
+    for hashes, own in zip(got, words, strict=True):
+        for i, run in enumerate(gram_hashes(hashes, n).tolist()):
+            key = tuple(own[i : i + n])
+            assert seen.setdefault(key, run) == run and back.setdefault(run, key) == key
+        assert len(gram_hashes(hashes, n)) == max(0, len(own) - n + 1)

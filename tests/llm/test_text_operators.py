@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidegrid.llm import langid, quality, substring
 from tidegrid.llm.binary_ids import token_ids
-from tidegrid.llm.common import WordHashes
 from tidegrid.llm.components import components
 from tidegrid.llm.decontaminate import contaminated, without_benchmark
 from tidegrid.llm.neardup import near_duplicates, one_of_each
@@ -159,8 +158,7 @@ def test_frequent_minimisers_are_dealt_by_window(docs, monkeypatch):
 
 
 def classes_of(rows):
-    h = WordHashes()
-    sets = [occurrences(shingles(t, h)) for _, t in rows]
+    sets = [occurrences(g) for g in shingles([t for _, t in rows])]
     parent = list(range(len(rows)))
 
     def find(x):

@@ -73,12 +73,46 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def hashed_words(texts: list[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text; a word is what stands between ASCII white space.
+
+    All texts are hashed at once from their bytes: a word's polynomial is the difference of two running sums, brought
+    to the word's own start.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") + b" " for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * _powers(_MULTIPLIER, len(data)), dtype=np.uint64)])
+    hashes = mix64((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    limits = np.searchsorted(starts, np.cumsum([len(r) for r in raw]))
+    return np.split(hashes, limits[:-1]) if len(raw) else []
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` consecutive word hashes."""
-    m = len(words) - n + 1
-    if m <= 0:
+    """Hash of every run of ``n`` consecutive word hashes, from runs of half the length."""
+    if len(words) < n:
         return np.empty(0, np.uint64)
-    out = np.zeros(m, np.uint64)
-    for i in range(n):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + m])
-    return out
+    size, runs = 1, words
+    for bit in bin(n)[3:]:
+        power = np.uint64(pow(_MULTIPLIER, size, 1 << 64))
+        runs = runs[: len(runs) - size] * power + runs[size:]
+        size *= 2
+        if bit == "1":
+            runs = runs[:-1] * np.uint64(_MULTIPLIER) + words[size:]
+            size += 1
+    return mix64(runs)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, stored, text_slices
+from .common import stored, text_slices
 from .components import components
 from .probminhash import band_hashes, jaccard, occurrences, shingles, signatures
 
@@ -36,9 +36,8 @@ def _band_rows(keyed: DataFrame, size: int) -> DataFrame:
     """key and bands of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, texts in text_slices(batches):
-            bands = band_hashes(signatures([shingles(t, hashes, size) for t in texts]))
+            bands = band_hashes(signatures(shingles(texts, size)))
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.ravel())
             )
@@ -51,9 +50,8 @@ def _shingle_rows(keyed: DataFrame, size: int) -> DataFrame:
     """key and its shingles as ascending 64-bit hashes, occurrences told apart."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, texts in text_slices(batches):
-            sets = [occurrences(shingles(t, hashes, size)).tobytes() for t in texts]
+            sets = [occurrences(g).tobytes() for g in shingles(texts, size)]
             yield pa.RecordBatch.from_arrays([part["key"], pa.array(sets, pa.binary())], names=["key", "grams"])
 
     return keyed.select("key", "text").mapInArrow(shingle, "key binary, grams binary")

@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import WordHashes, gram_hashes, mix64
+from .common import gram_hashes, hashed_words, mix64
 
 REGISTERS = 64
 BANDS = 16
 _SHIFT = np.uint64(11)
 
 
-def shingles(text: str | None, hashes: WordHashes, size: int = 5) -> np.ndarray:
-    """Hash of every run of ``size`` words (split at white space, lower case); a shorter text is one run; none is none."""
-    words = hashes((text or "").lower().split())
-    return gram_hashes(words, min(size, len(words))) if len(words) else np.empty(0, np.uint64)
+def shingles(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
+    """Hashes of every run of ``size`` words (lower case) of each text; a shorter text is one run; no words, no run."""
+    words = hashed_words([t and t.lower() for t in texts])
+    return [gram_hashes(w, min(size, len(w))) if len(w) else w for w in words]
 
 
 def weighted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

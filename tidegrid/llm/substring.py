@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import WordHashes, gram_hashes, stored, text_slices
+from .common import gram_hashes, hashed_words, stored, text_slices
 from .fmindex import repeated_starts
 
 WINDOW = 35
@@ -75,9 +75,8 @@ def _key() -> Column:
 
 def _minimisers(documents: DataFrame, window: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, texts in text_slices(batches):
-            found = [window_runs(hashes(words_of(t)), window) for t in texts]
+            found = [window_runs(h, window) for h in hashed_words(texts)]
             row = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
             mini, start, n, several = (np.concatenate([f[k] for f in found]) for k in range(4))
             yield pa.RecordBatch.from_arrays(
@@ -177,7 +176,7 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, columns: list[st
     """
     columns = columns or documents.columns
     columns = [c for c in columns if c not in {f.name for f in _DOC}]
-    spans = _minimisers(documents, window)
+    spans = stored(_minimisers(documents, window), "minimisers")  # read twice below
     often = spans.groupBy("minimiser").agg(F.count("*").alias("rows"), F.max("several").alias("several"))
     often = often.where("rows > 1 OR several").select("minimiser", "rows")
     wanted = (
