@@ -30,6 +30,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Give the space of tables made by ``stored`` back; nothing may be read from them any more.
+
+    Overwriting with no rows needs nothing but Spark's own writers, so it works wherever the shared folder is.
+    """
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            nothing = table.sparkSession.createDataFrame([], table.schema)
+            nothing.write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             return current.select(F.col("a").alias("node"), F.col("b").alias("comp"))
         seen = now
-        current = stored(_small_star(_large_star(current)), "edges")
+        before, current = current, stored(_small_star(_large_star(current)), "edges")
+        release(before)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
+from .common import release, stored, text_slices
 from .components import components
 from .probminhash import band_hashes, jaccard, occurrences, shingles, signatures
 
@@ -102,8 +102,8 @@ def block_links(
     return list(links.values())
 
 
-def _rest_links(members: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """Links that the first comparison left open.
+def _rest_links(members: DataFrame, grams: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links that the first comparison left open, and the stored blocks they are found in.
 
     ``members``: bucket, key, comp. In each bucket the texts outside its largest class are compared with all texts of
     the bucket. A bucket is cut into blocks of about ``BLOCK_TEXTS`` texts; each pair of blocks is a row of its own, so
@@ -144,18 +144,20 @@ def _rest_links(members: DataFrame, grams: DataFrame, similarity: float) -> Data
                 [pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], names=["a", "b"]
             )
 
-    return one.join(blocks.select("bucket", "block", "all"), ["bucket", "block"]).select("one", "all").mapInArrow(
-        compare, "a binary, b binary"
-    )
+    pairs = one.join(blocks.select("bucket", "block", "all"), ["bucket", "block"]).select("one", "all")
+    return pairs.mapInArrow(compare, "a binary, b binary"), blocks
 
 
 def text_classes(documents: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS) -> DataFrame:
     """key (of a text) and comp (key of its class), for the texts whose class is not their own key alone."""
     keyed = _keyed(documents)
-    bands = stored(_band_rows(keyed, size), "bands").groupBy("key").agg(F.first("bands").alias("bands"))
+    rows = stored(_band_rows(keyed, size), "bands")
+    bands = rows.groupBy("key").agg(F.first("bands").alias("bands"))
     entries = stored(bands.select("key", F.explode("bands").alias("bucket")), "band-entries")
+    release(rows)
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(entries.join(sizes, "bucket"), "buckets")
+    release(entries)
     # the texts that share most of their bands with most others are the most central ones
     central = members.groupBy("key").agg(F.sum("n").alias("score"))
     scored = members.join(central, "key")
@@ -172,8 +174,10 @@ def text_classes(documents: DataFrame, similarity: float = SIMILARITY, size: int
     first = stored(_verified(stars, grams, similarity), "links")
     comps = components(first)
     placed = members.select("bucket", "key").join(comps.withColumnRenamed("node", "key"), "key", "left")
-    more = _rest_links(placed.withColumn("comp", F.coalesce("comp", "key")), grams, similarity)
-    return components(first.union(more)).withColumnRenamed("node", "key")
+    more, blocks = _rest_links(placed.withColumn("comp", F.coalesce("comp", "key")), grams, similarity)
+    classes = components(first.union(more))
+    release(members, grams, first, blocks)
+    return classes.withColumnRenamed("node", "key")
 
 
 def _placed(documents: DataFrame, similarity: float, size: int) -> DataFrame:

@@ -106,13 +106,14 @@ def _deal(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _spread(documents: DataFrame, spans: DataFrame, window: int, columns: list[str], keep_text: bool) -> DataFrame:
+def _spread(documents: DataFrame, spans: DataFrame, window: int, columns: list[str], keep_text: bool, row_id: str) -> DataFrame:
     """One table of two kinds of rows: documents, and the spans that need a look.
 
-    A document without such spans is done: its digest is made here. The text of the others is kept for the end.
+    A document without such spans is done: its digest is made here. So is an exact copy, which loses all its windows;
+    one row of the copies still gives its spans, since others may repeat them. The text of the rest is kept for the end.
     """
     keep = [c for c in columns if c != "text"]
-    source = documents.select(*keep, "text", _key().alias("key")).join(spans, "key", "left")
+    source = documents.select(*keep, "text", _key().alias("key"), F.col(row_id).cast("long").alias("row_id")).join(spans, "key", "left")
     schema = StructType([*(source.schema[c] for c in [*keep, "text", "key"]), *_DOC, *_SPAN])
     schema = StructType([StructField(f.name, f.dataType) for f in schema])
 
@@ -120,13 +121,26 @@ def _spread(documents: DataFrame, spans: DataFrame, window: int, columns: list[s
         kinds: dict[str, pa.DataType] = {}
         for part, texts in text_slices(batches):
             kinds = kinds or {f.name: f.type for f in part.schema}
-            n_words, digest, out = [], [], {k: [] for k in ("key", "start", "n", "deal", "span", "words")}
-            given = part["spans"].to_pylist()
-            for text, key, own in zip(texts, part["key"].to_pylist(), given, strict=True):
-                words = words_of(text)
+            n_words, removed, digest, held, out = [], [], [], [], {k: [] for k in ("key", "start", "n", "deal", "span", "words")}
+            given = (part[c].to_pylist() for c in ("key", "spans", "copies", "first_id", "row_id"))
+            for text, key, own, copies, first_id, row in zip(texts, *given, strict=True):
+                words, own = words_of(text), own or []
+                copied = copies is not None and len(words) >= window
                 n_words.append(len(words))
-                digest.append(None if own else hashlib.sha256(" ".join(words).encode()).hexdigest())
-                for s in own or []:
+                if copied:
+                    removed.append(len(words))
+                    digest.append(hashlib.sha256(b"").hexdigest())
+                    held.append("")
+                    own = own if row == first_id else []
+                elif own:
+                    removed.append(None)
+                    digest.append(None)
+                    held.append(text)
+                else:
+                    removed.append(0)
+                    digest.append(hashlib.sha256(" ".join(words).encode()).hexdigest())
+                    held.append(text if keep_text else None)
+                for s in own:
                     cuts = [(s["start"], s["n"])] if not s["frequent"] else [(s["start"] + i, 1) for i in range(s["n"])]
                     for start, n in cuts:
                         joined = " ".join(words[start : start + n + window - 1])
@@ -137,9 +151,8 @@ def _spread(documents: DataFrame, spans: DataFrame, window: int, columns: list[s
                         out["span"].append(hashlib.md5(joined.encode()).digest())
                         out["words"].append(joined)
             rows = part.num_rows
-            held = [t if keep_text or own else None for t, own in zip(texts, given, strict=True)]
             doc = [part[c] for c in keep] + [pa.array(held, pa.string()), part["key"], pa.array(n_words, pa.int64())]
-            doc += [pa.array([None if own else 0 for own in given], pa.int64()), pa.array(digest, pa.string())]
+            doc += [pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
             span_types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays(doc + [pa.nulls(rows, t) for t in span_types], names=schema.names)
             k = len(out["key"])
@@ -176,17 +189,24 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, columns: list[st
     """
     columns = columns or documents.columns
     columns = [c for c in columns if c not in {f.name for f in _DOC}]
-    spans = stored(_minimisers(documents, window), "minimisers")  # read twice below
-    often = spans.groupBy("minimiser").agg(F.count("*").alias("rows"), F.max("several").alias("several"))
-    often = often.where("rows > 1 OR several").select("minimiser", "rows")
+    spans = _minimisers(documents, window)
+    place = F.xxhash64("key", "start")  # the same for exact copies
+    often = spans.groupBy("minimiser").agg(
+        F.count("*").alias("rows"), F.max("several").alias("several"), F.min(place).alias("low"), F.max(place).alias("high")
+    )
+    often = often.where("low <> high OR several").select("minimiser", "rows")
     wanted = (
         spans.join(often, "minimiser")
         .groupBy("key")
         .agg(F.collect_set(F.struct("start", "n", "minimiser", (F.col("rows") > FREQUENT).alias("frequent"))).alias("spans"))
     )
+    copies = documents.select(_key().alias("key"), F.col("doc_id").cast("long").alias("row_id")).groupBy("key")
+    copies = copies.agg(F.min("row_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    wanted = wanted.join(copies, "key", "full_outer")
     inner = {c: f"__{i}" for i, c in enumerate(columns) if c != "text"}  # the users' names cannot clash with ours
     named = documents.select(*(F.col(f"`{c}`").alias(inner.get(c, c)) for c in columns))
-    both = stored(_spread(named, wanted, window, [inner.get(c, c) for c in columns], keep_text), "documents-and-spans")
+    names = [inner.get(c, c) for c in columns]
+    both = stored(_spread(named, wanted, window, names, keep_text, inner["doc_id"]), "documents-and-spans")
     occurrences = both.where("span IS NOT NULL")
     docs = both.where("span IS NULL").drop(*(f.name for f in _SPAN))
 
