@@ -77,14 +77,14 @@ class _Side:
         return f"CASE WHEN {extent} > 0 THEN int(ceil(log2({extent}))) ELSE {_SPOT_LEVEL} END"
 
     def summary(self) -> DataFrame:
-        """Levels in use and extent, as one row.
+        """Levels in use, extent and number of rows, as one row.
 
         Both may come from a larger layer: more levels or a wider extent cost a
         little work and never change the result.
         """
         b = self.bounds
         return self.layer.selectExpr(
-            f"'{self.tag}' AS tag", f"collect_set({self.level}) AS levels",
+            f"'{self.tag}' AS tag", f"collect_set({self.level}) AS levels", "count(1) AS n",
             f"CAST(min({b['x0']}) AS DOUBLE) AS x0", f"CAST(min({b['y0']}) AS DOUBLE) AS y0",
             f"CAST(max({b['x1']}) AS DOUBLE) AS x1", f"CAST(max({b['y1']}) AS DOUBLE) AS y1",
         )
@@ -226,7 +226,9 @@ def _candidates(a: _Side, b: _Side, partition_keys, split_hot, block_rows):
         left = left.withColumn(f"__key{i}", F.col(ka))
         right = right.withColumn(f"__key{i}", F.col(kb))
         keys.append(f"__key{i}")
-    if split_hot is not False:
+    # with so few rows no cell can be hot, and nothing needs to be counted
+    few = summary["a"]["n"] * summary["b"]["n"] <= block_rows * block_rows
+    if split_hot or (split_hot is None and not few):
         hot = _hot_cells(
             a.bounds_only().in_cells(summary["b"], 0, True),
             b.bounds_only().in_cells(summary["a"], 1, True),
