@@ -214,6 +214,18 @@ def test_decontamination(spark, docs, none):
     assert contaminated(none, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_with_a_heavy_shingle(spark):
+    own = random.Random(11)
+    texts = {i: [f"{own.choice(VOCABULARY)}{own.randrange(10**6)}" for _ in range(404)] for i in range(12)}
+    texts[12] = texts[0][:364] + ["once"] * 40  # the item repeats a word, the document does not
+    cut = {i: t[:364] + ["again"] * 40 for i, t in texts.items() if i < 12} | {12: texts[12][:364] + texts[1][:40]}
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "item_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in cut.items()], "doc_id long, text string")
+    want = {(i, i, round(360 / 440, 9)) for i in range(13)} | {(0, 12, round(360 / 440, 9)), (12, 0, round(360 / 440, 9))}
+    got = {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in contaminated(df, bench).collect()}
+    assert got == want
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in r.normal(size=4).astype("f")]) for i in range(-100, 450)]
