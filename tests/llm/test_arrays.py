@@ -81,6 +81,28 @@ def test_search_empties_bins_that_best_fit_leaves():
     assert len(bins.free) == 9 and len(set(of.tolist())) == 8 == sum(lengths) // 100
 
 
+def test_search_ends_when_no_bin_can_give():
+    lengths = np.random.default_rng(1).integers(900, 1701, 2000)
+    of, _, free = packing.pack_lengths(lengths, 4096)
+    room, bins = dict(zip(of.tolist(), free.tolist(), strict=True)), collections.defaultdict(list)
+    for n, b in zip(lengths.tolist(), of.tolist(), strict=True):
+        bins[b].append(n)
+    assert len(bins) > -(-int(lengths.sum()) // 4096)
+    beside = collections.defaultdict(set)  # most free places beside a piece of each length
+    taken: list[int] = []
+    for b in sorted(bins, key=room.get):
+        if not room[b]:
+            continue
+        own = bins[b]
+        totals = {*own, *(x + y for i, x in enumerate(own) for y in own[i + 1 :])}
+        assert not any(0 < t - s <= r for t in totals for s in beside for r in beside[s])
+        assert max(taken, default=0) < min(own)
+        taken.append(room[b])
+        for s in own:
+            beside[s] = {max({*beside[s], room[b]})}
+    assert len(bins) < 654  # where the twelve least full bins are stuck
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sampled_from([1, 2, 3, 4, 6, 7, 10, 35]), st.lists(st.tuples(st.lists(st.sampled_from("abc"), max_size=90), st.integers(1, 2)), max_size=6))
 def test_index_finds_repeated_runs(window, spans):

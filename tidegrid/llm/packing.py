@@ -19,7 +19,7 @@ from .common import stored, text_slices
 from .tokens import encoder
 
 GROUP_PIECES = 50_000
-#: least full bins that give documents away in a round of the search
+#: bins that give documents away in a round of the search, the least full first
 GIVING_BINS = 12
 
 
@@ -87,35 +87,42 @@ class Bins:
                 by_free[left].append(b)
                 open_rooms |= 1 << left
 
-    def _improve(self, a: int, items: np.ndarray, free: np.ndarray) -> bool:
+    def _improve(self, a: int, free: np.ndarray) -> bool:
         """One exchange that takes places out of bin ``a``; False when there is none.
 
         The other bins are at least as full as ``a``, so each exchange raises the sum of squared fills.
         """
         mine = np.flatnonzero(self.of == a)
-        others = items[self.of[items] != a]
-        if not len(mine) or not len(others):
-            return False
-        room, size = free[self.of[others]], self.lengths[others]
-        bins = np.unique(self.of[others])
+        room = np.where((free > 0) & (free <= free[a]), free, -1)
+        room[a] = -1
         for x in mine[np.argsort(-self.lengths[mine])].tolist():
-            fits = bins[free[bins] >= self.lengths[x]]
+            fits = np.flatnonzero(room >= self.lengths[x])
             if len(fits):  # move
                 self._put(free, [x], a, [], int(fits[np.argmin(free[fits])]))
                 return True
+        # a piece of size s beside r free places can be changed for what is longer by 1 to r
+        most = np.maximum.reduceat(room[self.of[self.by_length]], self.starts)
+        some = most > 0
+        edges = np.zeros(self.capacity + 2, np.int64)
+        edges[self.sizes[some] + 1] += 1
+        np.subtract.at(edges, np.minimum(self.sizes[some] + most[some], self.capacity) + 1, 1)
+        possible = np.cumsum(edges) > 0
+
+        def change(out: list[int]) -> bool:
+            total = int(self.lengths[out].sum())
+            k = int(np.flatnonzero((self.sizes < total) & (self.sizes + most >= total))[0])
+            same = self.by_length[self.starts[k] :][: self.counts[k]]
+            back = int(same[np.argmax(room[self.of[same]] >= total - self.sizes[k])])
+            self._put(free, out, a, [back], int(self.of[back]))
+            return True
+
         for x in mine[np.argsort(-self.lengths[mine])].tolist():
-            gain = self.lengths[x] - size
-            gain[gain > room] = 0
-            if gain[at := int(np.argmax(gain))] > 0:  # one for one
-                self._put(free, [x], a, [int(others[at])], int(self.of[others[at]]))
-                return True
+            if possible[self.lengths[x]]:  # one for one
+                return change([x])
         for i, x in enumerate(mine.tolist()):
-            for y in mine[i + 1 :].tolist():
-                gain = self.lengths[x] + self.lengths[y] - size
-                gain[gain > room] = 0
-                if gain[at := int(np.argmax(gain))] > 0:  # two for one
-                    self._put(free, [x, y], a, [int(others[at])], int(self.of[others[at]]))
-                    return True
+            fitting = possible[self.lengths[x] + self.lengths[mine[i + 1 :]]]
+            if fitting.any():  # two for one
+                return change([x, int(mine[i + 1 + int(np.argmax(fitting))])])
         return False
 
     def _put(self, free: np.ndarray, out: list[int], a: int, back: list[int], b: int) -> None:
@@ -128,21 +135,31 @@ class Bins:
         """Exchanges that raise the sum of squared fills, until no bin can be emptied any more.
 
         The least full bins give and fuller ones take: the least full of all so that it gets empty, the next ones so
-        that their free places come together in one bin. Each exchange raises an integer, so the search ends; it stops
+        that their free places come together in one bin. When these are stuck the next ones give, until a whole pass
+        over all bins that are not full changes nothing. Each exchange raises an integer, so the search ends; it stops
         early at the number of bins that the total length needs at least.
         """
         free = np.array(self.free, np.int64)
         least = -(-int(self.lengths.sum()) // self.capacity)
-        changed = True
-        while changed and int((free < self.capacity).sum()) > least:
-            changed = False
+        self.by_length = np.argsort(self.lengths, kind="stable")
+        self.sizes, self.starts, self.counts = np.unique(
+            self.lengths[self.by_length], return_index=True, return_counts=True
+        )
+        at, changed = 0, False
+        while int((free < self.capacity).sum()) > least:
             used = np.flatnonzero((free < self.capacity) & (free > 0))
-            for a in used[np.argsort(-free[used], kind="stable")][:GIVING_BINS].tolist():
-                while 0 < free[a] < self.capacity:
-                    takers = (free > 0) & (free <= free[a])
-                    if not self._improve(a, np.flatnonzero(takers[self.of]), free):
-                        break
-                    changed = True
+            givers = used[np.argsort(-free[used], kind="stable")][at : at + GIVING_BINS].tolist()
+            if not givers:
+                if not changed:
+                    break
+                at, changed = 0, False
+                continue
+            gave = False
+            for a in givers:
+                while 0 < free[a] < self.capacity and self._improve(a, free):
+                    gave = True
+            changed |= gave
+            at += 0 if gave else GIVING_BINS
         self.free = free.tolist()
 
 
