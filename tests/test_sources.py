@@ -54,6 +54,31 @@ def test_wkb_decode_orients_rings(spark, tmp_path):
         ly.open_layers(spark, str(tmp_path), ["zones", "claims"])
 
 
+def test_wkb_with_more_ordinates():
+    def polygon(kind, extra, order, srid=b""):
+        out = struct.pack("B", 1 if order == "<" else 0) + struct.pack(order + "I", kind) + srid
+        out += struct.pack(order + "I", len(sh.HOLED))
+        for ring in sh.HOLED:
+            out += struct.pack(order + "I", len(ring))
+            for x, y in ring:
+                out += struct.pack(order + "dd", x, y) + struct.pack(order + "d", 77.0) * extra
+        return out
+
+    want = ly._rings_from_wkb(wkb_polygon(sh.HOLED))
+    for kind, extra in ((1003, 1), (2003, 1), (3003, 2), (0x80000003, 1), (0x40000003, 1), (0xC0000003, 2)):
+        for order in "<>":
+            assert ly._rings_from_wkb(polygon(kind, extra, order)) == want
+    srid = struct.pack("<I", 4326)
+    assert ly._rings_from_wkb(polygon(0xA0000003, 1, "<", srid)) == want
+    for multi, part in ((1006, 1003), (0x80000006, 0x80000003)):
+        whole = struct.pack("<BII", 1, multi, 2) + polygon(part, 1, "<") * 2
+        assert ly._rings_from_wkb(whole) == want * 2
+    assert ly._rings_from_wkb(struct.pack("<BIddd", 1, 1001, 2.0, 3.0, 4.0)) is None
+    for kind in (7, 10, 17, 1010, 4003, 0):
+        with pytest.raises(ValueError, match=f"WKB type {kind} "):
+            ly._rings_from_wkb(struct.pack("<BII", 1, kind, 0))
+
+
 def test_layer_names():
     assert ly.layer_name("/data/claims_tx_fl_la.parquet") == "claims"
     assert ly.layer_name("/data/NRI_TX_FL_LA.parquet") == "NRI"

@@ -29,18 +29,21 @@ def layer_name(path: str) -> str:
 # -- WKB ---------------------------------------------------------------------
 
 def _rings_from_wkb(data: bytes | None):
-    """Oriented rings of a Polygon or MultiPolygon in WKB, None for other types."""
+    """Oriented rings of a Polygon or MultiPolygon in WKB, None for points and lines; other types raise an error.
+
+    Z and M, by ISO codes or EWKB flags, are stepped over.
+    """
     if data is None:
         return None
 
-    def polygon(at, order):
+    def polygon(at, order, dims):
         (n_rings,) = struct.unpack_from(order + "I", data, at)
         at += 4
         rings = []
         for k in range(n_rings):
             (n,) = struct.unpack_from(order + "I", data, at)
-            xy = np.frombuffer(data, dtype=order + "f8", count=2 * n, offset=at + 4).reshape(n, 2)
-            at += 4 + 16 * n
+            xy = np.frombuffer(data, dtype=order + "f8", count=dims * n, offset=at + 4).reshape(n, dims)[:, :2]
+            at += 4 + 8 * dims * n
             if n:
                 x, y = xy[:, 0] - xy[0, 0], xy[:, 1] - xy[0, 1]
                 twice = float(np.dot(x[:-1], y[1:]) - np.dot(x[1:], y[:-1]))
@@ -55,11 +58,16 @@ def _rings_from_wkb(data: bytes | None):
         at += 5
         if kind & 0x20000000:
             at += 4
-        kind &= 0xFF
-        if kind == 3:
-            return polygon(at, order)
-        if kind != 6:
+        dims = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000)
+        iso, base = divmod(kind & 0x1FFFFFFF, 1000)
+        if iso:
+            dims = {1: 3, 2: 3, 3: 4}.get(iso)
+        if dims is None or not 1 <= base <= 6:
+            raise ValueError(f"WKB type {kind} is not decoded")
+        if base not in (3, 6):
             return None, at
+        if base == 3:
+            return polygon(at, order, dims)
         (parts,) = struct.unpack_from(order + "I", data, at)
         at, rings = at + 4, []
         for _ in range(parts):
