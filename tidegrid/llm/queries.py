@@ -162,6 +162,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejection by distance shows in ``outlier`` only: the contract keeps ``und`` for texts without letters."""
     documents = table(spark, sf_dir, "documents")
     model = langid.fit(documents, fold(3) != 1)
     out = langid.predict(documents, model, reject=False)
