@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import random
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegrid.llm import langid, quality, substring
+from tidegrid.llm import langid, quality, substring, warc
 from tidegrid.llm.binary_ids import token_ids
 from tidegrid.llm.components import components
 from tidegrid.llm.decontaminate import contaminated, without_benchmark
@@ -292,6 +293,22 @@ def test_archives(spark):
     assert archived_pages(df.limit(0)).count() == 0
 
 
+def test_repeated_pages_are_reassembled_on_their_own(spark, tmp_path):
+    long = "".join(chr(97 + i % 26) + "\r\n" for i in range(60_000))
+    df = spark.createDataFrame([(4, "u", long)] * 3, "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "written"))
+    records = [r for f in sorted((tmp_path / "written").glob("*.gz")) for r in warc.parse_records(gzip.open(f))]
+    lost = next(i for i, (f, _) in enumerate(records) if f.get("warc-segment-number") == "2")
+    (tmp_path / "cut").mkdir()
+    with open(tmp_path / "cut" / "a.warc", "wb") as out:
+        for i, (fields, block) in enumerate(records):
+            if i != lost:
+                head = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
+                out.write(f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n")
+    got = [(r.page_id, r.payload_bytes, r.complete) for r in warc.read_archives(spark, str(tmp_path / "cut")).collect()]
+    assert sorted(got, key=repr) == sorted([(4, len(long), True)] * 2 + [(4, None, False)], key=repr)
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     junk = [(rng.choice(VOCABULARY) + " ") * 80 for _ in range(40)]
     clean = [prose(80) for _ in range(40)]

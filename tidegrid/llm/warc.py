@@ -9,10 +9,12 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ MIN_REVISIT_BYTES = 100
 SEGMENT_BYTES = 1 << 16
 CHUNK_BYTES = 1 << 13
 RECORDS_PER_FILE = 4096
+#: extension field of segments: the written row they belong to
+ROW_FIELD = "X-Segment-Row"
 DATE = "2000-01-01T00:00:00Z"
 _PAGE = re.compile(r"<urn:page:(-?\d+|none):")
 
@@ -46,9 +50,12 @@ def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
 
 def page_records(
     page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool,
-    segment_bytes: int = SEGMENT_BYTES,
+    segment_bytes: int = SEGMENT_BYTES, row: str | None = None,
 ) -> Iterator[bytes]:
-    """The records of one page, without the two line ends after each."""
+    """The records of one page, without the two line ends after each.
+
+    Pages with equal page_id and payload have one record id, which revisits name; ``row`` tells their segments apart.
+    """
     rid = _record_id(page_id, digest)
     common = [
         ("WARC-Target-URI", re.sub(r"[\x00-\x20]+", "%20", url) if url is not None else None),
@@ -76,7 +83,7 @@ def page_records(
     for number, at in enumerate(starts, 1):
         own = block[at : at + segment_bytes]
         if number == 1:
-            yield _head([*fields, ("WARC-Segment-Number", 1)], len(own)) + own
+            yield _head([*fields, ("WARC-Segment-Number", 1), (ROW_FIELD, row)], len(own)) + own
             continue
         more: list[tuple[str, object]] = [
             ("WARC-Type", "continuation"),
@@ -84,6 +91,7 @@ def page_records(
             *common[:2],
             ("WARC-Segment-Origin-ID", rid),
             ("WARC-Segment-Number", number),
+            (ROW_FIELD, row),
             ("WARC-Segment-Total-Length", len(block) if number == len(starts) else None),
         ]
         yield _head(more, len(own)) + own
@@ -114,10 +122,11 @@ def write_archives(
     )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, numbers = TaskContext.get().partitionId(), itertools.count()
         for batch in batches:
             out, size = [], 0
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for record in page_records(*row, segment_bytes):
+                for record in page_records(*row, segment_bytes, f"{task}-{next(numbers)}"):
                     out.append(record)
                     size += len(record)
                 if size >= 1 << 23:
@@ -231,12 +240,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, complete.
 
     Each archive is read record by record. Whole records are decoded on the spot and leave as digests; only segments
-    carry their bytes into the shuffle by origin id, where they are ordered, checked and decoded. Records of other
-    types than response, revisit and continuation are passed over.
+    carry their bytes into the shuffle by origin id and written row, so that each record is ordered, checked and decoded
+    on its own however often it was written. Without the row (archives from elsewhere) the origin id alone is the key.
+    Records of other types than response, revisit and continuation are passed over.
     """
     piece = pa.struct([("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
-    names = ["origin", *(n for n, _ in _ARROW_ROW), "segment"]
-    types = [pa.string(), *(t for _, t in _ARROW_ROW), piece]
+    names = ["origin", "row", *(n for n, _ in _ARROW_ROW), "segment"]
+    types = [pa.string(), pa.string(), *(t for _, t in _ARROW_ROW), piece]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else ([] for _ in names)
@@ -256,10 +266,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         segment = {"number": int(fields["warc-segment-number"]), "total": int(total) if total else None, "block": block}
                         origin = fields.get("warc-segment-origin-id", rid)
                         own_kind = None if kind == "continuation" else kind
-                        rows.append((origin, None, None, None, own_kind, None, None, segment))
+                        rows.append((origin, fields.get(ROW_FIELD.lower(), ""), None, None, None, own_kind, None, None, segment))
                         size += len(block)
                     elif kind in ("response", "revisit"):
-                        rows.append((None, *_described(fields, block), None))
+                        rows.append((None, None, *_described(fields, block), None))
                     if len(rows) >= 5_000 or size >= 1 << 23:
                         yield batch_of(rows)
                         rows, size = [], 0
@@ -279,11 +289,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile")
         .load(path)
         .select("content")
-        .mapInArrow(read, f"origin string, {_ROW}, segment struct<number: int, total: bigint, block: binary>")
+        .mapInArrow(read, f"origin string, row string, {_ROW}, segment struct<number: int, total: bigint, block: binary>")
     )
     own = [n for n, _ in _ARROW_ROW]
     # whole records get a key of their own, so that one pass over the archives serves both kinds
-    key = F.coalesce(F.col("origin"), F.concat(F.lit("whole "), F.monotonically_increasing_id().cast("string")))
+    key = F.coalesce(F.concat("origin", F.lit(" "), "row"), F.concat(F.lit("whole "), F.monotonically_increasing_id().cast("string")))
     return (
         records.withColumn("key", key)
         .groupBy("key")
