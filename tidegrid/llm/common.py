@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -92,27 +94,106 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+#: bytes of text that are hashed at once
+_PIECE = 1 << 20
+_WHITE = b" \t\n\v\f\r"
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(base: int, n: int = _PIECE + 1) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-def hashed_words(texts: list[str | None]) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text; a word is what stands between ASCII white space.
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and hash of every word of at most ``_PIECE`` bytes of text.
 
-    All texts are hashed at once from their bytes: a word's polynomial is the difference of two running sums, brought
-    to the word's own start.
+    A word's polynomial is the difference of two running sums, brought to the word's own start.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass") + b" " for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
     blank = _BLANK[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * _powers(_MULTIPLIER, len(data)), dtype=np.uint64)])
-    hashes = mix64((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
-    limits = np.searchsorted(starts, np.cumsum([len(r) for r in raw]))
-    return np.split(hashes, limits[:-1]) if len(raw) else []
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_MULTIPLIER)[: len(data)], dtype=np.uint64, out=sums[1:])
+    return starts, ends, (sums[ends] - sums[starts]) * _powers(_INVERSE)[starts]
+
+
+def _pieces(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Where a text is cut: at white space, or inside a word that is longer than a piece."""
+    start = 0
+    while len(raw) - start > _PIECE:
+        end = max(raw.rfind(bytes([w]), start, start + _PIECE) for w in _WHITE) + 1
+        end = end if end > start else start + _PIECE
+        yield start, end
+        start = end
+    yield start, len(raw)
+
+
+def _long_text(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and characters of the words of one long text, piece by piece; a word cut in two is put together."""
+    hashes, sizes, chars = [], [], []
+    open_word = False
+    for start, end in _pieces(raw):
+        data = np.frombuffer(raw, np.uint8)[start:end]
+        starts, ends, sums = _hashed(data)
+        size, own = ends - starts, _chars(data, starts, ends)
+        if open_word and len(starts) and not starts[0]:
+            power = np.uint64(pow(_MULTIPLIER, int(sizes[-1][-1]), 1 << 64))
+            hashes[-1][-1:] += sums[:1] * power
+            sizes[-1][-1] += size[0]
+            chars[-1][-1] += own[0]
+            sums, size, own = sums[1:], size[1:], own[1:]
+        if len(sums):
+            hashes.append(sums)
+            sizes.append(size)
+            chars.append(own)
+        open_word = raw[end - 1 : end] not in _SINGLE
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return mix64(np.concatenate(hashes) + np.concatenate(sizes).astype(np.uint64)), np.concatenate(chars)
+
+
+_SINGLE = {bytes([w]) for w in _WHITE}
+
+
+def _chars(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Code points of each word: its bytes without those that continue one."""
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+    return before[ends] - before[starts]
+
+
+def hashed_words(texts: list[str | None], chars: bool = False) -> list:
+    """64-bit hashes of the words of each text; a word is what stands between ASCII white space.
+
+    With ``chars`` the number of code points of each word goes with them: (hashes, chars) for each text. Texts are hashed
+    from their bytes, about a megabyte at a time, so a long text needs little more than its hashes.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    group: list[bytes] = []
+    held = 0
+
+    def flush() -> None:
+        data = np.frombuffer(b"".join(group), np.uint8)
+        starts, ends, sums = _hashed(data)
+        hashes = mix64(sums + (ends - starts).astype(np.uint64))
+        limits = np.searchsorted(starts, np.cumsum([len(r) for r in group]))[:-1]
+        counts = np.split(_chars(data, starts, ends), limits) if chars else itertools.repeat(None)
+        out.extend(zip(np.split(hashes, limits), counts))
+
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass") + b" "
+        if group and held + len(raw) > _PIECE:
+            flush()
+            group, held = [], 0
+        if len(raw) > _PIECE:
+            out.append(_long_text(raw))
+        else:
+            group.append(raw)
+            held += len(raw)
+    if group:
+        flush()
+    return out if chars else [h for h, _ in out]
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -8,10 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, quality
+from .alignment import alignments
 from .binary_ids import token_ids
+from .codes import vector_codes
 from .decontaminate import contaminated
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .repetition import (
+    LEAST_WORDS,
+    MOST_LINE_CHARS,
+    MOST_LINES,
+    MOST_REPEAT_WORDS,
+    MOST_REPEATED_RUNS,
+    MOST_TOP_RUN,
+    repetition_rules,
+)
 from .substring import without_repeats
 from .tokens import token_counts
 from .vafile import top_k
@@ -201,6 +212,129 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+def _op11_sql() -> str:
+    """Runs of every length found as texts, covered words counted one by one."""
+    tops, runs = list(MOST_TOP_RUN), list(MOST_REPEATED_RUNS)
+    lengths = sorted({3, *tops, *runs})
+    limits = [("dup_line_chars", MOST_LINE_CHARS)]
+    limits += [(f"top_chars_{n}", most) for n, most in MOST_TOP_RUN.items()]
+    limits += [(f"repeat_chars_{n}", most) for n, most in MOST_REPEATED_RUNS.items()]
+    tables = "".join(
+        f"""
+), g{n} AS (
+  SELECT *, lag(p) OVER (PARTITION BY r, g ORDER BY p) AS q
+  FROM (SELECT r, p, g, count(*) OVER (PARTITION BY r, g) AS c
+        FROM (SELECT r, p, array_to_string(w[p : p + {n - 1}], ' ') AS g FROM word WHERE p <= len(w) - {n - 1}))
+  WHERE c > 1
+), c{n} AS (
+  SELECT r, count(*) AS words, sum(chars) AS chars
+  FROM (SELECT DISTINCT r, unnest(range(p, p + {n})) AS p FROM g{n}) JOIN word USING (r, p)
+  GROUP BY r"""
+        + (
+            f"""
+), t{n} AS (
+  SELECT r, max(chars) AS chars
+  FROM (SELECT r, g, sum(chars) AS chars
+        FROM (SELECT r, g, unnest(range(greatest(p, coalesce(q + {n}, p)), p + {n})) AS p FROM g{n}) JOIN word USING (r, p)
+        GROUP BY r, g)
+  GROUP BY r"""
+            if n in tops
+            else ""
+        )
+        for n in lengths
+    )
+    columns = ["coalesce(c3.words, 0) AS n_repeat_words"]
+    columns += [f"coalesce(t{n}.chars, 0) AS top_chars_{n}" for n in tops]
+    columns += [f"coalesce(c{n}.chars, 0) AS repeat_chars_{n}" for n in runs]
+    names = [c.rsplit(" ", 1)[1] for c in columns]
+    joins = "".join(f"\n  LEFT JOIN {t}{n} ON {t}{n}.r = d.r" for n in lengths for t in ("c", *("t" if n in tops else "")))
+    over = " OR ".join(f"100 * {c} > {most} * word_chars" for c, most in limits)
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), word AS (
+  SELECT r, w, p, length(w[p]) AS chars FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+), line AS (
+  SELECT r, line, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, count(*) AS n
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+  GROUP BY r, line
+), lines AS (
+  SELECT r, sum(n) AS n_lines, sum(n - 1) AS n_dup_lines, sum((n - 1) * chars) AS dup_line_chars FROM line GROUP BY r{tables}
+), m AS (
+  SELECT d.doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         n_lines, n_dup_lines, dup_line_chars, {", ".join(columns)}
+  FROM d LEFT JOIN lines ON lines.r = d.r{joins}
+), z AS (
+  SELECT doc_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", *names])}
+  FROM m
+), v AS (
+  SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEAT_WORDS} * n_words AS base_failed FROM z
+)
+SELECT *, NOT base_failed AND NOT (100 * n_dup_lines > {MOST_LINES} * n_lines OR {over}) AS kept FROM v
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """Every distance from the vectors themselves, a table for each round."""
+    width = "len(v) // 8"
+    parts = f"list_transform(range(0, 8), lambda p: v[p * ({width}) + 1 : (p + 1) * ({width})])"
+    rounds = "".join(
+        f"""
+), a{i} AS MATERIALIZED (
+  SELECT vec_id, p, part, (arg_min(e, (d, e))) AS e, min(d) AS d
+  FROM (SELECT x.vec_id, x.p, part, e, list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM x JOIN b{i} USING (p))
+  GROUP BY ALL
+), b{i + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(mean, entry) AS entry
+  FROM b{i} LEFT JOIN (
+    SELECT p, e, list(m ORDER BY i) AS mean
+    FROM (SELECT p, e, i, CAST(floor(sum(part[i]) / count(*)) AS BIGINT) AS m
+          FROM (SELECT p, e, part, unnest(range(1, len(part) + 1)) AS i FROM a{i}) GROUP BY p, e, i)
+    GROUP BY p, e) USING (p, e)"""
+        for i in range(6)
+    )
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, unnest(range(0, 8)) AS p, unnest({parts}) AS part FROM k
+), b0 AS MATERIALIZED (
+  SELECT p, e, part AS entry
+  FROM (SELECT *, dense_rank() OVER (ORDER BY vec_id) - 1 AS e FROM x) WHERE e < 16{rounds}
+), a AS (
+  SELECT vec_id, p, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT x.vec_id, x.p, e, list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM x JOIN b6 USING (p))
+  GROUP BY vec_id, p
+), c AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY vec_id
+), s AS (
+  SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN k USING (vec_id), s
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fm_index_substring_dedup": op1_fm_index_substring_dedup,
     "op2_simple8b_ids": op2_simple8b_ids,
@@ -212,6 +346,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_ftrl": op8_quality_ftrl,
     "op9_warc_reassembly": op9_warc_reassembly,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_repetition_rules": op11_repetition_rules,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -220,4 +357,6 @@ SQL: dict[str, str] = {
     "op4_simhash_decontamination": OP4_SQL,
     "op6_va_file_top_k": OP6_SQL,
     "op9_warc_reassembly": OP9_SQL,
+    "op11_repetition_rules": _op11_sql(),
+    "op13_vector_codes": _op13_sql(),
 }
