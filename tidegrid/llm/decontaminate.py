@@ -1,7 +1,8 @@
 """Benchmark decontamination with DataFrame and SQL functions only.
 
 A benchmark item is compared with windows of a document that have as many words as the item. A window and an item are
-near if the weighted Jaccard similarity of their five-word shingles (weight: number of occurrences) is 0.8 or more.
+near if the weighted Jaccard similarity of their five-word shingles (weight: number of occurrences) is 0.8 or more. An
+item of fewer words is one shingle of all of them, so it is near a window with the same words.
 
 1. Shingles of all documents are looked up among those of the items. A window that is near an item must hold a certain
    number of its shingles, which gives the windows to look at without loss: sliding a window on to its first such
@@ -16,6 +17,8 @@ near if the weighted Jaccard similarity of their five-word shingles (weight: num
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,31 +103,42 @@ def matches(
     documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS, radius: int = RADIUS
 ) -> DataFrame:
     """doc_id, text_key, item_id, similarity, start_word, n_words: the best window of every document and item near it."""
+    grams = F.expr(
+        f"CASE WHEN size(words) >= {size} THEN item_grams "
+        + " ".join(f"WHEN size(words) = {k} THEN array(xxhash64({', '.join(f'words[{i}]' for i in range(k))}))" for k in range(1, size))
+        + " ELSE array() END"
+    )
     items = stored(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), words().alias("words"))
-        .select("item_id", F.size("words").alias("item_words"), shingle_hashes(size=size).alias("item_grams"))
+        .select("item_id", "words", shingle_hashes(size=size).alias("item_grams"))
+        .select("item_id", F.size("words").alias("item_words"), grams.alias("item_grams"))
         .where(F.size("item_grams") > 0),
         "items",
     )
+    # the lengths of the items' shingles, which are those of short items and ``size``
+    run = F.least("item_words", F.lit(size))
+    runs = sorted(r["run"] for r in items.select(run.alias("run")).distinct().collect())
     # shingles of the benchmark, by length of item; stored, so that the planner knows how small it is
     known = stored(items.select("item_words", F.explode("item_grams").alias("gram")).distinct(), "item-shingles")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), words().alias("words"))
-    places = rows.select(
-        "doc_id", "text_key", F.size("words").alias("doc_words"), F.posexplode(shingle_hashes(size=size)).alias("pos", "gram")
-    )
+    places = [
+        rows.select("doc_id", "text_key", F.size("words").alias("doc_words"), F.posexplode(shingle_hashes(size=r)).alias("pos", "gram"))
+        .join(known.where(run == r), "gram")
+        for r in runs or [size]
+    ]
     hits = (
-        places.join(known, "gram")
+        functools.reduce(DataFrame.unionByName, places)
         .groupBy("doc_id", "text_key", "doc_words", "item_words")
         .agg(F.array_sort(F.collect_set("pos")).alias("places"))
     )
     needed = F.ceil(
-        F.lit(similarity / (1 + similarity)) * (F.least("doc_words", "item_words") + F.col("item_words") - 2 * (size - 1)) - 1e-9
+        F.lit(similarity / (1 + similarity)) * (F.least("doc_words", "item_words") + F.col("item_words") - 2 * (run - 1)) - 1e-9
     ).cast("int")
     last = F.greatest(F.lit(0), F.col("doc_words") - F.col("item_words"))
     starts = F.expr(
         "array_union("
         "filter(places, (p, k) -> p <= last AND k + needed <= size(places)"
-        f" AND get(places, k + needed - 1) <= p + item_words - {size}),"
+        f" AND get(places, k + needed - 1) <= p + item_words - least(item_words, {size})),"
         "CASE WHEN size(filter(places, p -> p >= last)) >= needed THEN array(last) ELSE array() END)"
     )
     windows = stored(
@@ -138,13 +152,15 @@ def matches(
     d, w = rows.alias("d"), windows.alias("w")
     cut = (
         d.join(w, F.col("d.text_key").eqNullSafe(F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-        .select("d.doc_id", "d.text_key", "windows", shingle_hashes(size=size).alias("doc_grams"))
+        .select("d.doc_id", "d.text_key", "windows", *(shingle_hashes(size=r).alias(f"grams_{r}") for r in runs or [size]))
         .select(
             "doc_id",
             "text_key",
             F.expr(
                 "inline(transform(windows, w -> named_struct('item_words', w.item_words, 'start_word', w.start_word, "
-                f"'grams', slice(doc_grams, w.start_word + 1, w.item_words - {size - 1}))))"
+                f"'grams', CASE least(w.item_words, {size}) "
+                + " ".join(f"WHEN {r} THEN slice(grams_{r}, w.start_word + 1, w.item_words - {r - 1})" for r in runs or [size])
+                + " END)))"
             ),
         )
         .withColumn("fingerprint", simhash())
@@ -190,8 +206,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     """doc_id, item_id, similarity, start_word (of the first best window), n_words (of the item).
 
     Every document that holds a window near an item, once per item. A document shorter than an item is its own window.
-    Null or empty texts, and items or documents of fewer than five words, have no shingle and are near nothing. Rows
-    with equal doc_id and text are one; a null doc_id stays null; equal item_ids are reported apart only by their
+    An item of fewer than five words is near every document that holds just these words in a row; a document of fewer
+    words than both five and the item is near nothing, nor are null texts and texts without words. Rows with equal doc_id and text are one; a null doc_id stays null; equal item_ids are reported apart only by their
     texts' lengths. Empty tables give an empty result; other columns are ignored.
     """
     return matches(documents, benchmark, similarity).drop("text_key")

@@ -110,25 +110,26 @@ WITH dw AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents
 ), iw AS (
   SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark
-), d AS (
-  SELECT doc_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS g
-  FROM dw WHERE len(w) >= 5
 ), i AS (
-  SELECT item_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS g
-  FROM iw WHERE len(w) >= 5
+  SELECT item_id, len(w) AS n, least(len(w), 5) AS r,
+         list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i : i + least(len(w), 5) - 1], ' ')) AS g
+  FROM iw WHERE len(w) > 0
+), d AS (
+  SELECT doc_id, len(w) AS n, r, list_transform(range(1, len(w) - r + 2), lambda i: array_to_string(w[i : i + r - 1], ' ')) AS g
+  FROM dw, (SELECT DISTINCT r FROM i) WHERE len(w) >= r
 ), dp AS (
-  SELECT doc_id, n, unnest(g) AS s, unnest(range(0, len(g))) AS p FROM d
+  SELECT doc_id, n, r, unnest(g) AS s, unnest(range(0, len(g))) AS p FROM d
 ), ip AS (
-  SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, n, unnest(g) AS s FROM i) GROUP BY ALL
+  SELECT item_id, n, r, s, count(*) AS c FROM (SELECT item_id, n, r, unnest(g) AS s FROM i) GROUP BY ALL
 ), hit AS (
-  SELECT DISTINCT dp.doc_id, dp.n AS dn, ip.item_id, ip.n AS m, p
-  FROM dp JOIN ip USING (s)
+  SELECT DISTINCT dp.doc_id, dp.n AS dn, ip.item_id, ip.n AS m, r, p
+  FROM dp JOIN ip USING (s, r)
 ), win AS (
-  SELECT DISTINCT doc_id, item_id, m, a
-  FROM (SELECT *, unnest(range(greatest(0, p - m + 5), least(p, greatest(0, dn - m)) + 1)) AS a FROM hit)
+  SELECT DISTINCT doc_id, item_id, m, r, a
+  FROM (SELECT *, unnest(range(greatest(0, p - m + r), least(p, greatest(0, dn - m)) + 1)) AS a FROM hit)
 ), wg AS (
-  SELECT win.doc_id, item_id, m, a, unnest(g[a+1 : a+m-4]) AS s, len(g[a+1 : a+m-4]) AS size
-  FROM win JOIN d USING (doc_id)
+  SELECT win.doc_id, item_id, m, a, unnest(g[a + 1 : a + m - r + 1]) AS s, len(g[a + 1 : a + m - r + 1]) AS size
+  FROM win JOIN d USING (doc_id, r)
 ), wc AS (
   SELECT doc_id, item_id, m, a, size, s, count(*) AS c FROM wg GROUP BY ALL
 ), sim AS (
@@ -136,7 +137,7 @@ WITH dw AS (
   FROM wc JOIN ip ON ip.item_id = wc.item_id AND ip.s = wc.s
   GROUP BY ALL
 ), best AS (
-  SELECT doc_id, item_id, CAST(shared AS DOUBLE) / (size + m - 4 - shared) AS similarity, a, m FROM sim
+  SELECT doc_id, item_id, CAST(shared AS DOUBLE) / (size + m - least(m, 5) + 1 - shared) AS similarity, a, m FROM sim
 )
 SELECT doc_id, item_id, max(similarity) AS similarity,
        CAST(arg_min(a, (-similarity, a)) AS INTEGER) AS start_word, CAST(arg_min(m, (-similarity, a)) AS INTEGER) AS n_words
