@@ -26,10 +26,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class NGrams:
-    """Counts of hashed character n-grams; words are remembered up to a bound."""
+    """Counts of hashed character n-grams; words are remembered up to a bound in bytes."""
 
-    def __init__(self, limit: int = 300_000):
-        self.limit, self.known = limit, {}
+    def __init__(self, limit: int = 64 << 20):
+        self.limit, self.known, self.held = limit, {}, 0
 
     @staticmethod
     def of_word(word: str) -> bytes:
@@ -39,11 +39,12 @@ class NGrams:
 
     def counts(self, text: str | None) -> np.ndarray:
         words = _WORD.findall((text or "").lower())
-        if len(self.known) > self.limit:
-            self.known = {}
+        if self.held > self.limit:
+            self.known, self.held = {}, 0
         known = self.known
         for w in set(words).difference(known):
-            known[w] = self.of_word(w)
+            known[w] = grams = self.of_word(w)
+            self.held += 200 + len(w) + len(grams)
         out = np.zeros(BUCKETS, np.float32)
         for at in range(0, len(words), 100_000):  # long texts a part at a time
             grams = np.frombuffer(b"".join(map(known.__getitem__, words[at : at + 100_000])), "<u2")
@@ -89,19 +90,24 @@ def _k_means(rows: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.
     return centers, (rows @ centers.T).argmax(axis=1)
 
 
-def fit(documents: DataFrame, learn_from: Column, per_lang: int = 1_500, clusters: int = 3, tail: float = 0.002) -> Centroids:
+def fit(
+    documents: DataFrame, learn_from: Column, per_lang: int = 1_500, clusters: int = 3, tail: float = 0.002, most_langs: int = 500
+) -> Centroids:
     """Fit on rows of text and lang that ``learn_from`` accepts; null languages and texts teach nothing.
 
-    Of each language about ``per_lang`` rows are taken, by a hash of the text, so the model costs the same for any
-    corpus. Vectors are made where the rows lie; each language is clustered by a task of its own from its bounded
-    sample. A centroid accepts what is at least as near as all but the share ``tail`` of its own rows.
+    Of each language about ``per_lang`` different texts are taken, by a hash of the text, so the model costs the same for
+    any corpus, and copies of one text teach once; where a dirty column holds more, the ``most_langs`` languages with most
+    texts are learned. Vectors are made where the rows lie; each language is clustered by a task of its own from its
+    bounded sample. A centroid accepts what is at least as near as all but the share ``tail`` of its own rows.
     """
     rows = documents.select("doc_id", "text", "lang").where(learn_from).where("lang IS NOT NULL AND text IS NOT NULL")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("key"))
+    sizes = rows.select("lang", "key").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    totals = {r["lang"]: r["n"] for r in sizes.orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not totals:
         return Centroids(np.ones(BUCKETS, np.float32), [], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     share = F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, per_lang / n))))
-    drawn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams()
@@ -113,7 +119,8 @@ def fit(documents: DataFrame, learn_from: Column, per_lang: int = 1_500, cluster
                 names=["lang", "counts"],
             )
 
-    sample = stored(rows.where(drawn).select("lang", "text").mapInArrow(count, "lang string, counts binary"), "langid-sample")
+    different = rows.where(drawn).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    sample = stored(different.select("lang", "text").mapInArrow(count, "lang string, counts binary"), "langid-sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, seen = 0, np.zeros(BUCKETS, np.int64)

@@ -69,14 +69,19 @@ def fit(
 ) -> np.ndarray:
     """Weights learned from labelled rows that ``learn_from`` (a condition on doc_id) accepts.
 
-    At most about ``sample_rows`` labelled rows are taken, by a hash of doc_id, so that the fit costs the same for any
-    corpus; their features are made where the texts lie and one task goes over them. Null qualities and rows without a
-    document teach nothing. Nothing to learn from: all weights are 0 (every score is 0.5).
+    At most about ``sample_rows`` labelled documents are taken, by a hash of doc_id, so that the fit costs the same for
+    any corpus; one task goes over them. Labels are counted before the draw: equal rows teach once, and a document with
+    both labels teaches both. Of documents with one id the least text (by its MD5, then by itself) stands for all, so an id
+    that holds a third of all rows is one row of the sample. Qualities other than 0 and 1 and rows without a document teach
+    nothing. Nothing to learn from: all weights are 0 (every score is 0.5).
     """
-    usable = labels.select(F.col("doc_id").cast("long"), "quality").where(learn_from).where("quality IS NOT NULL AND doc_id IS NOT NULL")
+    quality = F.col("quality").cast("int").alias("quality")
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), quality).where(learn_from)
+    usable = usable.where("quality IN (0, 1) AND doc_id IS NOT NULL").distinct()
     share = min(1.0, sample_rows / max(1, usable.count()))
-    # its size is bounded by sample_rows, so it may be sent to every task
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = stored(usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)), "labelled-sample")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample.select("doc_id").distinct(), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.md5(F.col("text").cast("binary")), "text")).alias("least"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -93,9 +98,9 @@ def fit(
             )
 
     rows = stored(
-        documents.select(F.col("doc_id").cast("long"), "text")
-        .join(F.broadcast(sample), "doc_id")
-        .select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+        texts.select("doc_id", "least.text")
+        .join(sample, "doc_id")
+        .select("doc_id", "quality", "text")
         .mapInArrow(featurise, "doc_id long, quality int, at binary, values binary"),
         "quality-sample",
     )
