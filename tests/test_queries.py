@@ -1,40 +1,26 @@
-"""Registered queries against their SQL twins on the smallest data.
-
-``tools/check.py`` runs all of them; here one or two of every kind.
-"""
+"""Every registered query against its SQL twin on the smallest data."""
 
 import pytest
 
 import __spark_entry__ as entry
+from tidegrid.plans.registry import all_queries, all_sql
 from tools.check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 
-CHOSEN = [
-    "count_prefix_date", "sum_building_payout", "avg_row_ratio", "percent_distinct_case", "bbox_filter",
-    "sum_area_valid_zone", "invalid_polygons", "smallest_area_key", "annual_mean", "repair_polygons",
-    "key_rule_claims_county", "zip_join", "top_year", "weighted_mean_topn", "semi_key",
-    "hospitals_in_flood_topn", "mixed_key_and_containment", "nested_exists_spatial",
-    "tract_flood_intersects_avg", "exists_spatial_semi", "poor_flooded_tracts", "county_rank_by_avg",
-    "unknown_county_is_null", "flooded_hospital_county_claims", "dry_hospitals",
-    "spatial_rule_schools_floodplain", "spatial_rule_floodplain_zcta", "zcta_flood_overlap_area",
-    "coverage_share", "touching_neighbours", "polygon_contains", "three_polygon_chain", "within_distance",
-    "cosine_topk_forced", "weighted_component_score", "multiset_jaccard", "frames_match_fewer",
-    "first_examples_per_level", "profile_layers",
-]
-
 
 @pytest.fixture(scope="module")
 def oracle():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", list(all_sql()))
 def test_query_matches_sql(spark, oracle, name):
-    result, _ = compare(name, entry.queries()[name](spark, SF), oracle, entry.oracle_sql()[name])
+    result, _ = compare(name, all_queries()[name](spark, SF), oracle, all_sql()[name])
     assert result == "ok"
 
 
 def test_entry_and_registry(spark):
     assert entry.entry(spark).columns == ["county_name"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(all_sql()) <= set(entry.oracle_sql())

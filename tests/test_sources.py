@@ -133,3 +133,36 @@ def test_value_helpers(spark):
     assert tuple(row) == (None, "BLOB(3 bytes)", "2020-01-02T03:04:05", "a b", "SELECT 1", "01001000001", "unknown", "2020")
     shares = frame.agg(sc.share_of(F.col("fips") > 0).alias("x"), F.count(F.when(sc.valid_pct("fips"), 1)).alias("n"))
     assert tuple(shares.first()) == (1.0, 0)
+
+
+def test_wkb_round_trip(spark):
+    shapes = [sh.UNIT, sh.HOLED, [*sh.HOLED, *sh.moved(sh.UNIT, 10, 0)], None]
+    rows = spark.createDataFrame(list(enumerate(shapes)), "id int, rings array<array<struct<x: double, y: double>>>")
+    back = rows.select("id", ly.wkb_from_rings("rings").alias("w")).select("id", ly.rings_from_wkb("w").alias("r")).collect()
+    for r in back:
+        got = None if r.r is None else [[(p.x, p.y) for p in ring] for ring in r.r]
+        assert got == (None if shapes[r.id] is None else [[tuple(p) for p in ring] for ring in shapes[r.id]])
+
+
+def test_a_repeated_append_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert rc.read_runs(spark, path).count() == 0 and rc.runs(spark, path).count() == 0
+    first = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, question string")
+    assert rc.append_run(first, path, "r1") is True and rc.append_run(first, path, "r1") is False
+    # a call that failed after writing its records has not entered its run
+    first.write.json(f"{path}/runs/r2")
+    assert {r.run_id for r in rc.read_runs(spark, path).collect()} == {"r1"}
+    assert rc.append_run(first.limit(1), path, "r2") is True
+    with open(f"{path}/runs/r2/part-x.json", "w") as f:
+        f.write('{"id": "9", broken\n')
+    got = sorted((r.run_id, r.id) for r in rc.read_runs(spark, path).collect())
+    assert got == [("r1", "1"), ("r1", "2"), ("r2", got[-1][1])]
+    with pytest.raises(ValueError):
+        rc.append_run(first, path, "../r3")
+
+
+def test_numbers_from_dirty_text(spark):
+    from tidegrid.functions.scalars import number_or_null
+
+    df = spark.createDataFrame([("1.5",), (" 2 ",), ("n/a",), ("",), (None,), ("1e3",)], "t string")
+    assert [r[0] for r in df.select(number_or_null("t")).collect()] == [1.5, 2.0, None, None, None, 1000.0]

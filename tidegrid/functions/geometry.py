@@ -4,7 +4,7 @@ A polygon (or multipolygon) travels as one struct column::
 
     struct<rings: array<array<struct<x: double, y: double>>>,
            xmin: double, ymin: double, xmax: double, ymax: double,
-           valid: boolean>
+           valid: boolean, corners: int>
 
 Rings are closed (first point repeated last) and oriented: outer rings run
 counter-clockwise, holes clockwise.  With that convention every measure below
@@ -89,6 +89,11 @@ def polygon_area(geom: str) -> Column:
     return F.expr(polygon_area_sql(geom))
 
 
+def corners_sql(rings: str) -> str:
+    """Number of points of all rings."""
+    return f"aggregate({rings}, 0, (n_, r_) -> n_ + size(r_))"
+
+
 def geometry_sql(rings: str, valid: str) -> str:
     """Geometry struct from a rings column and a validity flag."""
 
@@ -99,7 +104,7 @@ def geometry_sql(rings: str, valid: str) -> str:
         f"CASE WHEN {rings} IS NOT NULL THEN named_struct('rings', {rings},"
         f" 'xmin', {bound('array_min', 'x')}, 'ymin', {bound('array_min', 'y')},"
         f" 'xmax', {bound('array_max', 'x')}, 'ymax', {bound('array_max', 'y')},"
-        f" 'valid', {valid}) END"
+        f" 'valid', {valid}, 'corners', {corners_sql(rings)}) END"
     )
 
 
@@ -132,6 +137,29 @@ def orient_rings_sql(rings: str) -> str:
     )
 
 
+def canonical_rings_sql(rings: str) -> str:
+    """Normal form of an outline: equal point sets have equal forms.
+
+    Rings are oriented, lose points that repeat or lie straight between their
+    neighbours, start at their least corner, and come in ascending order.
+    """
+    closed = (
+        "CASE WHEN r_[0] = element_at(r_, -1) THEN slice(r_, 1, size(r_) - 1) ELSE r_ END"
+    )
+    before, after = "q_[(i_ + size(q_) - 1) % size(q_)]", "q_[(i_ + 1) % size(q_)]"
+    straight = f"({after}.x - {before}.x) * (p_.y - {before}.y) = ({after}.y - {before}.y) * (p_.x - {before}.x)"
+    corners = let_sql("q_", "s_", f"filter(q_, (p_, i_) -> NOT ({straight}))")
+    first = "array_position(c_, array_min(c_))"
+    turned = let_sql("c_", corners, f"concat(slice(c_, CAST({first} AS INT), size(c_)), slice(c_, 1, CAST({first} AS INT) - 1))")
+    tidy = f"transform({clean_rings_sql(rings)}, r_ -> {closed})"
+    solid = f"filter({tidy}, s_ -> size(s_) >= 3)"
+    oriented = let_sql(
+        "o_", f"transform({solid}, s_ -> concat(s_, slice(s_, 1, 1)))",
+        f"transform({orient_rings_sql('o_')}, w_ -> slice(w_, 1, size(w_) - 1))",
+    )
+    return f"array_sort(filter(transform({oriented}, s_ -> {turned}), t_ -> size(t_) >= 3))"
+
+
 # -- points against polygons -------------------------------------------------
 
 def on_boundary_sql(edges: str, x: str, y: str) -> str:
@@ -228,16 +256,21 @@ def _edges_in_box_sql(edges: str, var: str, box: Shape) -> str:
     )
 
 
-def intersects_sql(a: Shape, b: Shape) -> str:
-    """Any shared point.  Cheap tests first: a ring start of one polygon inside
-    the other, then edge pairs, looking only at edges inside the other's box."""
+def edges_meet_sql(a: Shape, b: Shape) -> str:
+    """Two edges share a point, looking only at edges inside the other's box."""
     near_a, near_b = _edges_in_box_sql(a.edges, "e_", b), _edges_in_box_sql(b.edges, "f_", a)
     meet = f"exists({near_a}, e_ -> exists(near_, f_ -> {segments_meet_sql('e_', 'f_')}))"
+    return let_sql("near_", near_b, meet)
+
+
+def intersects_sql(a: Shape, b: Shape) -> str:
+    """Any shared point.  Cheap tests first: a ring start of one polygon inside
+    the other, then edge pairs."""
     return (
         f"({boxes_meet_sql(a, b)}"
         f" AND (exists({b.starts}, p_ -> {covers_sql(a.edges, 'p_.x', 'p_.y')})"
         f" OR exists({a.starts}, p_ -> {covers_sql(b.edges, 'p_.x', 'p_.y')})"
-        f" OR {let_sql('near_', near_b, meet)}))"
+        f" OR {edges_meet_sql(a, b)}))"
     )
 
 
@@ -267,9 +300,16 @@ def _under_both_sql(lo: str, hi: str, base: str) -> str:
 
 
 def overlap_area_sql(a: Shape, b: Shape) -> str:
-    """area(A and B) without clipping: over all pairs of directed edges, the
-    signed area under the lower of the two.  Edges outside the common x range,
-    or wholly below the other polygon, add up to nothing and are left out."""
+    """area(A and B) without clipping; see ``overlap_sum_sql``."""
+    return f"greatest({overlap_sum_sql(a, b)}, 0D)"
+
+
+def overlap_sum_sql(a: Shape, b: Shape) -> str:
+    """Over all pairs of directed edges, the signed area under the lower of the
+    two.  Edges outside the common x range, or wholly below the other polygon,
+    add up to nothing and are left out.  With all edges of both polygons this is
+    the shared area inside the common x range of the shapes' boxes; sums over
+    parts of the edges, or of the range, add up to it."""
     box = (
         f"named_struct('x0', greatest({a.xmin}, {b.xmin}), 'x1', least({a.xmax}, {b.xmax}),"
         f" 'y0', greatest({a.ymin}, {b.ymin}), 'y1', least({a.ymax}, {b.ymax}))"
@@ -295,7 +335,7 @@ def overlap_area_sql(a: Shape, b: Shape) -> str:
     total = let_sql("near_", relevant(b.edges, "f_", a.ymin), pairs)
     return let_sql(
         "k_", box,
-        f"CASE WHEN k_.x0 < k_.x1 AND k_.y0 < k_.y1 THEN greatest({total}, 0D) ELSE 0D END",
+        f"CASE WHEN k_.x0 < k_.x1 AND k_.y0 < k_.y1 THEN {total} ELSE 0D END",
     )
 
 

@@ -45,6 +45,11 @@ def finite_or_null(column: str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+def number_or_null(column: str, kind: str = "double") -> Column:
+    """Text as a number, blanks around it allowed; NULL where it is none."""
+    return F.trim(F.col(column).cast("string")).try_cast(kind)
+
+
 def blob_text(column: str) -> Column:
     """Binary values are reported by their length only."""
     return F.concat(F.lit("BLOB("), F.octet_length(column).cast("string"), F.lit(" bytes)"))

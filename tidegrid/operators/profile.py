@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,21 +29,32 @@ def _as_text(field: T.StructField):
     return c.cast("string")
 
 
+def row_text(key: str | Sequence[str]) -> Column:
+    """What a sample is drawn by: a key column as text, or several columns with NULLs as words."""
+    if isinstance(key, str):
+        return F.col(key).cast("string")
+    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in key])
+
+
 def profile_layer(
-    name: str, df: DataFrame, key: str, descriptions: Mapping[str, str] | None = None, sample: int = 3
+    name: str, df: DataFrame, key: str | Sequence[str], descriptions: Mapping[str, str] | None = None, sample: int = 3
 ) -> DataFrame:
     """One row per column of a layer.
 
-    ``sample`` holds a value of each sampled row in the same order for every
-    column, NULL included, so the samples of a layer line up as rows.
+    ``sample`` holds a value of each sampled row in the order of the draw, the
+    same for every column, NULL included, so the samples of a layer line up as
+    rows.  ``key`` is a unique column, or all columns that tell rows apart.
     """
     descriptions = descriptions or {}
     count = df.agg(F.count(F.lit(1))).scalar()
     # at most ``sample`` rows reach the single aggregate below
-    few = sample_rows(df, sample, key).select(*[_as_text(f).alias(f.name) for f in df.schema])
-    rows = F.collect_list(F.struct(*few.columns))
+    drawn = row_text(key)
+    few = sample_rows(df, sample, drawn).select(
+        F.md5(drawn).alias("__hash"), drawn.alias("__text"), *[_as_text(f).alias(f.name) for f in df.schema]
+    )
+    rows = F.array_sort(F.collect_list(F.struct(*few.columns)))
     one = few.agg(rows.alias("__rows")).select(
-        *[F.col("__rows").getField(c).alias(c) for c in few.columns]
+        *[F.col("__rows").getField(f.name).alias(f.name) for f in df.schema]
     )
     entries = [
         F.struct(
@@ -66,11 +77,11 @@ def profile_layer(
 
 def profile_layers(
     layers: Mapping[str, DataFrame],
-    keys: Mapping[str, str],
+    keys: Mapping[str, str | Sequence[str]],
     descriptions: Mapping[str, Mapping[str, str]] | None = None,
     sample: int = 3,
 ) -> DataFrame:
-    """Profile of the layers named in ``keys`` (layer -> key column)."""
+    """Profile of the layers named in ``keys`` (layer -> key column or columns)."""
     out = None
     for name, key in keys.items():
         one = profile_layer(name, layers[name], key, (descriptions or {}).get(name), sample)

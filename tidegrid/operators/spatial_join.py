@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.storage import written
+from .cell_cover import cell_cover, point_in_cell_sql
+from .slab_overlap import measured_pairs
 
 # Level of a point: finer than any polygon, so points never own a cell.
 _POINT_LEVEL = -200
@@ -38,6 +41,12 @@ _SPOT_LEVEL = -20
 # Rows per block when a hot cell is split.
 BLOCK_ROWS = 20_000
 
+# Polygons with more corners are cut per cell.
+CUT_CORNERS = 1_000
+
+# A cell with more blocks than this on one side is split whatever the other side holds.
+FEW_BLOCKS = 4
+
 _CELL = ("__owner_level", "__cx", "__cy")
 
 SYMMETRIC = {"intersects", "overlaps", "touches", "equals"}
@@ -54,7 +63,7 @@ class _Side:
         self.tag, self.geom, self.grow = tag, geom, grow
         self.is_point = not isinstance(geom, str)
         self.has_extent = grow is not None or not self.is_point
-        self.columns = df.columns
+        self.df, self.columns = df, df.columns
         x0, y0, x1, y1 = (
             [*geom, *geom] if self.is_point else [f"{geom}.{c}" for c in g.BOUNDS]
         )
@@ -76,6 +85,14 @@ class _Side:
         extent = f"greatest({b['x1']} - {b['x0']}, {b['y1']} - {b['y0']})"
         return f"CASE WHEN {extent} > 0 THEN int(ceil(log2({extent}))) ELSE {_SPOT_LEVEL} END"
 
+    @property
+    def corners(self) -> str:
+        """Corners of a row's polygon; they are part of the geometry where the library made it."""
+        if self.is_point:
+            return "0"
+        fields = self.layer.schema[self.geom].dataType.names
+        return f"{self.geom}.corners" if "corners" in fields else g.corners_sql(f"{self.geom}.rings")
+
     def summary(self) -> DataFrame:
         """Levels in use, extent and number of rows, as one row.
 
@@ -85,6 +102,7 @@ class _Side:
         b = self.bounds
         return self.layer.selectExpr(
             f"'{self.tag}' AS tag", f"collect_set({self.level}) AS levels", "count(1) AS n",
+            f"max({self.corners}) AS corners",
             f"CAST(min({b['x0']}) AS DOUBLE) AS x0", f"CAST(min({b['y0']}) AS DOUBLE) AS y0",
             f"CAST(max({b['x1']}) AS DOUBLE) AS x1", f"CAST(max({b['y1']}) AS DOUBLE) AS y1",
         )
@@ -97,12 +115,13 @@ class _Side:
         columns = list(self.geom) if self.is_point else [self.geom]
         return _Side(self.layer.select(*columns), self.geom, self.tag, self.grow)
 
-    def in_cells(self, other: Row, owner: int, rows_only: bool = False) -> DataFrame:
+    def in_cells(self, other: Row, owner: int, rows_only: bool = False, with_corners: bool = False) -> DataFrame:
         """Rows inside the other layer's extent, once per cell.
 
         ``owner`` is 0 for the left side and 1 for the right; the coarser
         partner of a pair owns the cell, the left side on a tie.  With
-        ``rows_only`` just the cells come out, without the columns.
+        ``rows_only`` just the cells come out, without the columns; with
+        ``with_corners`` the number of corners is among them.
         """
         b = self.bounds
         inside = (
@@ -117,6 +136,8 @@ class _Side:
             parts.append(f"{g.edges_sql(f'{self.geom}.rings')} AS {self.name('edges')}")
             parts.append(f"{g.starts_sql(f'{self.geom}.rings')} AS {self.name('starts')}")
             parts.append(f"{g.polygon_area_sql(self.geom)} AS {self.name('area')}")
+            if with_corners:
+                parts.append(f"{self.corners} AS {self.name('corners')}")
         rows = self.source.where(inside).selectExpr("*", *parts)
         level = self.name("level")
         coarser = f"lv_ > {level}" if owner == 0 else f"lv_ >= {level}"
@@ -132,6 +153,8 @@ class _Side:
         kept = [*self.columns, *[self.name(k) for k in b]]
         if not self.is_point:
             kept += [self.name("edges"), self.name("starts"), self.name("area")]
+            if with_corners:
+                kept.append(self.name("corners"))
         return rows.selectExpr(*[f"`{c}`" for c in kept], f"inline({cells})")
 
     def _cells(self, level: str, owner: int) -> str:
@@ -173,7 +196,8 @@ def _exact(predicate: str, a: _Side, b: _Side) -> str:
 
 
 def _hot_cells(left_cells: DataFrame, right_cells: DataFrame, block_rows: int) -> DataFrame:
-    """Cells with too many candidate pairs, and into how many blocks each side is cut there.
+    """Cells with too many candidate pairs, or too many rows of one side alone, and into how many blocks each side is
+    cut there.
 
     Only cells go in, without geometry; rows are counted before the shuffle.
     """
@@ -181,7 +205,8 @@ def _hot_cells(left_cells: DataFrame, right_cells: DataFrame, block_rows: int) -
         right_cells.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("__nb")), list(_CELL)
     )
     work = F.col("__na").cast("double") * F.col("__nb")
-    return per_cell.where(work > float(block_rows) * block_rows).select(
+    crowd = F.greatest("__na", "__nb")
+    return per_cell.where((work > float(block_rows) * block_rows) | (crowd > FEW_BLOCKS * block_rows)).select(
         *_CELL,
         F.ceil(F.col("__na") / block_rows).alias("__blocks_a"),
         F.ceil(F.col("__nb") / block_rows).alias("__blocks_b"),
@@ -212,22 +237,28 @@ def _split_hot_cells(left: DataFrame, right: DataFrame, hot: DataFrame):
     return spread(left, "a", "b"), spread(right, "b", "a")
 
 
-def _candidates(a: _Side, b: _Side, partition_keys, split_hot, block_rows):
+def _summaries(a: _Side, b: _Side) -> dict[str, Row]:
+    """Both summaries, read in one small job."""
+    return {row["tag"]: row for row in a.summary().unionAll(b.summary()).collect()}
+
+
+def _candidates(a: _Side, b: _Side, summary, partition_keys, split_hot, block_rows, with_corners=False):
     """Both sides in cells, and the names of the equi-join columns.
 
-    The two summaries are read in one small job now, so that the extents reach
-    the scans as plain filters; a second one over the bounds columns looks
-    whether any cell is hot.
+    The two summaries have been read by now, so that the extents reach the scans
+    as plain filters; a second job over the bounds columns looks whether any
+    cell is hot.
     """
-    summary = {row["tag"]: row for row in a.summary().unionAll(b.summary()).collect()}
-    left, right = a.in_cells(summary["b"], 0), b.in_cells(summary["a"], 1)
+    left = a.in_cells(summary["b"], 0, with_corners=with_corners)
+    right = b.in_cells(summary["a"], 1, with_corners=with_corners)
     keys = list(_CELL)
     for i, (ka, kb) in enumerate(partition_keys):
         left = left.withColumn(f"__key{i}", F.col(ka))
         right = right.withColumn(f"__key{i}", F.col(kb))
         keys.append(f"__key{i}")
     # with so few rows no cell can be hot, and nothing needs to be counted
-    few = summary["a"]["n"] * summary["b"]["n"] <= block_rows * block_rows
+    n = [summary[tag]["n"] for tag in "ab"]
+    few = n[0] * n[1] <= block_rows * block_rows and max(n) <= FEW_BLOCKS * block_rows
     if split_hot or (split_hot is None and not few):
         hot = _hot_cells(
             a.bounds_only().in_cells(summary["b"], 0, True),
@@ -261,6 +292,7 @@ def spatial_join(
     b_layer: DataFrame | None = None,
     split_hot: bool | None = None,
     block_rows: int = BLOCK_ROWS,
+    cut_corners: int = CUT_CORNERS,
 ) -> DataFrame:
     """Join two layers where ``predicate(a, b)`` holds.
 
@@ -276,6 +308,7 @@ def spatial_join(
                     and extent from without running those joins twice
     split_hot       split crowded cells: None looks whether there are any, True
                     splits without looking first, False never splits
+    cut_corners     polygons with more corners are cut per cell (``cell_cover``)
     """
     if predicate not in POLYGON_PREDICATES:
         raise ValueError(f"unknown spatial predicate {predicate!r}")
@@ -283,43 +316,154 @@ def spatial_join(
         clash = set(a.columns) & set(b.columns)
         if clash:
             raise ValueError(f"rename columns present on both sides: {sorted(clash)}")
+    if how not in ("inner", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join type {how!r}")
     sa = _Side(a, a_geom, "a", layer=a_layer)
     sb = _Side(b, b_geom, "b", layer=b_layer)
-    left, right, keys = _candidates(sa, sb, partition_keys, split_hot, block_rows)
-    condition = f"{_boxes(sa, sb)} AND {_exact(predicate, sa, sb)}"
+    if how != "inner":
+        left_key = _match_key(sa, left_key, partition_keys)
+    summary = _summaries(sa, sb)
+    out = [F.col(c) for c in (*a.columns, *b.columns)]
+    cut = None
+    if sa.is_point != sb.is_point and max(summary[t]["corners"] or 0 for t in "ab") > cut_corners:
+        # large outlines go cell by cell, the others as whole rows
+        area = sb if sa.is_point else sa
+        large = F.expr(f"{area.corners} > {cut_corners}")
+        cut = _cut_pairs(sa, sb, large, predicate, partition_keys, how, block_rows, summary)
+        rest = area.df.where(~large)
+        if area is sa:
+            sa = _Side(rest, a_geom, "a", layer=sa.layer)
+        else:
+            sb = _Side(rest, b_geom, "b", layer=sb.layer)
+    whole = "true"
+    if not (sa.is_point or sb.is_point) and max(summary[t]["corners"] or 0 for t in "ab") > cut_corners:
+        # pairs with a large outline are measured slab by slab, the others as whole rows
+        cut = _slab_pairs(sa, sb, summary, predicate, partition_keys, how, split_hot, block_rows, cut_corners, overlap_area)
+        whole = f"{sa.name('corners')} <= {cut_corners} AND {sb.name('corners')} <= {cut_corners}"
+    left, right, keys = _candidates(sa, sb, summary, partition_keys, split_hot, block_rows, with_corners=whole != "true")
+    boxes = f"{whole} AND {_boxes(sa, sb)}"
+    condition = f"{boxes} AND {_exact(predicate, sa, sb)}"
     if how == "inner":
-        out = [F.col(c) for c in (*a.columns, *b.columns)]
+        if overlap_area is not None and (sa.is_point or sb.is_point):
+            raise ValueError("a point and an area share no area")
         if overlap_area is None:
-            return _joined(left, right, keys, condition, "inner").select(*out)
+            pairs = _joined(left, right, keys, condition, "inner").select(*out)
+            return pairs if cut is None else pairs.unionByName(cut.select(*out))
         # the measure comes with the predicate, so both are worked out in one go
         areas = g.areas_sql(sa.shape, sb.shape)
         test = g.area_test_sql(predicate, "o_") if predicate != "intersects" else "true"
         rest = _exact("intersects", sa, sb) if predicate in ("intersects", "touches") else "true"
-        pairs = _joined(left, right, keys, f"{_boxes(sa, sb)} AND {rest}", "inner")
+        pairs = _joined(left, right, keys, f"{boxes} AND {rest}", "inner")
         measured = pairs.selectExpr("*", f"inline(filter(array({areas}), o_ -> {test}))")
-        return measured.select(*out, F.col("shared").alias(overlap_area))
-    if how not in ("left_semi", "left_anti"):
-        raise ValueError(f"unsupported join type {how!r}")
-    return _keep_by_match(a, sa, left, right, keys, condition, how, left_key, partition_keys)
-
+        measured = measured.select(*out, F.col("shared").alias(overlap_area))
+        return measured if cut is None else measured.unionByName(cut.select(*out, overlap_area))
+    # Of the right side only internal columns take part, so its names may be those of the left.
+    internal = [c for c in right.columns if c.startswith("__")]
+    matched = _joined(left, right.select(*internal), keys, condition, "inner").select(*left_key)
+    if cut is not None:
+        matched = matched.unionByName(cut.select(*left_key))
+    # A row sits in several cells, so matches are collected by key first.  The planner streams the large side past the
+    # small one, and only distinct keys leave each task.
+    return a.join(matched.distinct(), left_key, how).select(*a.columns)
 
-def _keep_by_match(a, sa, left, right, keys, condition, how, left_key, partition_keys):
-    """A row sits in several cells, so matches are collected by key first.
 
-    Of the right side only internal columns take part, so its names may be
-    those of the left.  The planner streams the large side past the small one,
-    and only distinct keys leave each task.
-    """
+def _match_key(sa: _Side, left_key, partition_keys) -> list[str]:
+    """Columns by which matches of a semi or anti join are collected."""
     if left_key is None:
         if not sa.is_point:
             raise ValueError("left_key is needed for semi and anti joins of polygons")
         left_key = list(sa.geom)
     left_key = [left_key] if isinstance(left_key, str) else list(left_key)
     # the keys that had to be equal are part of what a match is about
-    left_key += [ka for ka, _ in partition_keys if ka not in left_key]
-    internal = [c for c in right.columns if c.startswith("__")]
-    matched = _joined(left, right.select(*internal), keys, condition, "inner")
-    return a.join(matched.select(*left_key).distinct(), left_key, how).select(*a.columns)
+    return left_key + [ka for ka, _ in partition_keys if ka not in left_key]
+
+
+def _cut_pairs(sa: _Side, sb: _Side, large, predicate, partition_keys, how, block_rows, summary) -> DataFrame:
+    """Pairs of points and large polygons, over the cells of the polygons (see ``cell_cover``).
+
+    Every point visits its cell on each level that occurs and meets the one cover row of a polygon there, if any.
+    Only numbers of polygons go through that join; their columns are fetched for the pairs at the end, so an outline
+    is read only if the caller wants it.  For semi and anti joins no column of the right side is fetched but its keys.
+    """
+    points, area = (sa, sb) if sa.is_point else (sb, sa)
+    rows = written(area.df.where(large).withColumn("__pid", F.monotonically_increasing_id()), "large-polygons")
+    cover = cell_cover(rows.select("__pid", area.geom), area.geom)
+    levels = sorted(r["__lv"] for r in cover.select("__lv").distinct().collect())  # at most some dozens
+    x, y = points.geom
+    keys = [(f"__k{i}", ka, kb) if points is sa else (f"__k{i}", kb, ka) for i, (ka, kb) in enumerate(partition_keys)]
+    fetched = points.columns if how == "inner" or points is sa else []
+    cells = ", ".join(
+        f"named_struct('__owner_level', {lv}, '__cx', CAST(floor({x} / pow(2D, {lv})) AS BIGINT),"
+        f" '__cy', CAST(floor({y} / pow(2D, {lv})) AS BIGINT))"
+        for lv in levels
+    )
+    visiting = points.source.select(
+        *[F.col(c).alias(f"__p_{c}") for c in fetched],
+        F.expr(f"CAST({x} AS DOUBLE)").alias("__x"), F.expr(f"CAST({y} AS DOUBLE)").alias("__y"),
+        *[F.col(c).alias(k) for k, c, _ in keys],
+        F.expr(f"inline(array({cells}))" if levels else "inline(CAST(array() AS ARRAY<STRUCT<__owner_level: INT, __cx: BIGINT, __cy: BIGINT>>))"),
+    )
+    placed = cover.withColumnRenamed("__lv", "__owner_level")
+    if keys:
+        placed = placed.join(rows.select("__pid", *[F.col(c).alias(f"{k}_r") for k, _, c in keys]), "__pid")
+    join_on = list(_CELL)
+    if summary[points.tag]["n"] > FEW_BLOCKS * block_rows:
+        hot = _hot_cells(visiting.select(*_CELL), placed.select(*_CELL), block_rows)
+        if not hot.isEmpty():
+            visiting, placed = _split_hot_cells(visiting, placed, hot)
+            join_on += ["__block_a", "__block_b"]
+    # the right and upper sides of cells belong to their neighbours, so a point is in one cell of a polygon only
+    test = point_in_cell_sql({"within": "contains"}.get(predicate, predicate), "__x", "__y").replace("__lv", "__owner_level")
+    right_way = predicate in ("intersects", "touches") or predicate == ("within" if points is sa else "contains")
+    same = " AND ".join(["true", *[f"{k} = {k}_r" for k, *_ in keys]])
+    met = visiting.join(placed, join_on).where(f"{str(right_way).lower()} AND {same} AND {test}")
+    met = met.select("__pid", *[f"__p_{c}" for c in fetched])
+    wanted = area.columns if how == "inner" or area is sa else []
+    attributes = rows.select("__pid", *[F.col(c).alias(f"__g_{c}") for c in wanted])
+    both = [F.col(f"__p_{c}").alias(c) for c in fetched if how == "inner" or points is sa]
+    both += [F.col(f"__g_{c}").alias(c) for c in wanted]
+    return met.join(attributes, "__pid").select(*both)
+
+
+def _slab_pairs(
+    sa: _Side, sb: _Side, summary, predicate, partition_keys, how, split_hot, block_rows, cut_corners, overlap_area
+) -> DataFrame:
+    """Pairs of polygons of which one or both are large, measured slab by slab (see ``slab_overlap``).
+
+    Candidates are found by their boxes, as numbers only; the columns of the
+    polygons are fetched for the pairs at the end.
+    """
+
+    def staged(side: _Side, tag: str) -> tuple[DataFrame, _Side]:
+        numbered = side.df.withColumns({"__pid": F.monotonically_increasing_id(), "__area": g.polygon_area(side.geom)})
+        rows = written(numbered, "polygons")
+        slim = rows.select("__pid", F.col(side.geom).alias("__geom"), *[F.col(c).alias(f"__k{i}") for i, c in keys[tag]])
+        slim = slim.withColumnsRenamed({c: f"{c}_{tag}" for c in slim.columns})
+        return rows, _Side(slim, f"__geom_{tag}", tag)
+
+    keys = {
+        "a": [(i, ka) for i, (ka, _) in enumerate(partition_keys)],
+        "b": [(i, kb) for i, (_, kb) in enumerate(partition_keys)],
+    }
+    (rows_a, a), (rows_b, b) = staged(sa, "a"), staged(sb, "b")
+    equal = [(f"__k{i}_a", f"__k{i}_b") for i, _ in keys["a"]]
+    left, right, join_on = _candidates(a, b, summary, equal, split_hot, block_rows, with_corners=True)
+    large = f"({a.name('corners')} > {cut_corners} OR {b.name('corners')} > {cut_corners})"
+    pairs = _joined(left, right, join_on, f"{large} AND {_boxes(a, b)}", "inner")
+    pairs = written(pairs.select(F.col("__pid_a").alias("__a"), F.col("__pid_b").alias("__b")), "pairs")
+    measured = measured_pairs(pairs, rows_a, rows_b, sa.geom, sb.geom)
+    measured = measured.withColumnsRenamed({"shared": "__shared", "met": "__met"})
+    areas = "named_struct('shared', __shared, 'a', __area_a, 'b', __area_b)"
+    test = "__met" if predicate == "intersects" else g.area_test_sql(predicate, areas)
+    if predicate == "touches":
+        test = f"__met AND {test}"
+
+    def fetched(rows: DataFrame, side: _Side, tag: str) -> DataFrame:
+        wanted = side.columns if how == "inner" or side is sa else []
+        return rows.select(F.col("__pid").alias(f"__{tag}"), F.col("__area").alias(f"__area_{tag}"), *wanted)
+
+    found = measured.join(fetched(rows_a, sa, "a"), "__a").join(fetched(rows_b, sb, "b"), "__b").where(test)
+    return found if overlap_area is None else found.withColumnRenamed("__shared", overlap_area)
 
 
 def distance_join(
@@ -342,7 +486,7 @@ def distance_join(
     if clash:
         raise ValueError(f"rename columns present on both sides: {sorted(clash)}")
     sa, sb = _Side(a, a_geom, "a", grow=radius), _Side(b, b_geom, "b")
-    left, right, keys = _candidates(sa, sb, partition_keys, split_hot, block_rows)
+    left, right, keys = _candidates(sa, sb, _summaries(sa, sb), partition_keys, split_hot, block_rows)
     if sa.is_point and sb.is_point:
         far = g.point_distance_sql(*a_geom, *b_geom)
     elif sa.is_point:

@@ -17,6 +17,9 @@ from ..operators.validity import with_geometry
 from ..sources.layers import write_layer
 from ..sources.storage import working_folder
 
+# Rows of a part while outlines are built, and of a file of the stored layer.
+ROWS_A_PART = 100_000
+
 # State codes by column of the 5x5 county grid.
 STATE_CODES = ["48", "12", "22", "05", "01"]
 
@@ -115,6 +118,12 @@ def _zcta(t):
     )
 
 
+def _parts(rows: DataFrame) -> int:
+    """A part per core at least, and for every ``ROWS_A_PART`` rows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-rows.count() // ROWS_A_PART))
+
+
 def _floodplain(t):
     j = F.col("o_orderkey")
     x0 = ((37 * j) % 1280) / F.lit(64.0)
@@ -134,8 +143,7 @@ def _floodplain(t):
         zone = F.when(priority == source, F.lit(code)).otherwise(zone)
     orders = t("orders").select("o_orderkey", "o_orderpriority")
     # narrow rows now, so that outlines are built and checked on every core
-    cores = orders.sparkSession.sparkContext.defaultParallelism
-    return orders.repartition(cores, "o_orderkey").select(
+    return orders.repartition(_parts(orders), "o_orderkey").select(
         j.cast("string").alias("GFID"),
         zone.alias("FLD_ZONE"),
         state_of(F.floor(x0 / 4)).alias("STATEFP"),
@@ -337,8 +345,8 @@ class DerivedLayers(Mapping):
             outlines = f"{path}-outlines"
             _BUILDERS[name](self.table).write.mode("overwrite").parquet(outlines)
             checked = with_geometry(self.spark.read.parquet(outlines), key, "rings")
-            # the one layer that grows with the data gets a file per core
-            files = self.spark.sparkContext.defaultParallelism if name == "floodplain" else None
+            # the one layer that grows with the data gets files of bounded size
+            files = _parts(self.spark.read.parquet(outlines)) if name == "floodplain" else None
             write_layer(checked, path, key=key, files=files)
             self._stored[(base, path)] = path
         return path

@@ -365,7 +365,8 @@ def examples(layers):
 
 @query(
     "normalised_values",
-    "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts,"
+    "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S')"
+    " || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END AS ts,"
     " CASE WHEN isfinite(value) THEN value END AS value FROM events",
 )
 def normalised(layers):
@@ -444,13 +445,14 @@ def json_lines_round_trip(layers):
 
 
 _AREA = ["GEOID", "STATEFP", "COUNTYFP", "NAME", "geometry"]
+_CLAIM = ["id", "GEOID", "STATEFP", "dateOfLoss", "amountPaidOnBuildingClaim", "amountPaidOnContentsClaim",
+          "amountPaidOnIncreasedCostOfComplianceClaim"]
 _PROFILE = {
     "county": ("GEOID", _AREA),
     "census_tracts": ("GEOID", _AREA),
     "zcta": ("GEOID", ["GEOID", "STATEFP", "geometry"]),
     "floodplain": ("GFID", ["GFID", "FLD_ZONE", "STATEFP", "geometry"]),
-    "claims": ("id", ["id", "GEOID", "STATEFP", "dateOfLoss", "amountPaidOnBuildingClaim", "amountPaidOnContentsClaim",
-                      "amountPaidOnIncreasedCostOfComplianceClaim"]),
+    "claims": (_CLAIM, _CLAIM),
     "nri": ("GEOID", ["GEOID", "CFLD_RISKS", "CFLD_EALP", "RFLD_RISKS", "RFLD_RISKV", "RFLD_RISKR", "RFLD_EVNTS",
                       "RFLD_AFREQ", "RFLD_EXP_AREA", "RFLD_EALB", "RFLD_EALT"]),
     "svi": ("GEOID", ["GEOID", "FIPS", "E_TOTPOP", "E_HH", "EP_NOINT", "EP_POV150", "EP_LIMENG", "EP_MINRTY",
@@ -468,10 +470,13 @@ def _profile_sql():
     for layer, (key, columns) in _PROFILE.items():
         for i, c in enumerate(columns):
             text = _DESCRIPTIONS.get(layer, {}).get(c, "unknown")
+            row = f"CAST({key} AS VARCHAR)" if isinstance(key, str) else (
+                "concat_ws('|', " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), 'NULL')" for k in key) + ")"
+            )
             sample = (
-                "CAST(NULL AS VARCHAR)" if c == "geometry" or (layer == "claims" and c != "id") else
-                f"(SELECT string_agg(coalesce(v, 'NULL'), '|' ORDER BY k) FROM (SELECT CAST({c} AS VARCHAR) AS v,"
-                f" CAST({key} AS VARCHAR) AS k FROM {layer} ORDER BY md5({key}), {key} LIMIT 3))"
+                "CAST(NULL AS VARCHAR)" if c == "geometry" else
+                f"(SELECT string_agg(coalesce(v, 'NULL'), '|' ORDER BY md5(k), k) FROM (SELECT CAST({c} AS VARCHAR) AS v,"
+                f" {row} AS k FROM {layer} ORDER BY md5({row}), {row} LIMIT 3))"
             )
             parts.append(
                 f"SELECT '{layer}' AS layer, {i} AS position, '{c}' AS column_name, '{text}' AS description,"
@@ -484,22 +489,15 @@ def _profile_sql():
 
 @query("profile_layers", _profile_sql())
 def profiles(layers):
-    """Profile of every layer; the samples of a layer are put in the order of its key.
+    """Profile of every layer with whole sample rows; outlines are not shown as text.
 
-    Claims have no unique key, so rows that share an id could be sampled either
-    way; only their ids are shown.  Outlines are not shown as text.
+    Claims have no unique key, so their sample is drawn by all their columns.
     """
     profile = profile_layers(layers, {n: key for n, (key, _) in _PROFILE.items()}, _DESCRIPTIONS)
-    keys = F.create_map(*[F.lit(x) for n, (key, _) in _PROFILE.items() for x in (n, key)])
-    ids = profile.where(F.col("column_name") == F.element_at(keys, F.col("layer"))).select(
-        "layer", F.col("sample").alias("ids")
-    )
-    ordered = F.array_sort(F.arrays_zip("ids", "sample"))
-    settled = (F.col("column_name") != "geometry") & ((F.col("layer") != "claims") | (F.col("column_name") == "id"))
-    shown = F.transform(ordered, lambda r: F.coalesce(r["sample"], F.lit("NULL")))
-    return profile.join(ids, "layer").select(
+    shown = F.transform("sample", lambda v: F.coalesce(v, F.lit("NULL")))
+    return profile.select(
         "layer", "position", "column_name", "description", "indexed", "avoid_select_star", "row_count",
-        F.when(settled, F.array_join(shown, "|")).alias("sample"),
+        F.when(F.col("column_name") != "geometry", F.array_join(shown, "|")).alias("sample"),
     )
 
 

@@ -41,7 +41,7 @@ def _bound(fn):
 
 
 def _load() -> None:
-    from . import keyed, records, single_layer, spatial  # noqa: F401
+    from . import keyed, outlines, records, single_layer, spatial, stores  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.scalars import has_prefix
 from ..operators.aggregates import annual_mean, extent, top_n
-from ..operators.validity import repair_polygons
 from ..sources.layers import sample_rows
 from . import sql as s
 from .layers import POLYGON_KEYS
@@ -309,22 +308,6 @@ def polygon_areas(layers):
     return measured(layers["floodplain"]).select("GFID", "area", "valid")
 
 
-@query(
-    "repair_polygons",
-    "SELECT FLD_ZONE, COUNT(*) AS num_polygons, SUM(CASE WHEN valid THEN 1 ELSE 0 END)::BIGINT AS num_valid,"
-    f" ROUND(SUM(CASE WHEN valid THEN {s.area('edges')} ELSE 0 END), 6) AS valid_area"
-    " FROM floodplain GROUP BY FLD_ZONE",
-)
-def repaired(layers):
-    """Repair keeps sound outlines as they are and flags what stays invalid."""
-    fixed = measured(repair_polygons(layers["floodplain"], "GFID"))
-    return fixed.groupBy("FLD_ZONE").agg(
-        F.count(F.lit(1)).alias("num_polygons"),
-        F.sum(F.when(F.col("valid"), 1).otherwise(0)).alias("num_valid"),
-        F.round(F.sum(F.when(F.col("valid"), F.col("area")).otherwise(F.lit(0.0))), 6).alias("valid_area"),
-    )
-
-
 @query(
     "mercator_points",
     "SELECT HOSPITAL_ID, ROUND(radians(LON) * 6378137, 3) AS x,"

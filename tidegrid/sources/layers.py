@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..operators.validity import with_geometry
@@ -85,6 +86,30 @@ def rings_from_wkb(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(_rings_from_wkb)
 
 
+@F.pandas_udf(T.BinaryType())
+def wkb_from_rings(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Encode oriented rings as a WKB multipolygon: a shell and the holes after it are one part."""
+
+    def encode(rings):
+        if rings is None:
+            return None
+        parts = []
+        for ring in rings:
+            xy = np.array([(p["x"], p["y"]) for p in ring], "<f8").reshape(-1, 2)
+            x, y = (xy - xy[:1]).T
+            hole = float(np.dot(x[:-1], y[1:]) - np.dot(x[1:], y[:-1])) < 0
+            data = struct.pack("<I", len(xy)) + xy.tobytes()
+            if hole and parts:
+                parts[-1].append(data)
+            else:
+                parts.append([data])
+        body = b"".join(struct.pack("<BII", 1, 3, len(p)) + b"".join(p) for p in parts)
+        return struct.pack("<BII", 1, 6, len(parts)) + body
+
+    for batch in values:
+        yield batch.map(encode)
+
+
 # -- loading and layout ------------------------------------------------------
 
 def load_layer(
