@@ -157,3 +157,25 @@ def test_retrieval_leaves_null_vectors_out(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, query_vector array<double>")
     v = spark.createDataFrame([(7, [1.0, 0.0]), (8, None), (9, [1.0, None])], "item_id long, item_vector array<double>")
     assert [(r.query_id, r.item_id) for r in cosine_topk(q, v, 3).collect()] == [(1, 7)]
+
+
+def test_pruned_topk_is_exact_and_skips_blocks(spark):
+    import numpy as np
+
+    from tidegrid.operators.retrieval import block_visits, cosine_topk, cosine_topk_pruned, in_pivot_blocks
+
+    g = np.random.default_rng(7)
+    centers = g.normal(0, 1, (12, 16))
+    rows = [(i, (centers[i % 12] + g.normal(0, 0.05, 16)).tolist()) for i in range(600)]
+    rows += [(600, [0.0] * 16), (601, rows[3][1]), (602, rows[3][1]), (603, None), (604, [1e-6] + [0.0] * 15)]
+    items = spark.createDataFrame(rows, "item_id long, item_vector array<double>")
+    asked = spark.createDataFrame([(i, v, 1 + i % 5) for i, v in rows[::9] + [rows[600]]], "query_id long, query_vector array<double>, k int")
+    want = sorted(map(tuple, cosine_topk(asked, items, "k").select("query_id", "item_id", "score", "rank").collect()))
+    got = cosine_topk_pruned(asked, items, "k", pivots=24)
+    assert got.columns == ["query_id", "item_id", "score", "rank"] and sorted(map(tuple, got.collect())) == want
+    placed, directions = in_pivot_blocks(items, "item_id", "item_vector", 24)
+    reach = {r["__block"]: r.a for r in placed.groupBy("__block").agg(F.max("__angle").alias("a")).collect()}
+    near = asked.where("query_id < 600").withColumn("floor", F.lit(0.9))
+    visits = block_visits(near, "query_vector", reach, directions, "floor").count()
+    assert visits < 0.4 * near.count() * len(reach)
+    assert cosine_topk_pruned(asked, items.limit(0), 3).count() == 0

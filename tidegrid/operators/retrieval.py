@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.similarity import COSINE_EPSILON
+from ..sources.storage import written
 
 # Rows of one block of vectors and of one block of queries; a task scores one
 # block of each, so neither side has to fit a task.
@@ -119,6 +121,124 @@ def cosine_topk(
     )
 
 
+# -- pruning by pivots ---------------------------------------------------------
+
+# Vectors shorter than this have no safe direction; they form a block that every query visits.
+_SHORT = 1e-3
+
+
+def _directions(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and which of them are too short to have one."""
+    rows = np.stack([np.asarray(x, float) for x in column]) if len(column) else np.zeros((0, 1))
+    norms = np.linalg.norm(rows, axis=1)
+    return rows / np.maximum(norms, _SHORT)[:, None], norms < _SHORT
+
+
+def in_pivot_blocks(vectors: DataFrame, item_id: str, item_vector: str, pivots: int) -> tuple[DataFrame, np.ndarray]:
+    """The vectors with __block, the number of the nearest of ``pivots`` pivots, and __angle to it; and the pivots.
+
+    Pivots are vectors drawn by the hash of their id, so their number bounds what the driver and the tasks hold.
+    """
+    usable = vectors.where(_usable(item_vector))
+    drawn = usable.orderBy(F.xxhash64(item_id), item_id).limit(pivots).select(F.col(item_vector).cast("array<double>").alias("v")).collect()
+    directions, short = _directions(pd.Series([r["v"] for r in drawn], dtype=object))
+    directions = directions[~short]
+
+    @F.pandas_udf(T.StructType([T.StructField("block", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
+    def place(column: pd.Series) -> pd.DataFrame:
+        units, none = _directions(column)
+        if not len(directions) or not len(units):
+            return pd.DataFrame({"block": np.zeros(len(units), np.int32), "angle": np.full(len(units), np.pi)})
+        near = np.clip(units @ directions.T, -1, 1)
+        block = np.where(none, len(directions), near.argmax(axis=1))
+        return pd.DataFrame({"block": block.astype(np.int32), "angle": np.where(none, np.pi, np.arccos(near.max(axis=1)))})
+
+    placed = usable.withColumn("__at", place(F.col(item_vector).cast("array<double>")))
+    columns = [F.col(c) for c in vectors.columns]
+    return written(placed.select(*columns, F.col("__at.block").alias("__block"), F.col("__at.angle").alias("__angle")), "pivot-blocks"), directions
+
+
+def block_visits(
+    queries: DataFrame, query_vector: str, blocks: dict[int, float], directions: np.ndarray, floor: str | None = None
+) -> DataFrame:
+    """A row per query and block that may hold one of its best, as __visit.
+
+    ``blocks`` has the largest angle of each block.  On the sphere an item of a
+    block is no nearer to the query than the angle to the pivot less that of the
+    block, so its cosine is bounded; a block is left out if its bound is below
+    the column ``floor``.  Without ``floor`` only the block with the best bound is
+    visited.
+    """
+    numbers = np.array(sorted(blocks))
+    reach = np.array([blocks[b] for b in numbers])
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def visits(column: pd.Series, least: pd.Series) -> pd.Series:
+        units, none = _directions(column)
+        bound = np.ones((len(units), len(numbers)))
+        known = numbers < len(directions)
+        if known.any() and len(units):
+            angle = np.arccos(np.clip(units @ directions[numbers[known]].T, -1, 1))
+            bound[:, known] = np.cos(np.maximum(0, angle - reach[known]))
+        bound[none] = 1
+        if floor is None:
+            angle_first = bound - 1e-9 * np.arange(len(numbers))
+            return pd.Series([[int(numbers[i])] for i in angle_first.argmax(axis=1)])
+        keep = bound >= least.to_numpy()[:, None] - 4 * 10.0**-SCORE_DIGITS
+        return pd.Series([numbers[k].tolist() for k in keep])
+
+    least = F.col(floor) if floor else F.lit(-1.0)
+    return queries.withColumn("__visit", F.explode(visits(F.col(query_vector).cast("array<double>"), least)))
+
+
+def cosine_topk_pruned(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int | str,
+    *,
+    query_id: str = "query_id",
+    query_vector: str = "query_vector",
+    item_id: str = "item_id",
+    item_vector: str = "item_vector",
+    pivots: int = 64,
+) -> DataFrame:
+    """The result of ``cosine_topk`` without scoring every pair: query id, item id, score, rank.
+
+    Items are grouped around pivots.  Every query first scores the block that
+    promises most; its k-th score there is a floor, and of the other blocks it
+    visits those whose bound reaches it (see ``block_visits``).  Exact for any
+    data; how many blocks are skipped depends on how the vectors cluster.
+    Query ids must differ.
+    """
+    queries = queries.where(_usable(query_vector))
+    names = {"query_id": query_id, "query_vector": query_vector, "item_id": item_id, "item_vector": item_vector}
+    placed, directions = in_pivot_blocks(vectors.select(item_id, item_vector), item_id, item_vector, pivots)
+    blocks = {r["__block"]: r["reach"] for r in placed.groupBy("__block").agg(F.max("__angle").alias("reach")).collect()}
+    limit = queries.select(F.col(query_id).alias("__q"), (F.lit(k) if isinstance(k, int) else F.col(k)).cast("int").alias("__k"))
+    if not blocks:
+        return cosine_topk(queries, vectors, k, **names)
+
+    def scored(asked: DataFrame) -> DataFrame:
+        found = cosine_topk(asked, placed, k, within=[("__visit", "__block")], **names)
+        return found.select(F.col(query_id).alias("__q"), F.col(item_id).alias("__i"), "score")
+
+    home = block_visits(queries, query_vector, blocks, directions)
+    first = written(scored(home), "first-block")
+    floors = first.groupBy("__q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).join(limit, "__q")
+    floors = floors.select("__q", F.when(F.col("n") >= F.col("__k"), F.col("least")).otherwise(F.lit(-2.0)).alias("__floor"))
+    known = home.select(F.col(query_id).alias("__q"), F.col("__visit").alias("__home"))
+    asked = queries.join(floors.join(known, "__q"), F.col(query_id) == F.col("__q")).drop("__q")
+    rest = block_visits(asked, query_vector, blocks, directions, "__floor").where("__visit <> __home")
+    order = Window.partitionBy("__q").orderBy(F.desc("score"), "__i")
+    return (
+        first.unionByName(scored(rest))
+        .withColumn("rank", F.row_number().over(order).cast("long"))
+        .join(limit, "__q")
+        .where(F.col("rank") <= F.col("__k"))
+        .select(F.col("__q").alias(query_id), F.col("__i").alias(item_id), "score", "rank")
+    )
+
+
 def level_k(level: Column) -> Column:
     """Tables to retrieve for a question of a tier."""
     # 3 for L0, 4 for L1 and L2, else 5.

@@ -16,7 +16,7 @@ from ..functions.similarity import (
 )
 from ..operators.comparison import frames_match, multiset_jaccard, top_shared_items
 from ..operators.profile import INDEXED, profile_layers
-from ..operators.retrieval import corpus_texts, cosine_topk, level_k
+from ..operators.retrieval import corpus_texts, cosine_topk, cosine_topk_pruned, level_k
 from ..operators.scoring import first_examples, level_rollup, missing_counts, status_share
 from ..sources.layers import row_counts
 from ..sources.records import append_json_lines, read_json_lines
@@ -48,18 +48,27 @@ def _items(layers):
     )
 
 
-@query(
-    "cosine_topk",
+_TOPK = (
     _SCORES + " SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER"
     " (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scored)"
-    " WHERE rank <= CASE WHEN query_label = 0 THEN 3 WHEN query_label IN (1, 2) THEN 4 ELSE 5 END",
+    " WHERE rank <= CASE WHEN query_label = 0 THEN 3 WHEN query_label IN (1, 2) THEN 4 ELSE 5 END"
 )
+
+
+@query("cosine_topk", _TOPK)
 def topk(layers):
     """As many items per question as its level asks for."""
     level = F.concat(F.lit("L"), F.col("query_label").cast("string"))
     return cosine_topk(_questions(layers).withColumn("k", level_k(level)), _items(layers), "k")
 
 
+@query("cosine_topk_pruned", _TOPK)
+def topk_pruned(layers):
+    """The same over blocks around pivots, of which a query visits those that can matter."""
+    level = F.concat(F.lit("L"), F.col("query_label").cast("string"))
+    return cosine_topk_pruned(_questions(layers).withColumn("k", level_k(level)), _items(layers), "k")
+
+
 @query(
     "cosine_topk_forced",
     _SCORES + " SELECT query_id, item_id, item_label, score, CASE WHEN rank <= 10 THEN rank END AS rank FROM (SELECT *, row_number() OVER"
