@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegrid.sources.storage import working_folder
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -44,10 +45,34 @@ def release(*tables: DataFrame) -> None:
             nothing.write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
 
 
+#: bits of the set by which rows are told apart
+_SET_BITS = 24
+
+
+def told_apart(rows: DataFrame, keys: list[str], members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose keys may be among those of ``members``, and the rows whose keys are certainly not.
+
+    For joins that need few of the rows: only the first part has to be shuffled. The keys of the members set bits in an
+    array of 2**24 bits, which is sent to all tasks; it is at most 2**18 rows, whatever the number of members, and with
+    more members than bits the first part simply holds nearly all rows. No key may be null.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << _SET_BITS))
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    one = F.expr("shiftleft(1L, __bit)")
+    held = members.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or(one).alias("__bits"))
+    columns = rows.columns
+    looked_up = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(held), "__word", "left")
+    maybe = F.expr("coalesce(shiftrightunsigned(__bits, __bit) & 1L, 0L) = 1L")
+    return looked_up.where(maybe).select(*columns), looked_up.where(~maybe).select(*columns)
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Arrow batches cut where the texts reach ``limit`` bytes, each with its texts as Python strings."""
+    """Arrow batches cut where the texts reach ``limit`` bytes, each with its texts as Python strings.
+
+    When the last one is done, Arrow gives the memory of the task back; the worker lives on for other tasks.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -58,25 +83,28 @@ def text_slices(
             part = batch.slice(start, end - start)
             yield part, part[column].to_pylist()
             start = end
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes:
     """64-bit hashes of words, remembered between batches.
 
-    The table of known words is emptied when it reaches ``limit`` words, so memory stays bounded.
+    The table of known words is emptied when it reaches about ``limit`` bytes, so memory stays bounded.
     """
 
-    def __init__(self, limit: int = 400_000, seed: int = 0):
-        self.limit, self.seed, self.known = limit, seed, {}
+    def __init__(self, limit: int = 32 << 20, seed: int = 0):
+        self.limit, self.seed, self.known, self.held = limit, seed, {}, 0
 
     def __call__(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        if len(self.known) > self.limit:
-            self.known = {}
+        if self.held > self.limit:
+            self.known, self.held = {}, 0
         known = self.known
-        for w in set(words).difference(known):
+        new = set(words).difference(known)
+        for w in new:
             known[w] = xxhash.xxh3_64_digest(w.encode(), self.seed)
+        self.held += 200 * len(new) + sum(map(len, new))
         return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=">u8").astype(np.uint64)
 
 
@@ -95,7 +123,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 #: bytes of text that are hashed at once
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _WHITE = b" \t\n\v\f\r"
 
 
@@ -167,7 +195,7 @@ def hashed_words(texts: list[str | None], chars: bool = False) -> list:
     """64-bit hashes of the words of each text; a word is what stands between ASCII white space.
 
     With ``chars`` the number of code points of each word goes with them: (hashes, chars) for each text. Texts are hashed
-    from their bytes, about a megabyte at a time, so a long text needs little more than its hashes.
+    from their bytes, a quarter of a megabyte at a time, so a long text needs little more than its hashes.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = []
     group: list[bytes] = []

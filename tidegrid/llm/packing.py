@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_slices
-from .tokens import encoder
+from .tokens import encoder, forget
 
 GROUP_PIECES = 50_000
 #: bins that give documents away in a round of the search, the least full first
@@ -51,6 +51,7 @@ def token_pieces(
                 ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        forget(tokenizer)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"

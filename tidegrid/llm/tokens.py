@@ -12,6 +12,7 @@ Other files are encoded as whole texts.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -28,6 +29,8 @@ from .common import text_slices
 _LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: a control character that stands between pieces handed over in one string
 _BETWEEN = "\x01"
+#: fixed value: the pattern by which such a file parts its texts
+_PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LONG = 64
 _PIECES_A_CALL = 2_000
 
@@ -39,16 +42,43 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def parts_at_blanks(path: str) -> bool:
+    """Whether a file is one that drops white space before it merges and lower-cases: read from its own description.
+
+    It must turn white space into blanks and lower-case after composing, and split off runs of letters, single digits and
+    runs of other marks while dropping what lies between.
+    """
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"]
+        and steps[1].get("pattern") == {"Regex": r"\s+"}
+        and steps[1].get("content") == " "
+        and [s.get("type") for s in before] == ["Split", "ByteLevel"]
+        and before[0].get("pattern") == {"Regex": _PARTED}
+        and (before[0].get("behavior"), before[0].get("invert")) == ("Removed", True)
+        and not before[1].get("add_prefix_space")
+    )
+
+
 class PieceEncoder:
     """Ids of texts for a ``.json`` file whose tokens never span white space, as packed 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 200 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.forget()
         (self.between,) = self._plain(_BETWEEN)
 
+    def forget(self) -> None:
+        self.known, self.held = {"": b""}, 0
+
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -64,14 +94,15 @@ class PieceEncoder:
             for end in (np.flatnonzero(ids == self.between) * 4).tolist():
                 self.known[next(done)] = packed[start:end]
                 start = end + 4
+        self.held += 200 * len(pieces) + sum(map(len, pieces))
 
     def learn(self, pieces: set[str]) -> list[str]:
-        """Make every piece known; the table is emptied first when it has grown past its bound.
+        """Make every piece known; the table is emptied first when it has grown past its bound in bytes.
 
         Returns the pieces that are too long to be kept after this call.
         """
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
+        if self.held > self.limit:
+            self.forget()
         known = self.known
         new, parts, odd = [], {}, []
         for piece in pieces.difference(known):
@@ -87,6 +118,7 @@ class PieceEncoder:
             known[piece] = np.array(self._plain(piece), "<u4").tobytes()
         for piece, (letters, marks) in parts.items():
             known[piece] = known[letters] + known[marks]
+        self.held += 200 * len(parts)
         return odd
 
     @staticmethod
@@ -133,10 +165,16 @@ def encoder(name: str) -> Callable[[list[str | None]], list[bytes]]:
     """The encoder of a vocabulary file, kept for the life of the Python worker."""
     if name not in _encoders:
         path = tokenizer_path(name)
-        _encoders[name] = PieceEncoder(path) if os.path.basename(path).startswith("word_bpe") else _whole_texts(path)
+        _encoders[name] = PieceEncoder(path) if parts_at_blanks(path) else _whole_texts(path)
     return _encoders[name]
 
 
+def forget(name: str) -> None:
+    """Give the pieces that the encoder remembers back, for tasks after which the worker does other work."""
+    if isinstance(_encoders.get(name), PieceEncoder):
+        _encoders[name].forget()
+
+
 def token_counts(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     """Bytes and tokens of every text: doc_id, n_bytes, n_tokens, over_limit.
 
