@@ -8,6 +8,7 @@ task handing on no more than a spanning set of links.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -16,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored, text_slices
+from .common import release, stored, text_slices, told_apart
 from .components import components
 from .probminhash import band_hashes, jaccard, occurrences, shingles, signatures
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BLOCK_TEXTS = 64
+#: a block of a bucket has about this many texts and bytes of shingles
+BLOCK_TEXTS, BLOCK_BYTES = 64, 32 << 20
+COLUMNS_AT_ONCE = 1 << 16
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -47,14 +50,15 @@ def _band_rows(keyed: DataFrame, size: int) -> DataFrame:
 
 
 def _shingle_rows(keyed: DataFrame, size: int) -> DataFrame:
-    """key and its shingles as ascending 64-bit hashes, occurrences told apart."""
+    """key, its shingles as ascending 64-bit hashes, occurrences told apart, and the bytes of these."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
             sets = [occurrences(g).tobytes() for g in shingles(texts, size)]
-            yield pa.RecordBatch.from_arrays([part["key"], pa.array(sets, pa.binary())], names=["key", "grams"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part["key"], pa.array(sets, pa.binary()), sizes], names=["key", "grams", "size"])
 
-    return keyed.select("key", "text").mapInArrow(shingle, "key binary, grams binary")
+    return keyed.select("key", "text").mapInArrow(shingle, "key binary, grams binary, size long")
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -80,19 +84,21 @@ def block_links(
     """Links between two lists of (key, class, shingles): of each text of ``a`` one to every other class it is near to.
 
     All similarities are found at once: the shingles that occur in both lists become columns of two 0/1 matrices, whose
-    product counts what each pair shares.
+    product counts what each pair shares; ``COLUMNS_AT_ONCE`` columns at a time, so that long texts need no wide matrix.
     """
     both = np.intersect1d(np.concatenate([g for *_, g in a]), np.concatenate([g for *_, g in b]))
 
-    def matrix(rows: list[tuple[bytes, bytes, np.ndarray]]) -> np.ndarray:
-        out = np.zeros((len(rows), len(both)), np.float32)
+    def matrix(rows: list[tuple[bytes, bytes, np.ndarray]], columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), len(columns)), np.float32)
         for i, (*_, grams) in enumerate(rows):
-            out[i, np.searchsorted(both, np.intersect1d(grams, both, assume_unique=True))] = 1
+            near = grams[np.searchsorted(grams, columns[0]) : np.searchsorted(grams, columns[-1], side="right")]
+            out[i, np.searchsorted(columns, np.intersect1d(near, columns, assume_unique=True))] = 1
         return out
 
     shared = np.zeros((len(a), len(b)))
-    if len(both):
-        shared = (matrix(a) @ matrix(b).T).astype(float)
+    for at in range(0, len(both), COLUMNS_AT_ONCE):
+        part = both[at : at + COLUMNS_AT_ONCE]
+        shared += matrix(a, part) @ matrix(b, part).T
     sizes = np.array([len(g) for *_, g in a])[:, None] + np.array([len(g) for *_, g in b])[None, :]
     near = shared >= similarity * (sizes - shared) - 1e-9
     links: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
@@ -106,18 +112,22 @@ def _rest_links(members: DataFrame, grams: DataFrame, similarity: float) -> tupl
     """Links that the first comparison left open, and the stored blocks they are found in.
 
     ``members``: bucket, key, comp. In each bucket the texts outside its largest class are compared with all texts of
-    the bucket. A bucket is cut into blocks of about ``BLOCK_TEXTS`` texts; each pair of blocks is a row of its own, so
-    a large bucket is spread over many tasks, and a task returns links, not pairs.
+    the bucket. A bucket is cut into blocks of about ``BLOCK_TEXTS`` texts, or of ``BLOCK_BYTES`` bytes of shingles where
+    texts are long; each pair of blocks is a row of its own, so a large bucket is spread over many tasks, and a task
+    returns links, not pairs.
     """
     by_class = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     largest = (
         by_class.groupBy("bucket")
         .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes"))
         .where("classes > 1")
-        .select("bucket", "main", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"))
     )
+    mixed = members.join(largest, "bucket")
+    held = mixed.select("bucket", "key").join(grams.select("key", "size"), "key").groupBy("bucket").agg(F.sum("size").alias("held"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("held") / BLOCK_BYTES)).cast("int").alias("blocks")
+    cut = stored(largest.join(held, "bucket").select("bucket", "main", blocks), "bucket-cuts")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = members.join(largest, "bucket").withColumn("block", block).join(grams, "key")
+    rows = members.join(cut, "bucket").withColumn("block", block).join(grams.select("key", "grams"), "key")
     text = F.struct("key", "comp", "grams")
     blocks = stored(
         rows.groupBy("bucket", "block").agg(
@@ -200,10 +210,12 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, size:
     and is the class_id only where there is no other. Repeated rows count each. An empty table gives an empty result;
     other columns are ignored.
     """
-    placed = _placed(documents, similarity, size)
+    placed = stored(_placed(documents, similarity, size), "placed")
     sums = placed.where("comp IS NOT NULL").groupBy("comp")
-    sums = sums.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    alone = F.col("comp").isNull()
+    sums = sums.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    # stored, so that the planner may send them to the rows, or split the rows of a large class
+    sums = stored(sums, "classes")
+    alone = F.col("class_size").isNull()
     return placed.join(sums, "comp", "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -215,12 +227,15 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, size: int
     """The documents with one row of each class left, all columns kept; texts without words all stay.
 
     The row with the smallest doc_id stays (null ids come last; equal ids: the smallest key of a text; equal rows: one
-    of them). Only ids and keys are moved to find the rows to drop; the documents are matched with those once.
+    of them). Only ids and keys are moved to find the rows to drop. Documents that are certainly not among those pass
+    where they lie; the others alone are matched with them.
     """
     placed = stored(_placed(documents, similarity, size), "placed").where("comp IS NOT NULL")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     pairs = placed.groupBy("comp", "doc_id", "key").agg(F.count("*").alias("n"))
+    pairs = stored(pairs, "class-members")
     first = pairs.groupBy("comp").agg(F.min(order).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    first = stored(first, "first-of-class")
     fate = (
         pairs.join(first, "comp")
         .select(
@@ -232,12 +247,13 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, size: int
         .where("__drop OR __repeated")
     )
     key = F.when(F.col("text").rlike(r"\S"), F.unhex(F.md5(F.col("text").cast("binary"))))
-    marked = (
-        documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        .withColumn("__key", key)
-        .join(stored(fate, "fate"), ["__id", "__key"], "left")
-        .where("NOT coalesce(__drop, false)")
+    fate = stored(fate, "fate")
+    rows = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn(
+        "__key", F.coalesce(key, F.lit(b""))
     )
+    looked_at, sure = told_apart(rows, ["__id", "__key"], fate)
+    marked = looked_at.join(fate, ["__id", "__key"], "left").where("NOT coalesce(__drop, false)")
     repeated = F.coalesce("__repeated", F.lit(False))
     once = marked.where(repeated).dropDuplicates(["__id", "__key"])
-    return marked.where(~repeated).union(once).select(*documents.columns)
+    kept = [sure, marked.where(~repeated), once]
+    return functools.reduce(DataFrame.union, [k.select(*documents.columns) for k in kept])

@@ -12,6 +12,12 @@ a passage does not fill one shard.
 
 Each shard builds an FM-index of its spans and streams its spans through it (see ``fmindex``); the intervals found are
 brought back to the documents.
+
+What decides about a window, exactly: its minimiser has one place in the corpus: not repeated, without the index. Its
+document has an exact copy (equal MD5 of the text): repeated, without the index. Its span has an exact copy: repeated, by
+the count of copies. All others: by the width of the interval that backward search finds for its words. The search stops
+at the window's length, since a longer match would remove no further word; the index holds packed bits, not compressed
+ones.
 """
 
 from __future__ import annotations
