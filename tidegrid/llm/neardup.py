@@ -169,7 +169,7 @@ def text_classes(documents: DataFrame, similarity: float = SIMILARITY, size: int
     members = stored(entries.join(sizes, "bucket"), "buckets")
     release(entries)
     # the texts that share most of their bands with most others are the most central ones
-    central = members.groupBy("key").agg(F.sum("n").alias("score"))
+    central = stored(members.groupBy("key").agg(F.sum("n").alias("score")), "central")
     scored = members.join(central, "key")
     leaders = scored.groupBy("bucket").agg(F.max_by("key", F.struct("score", "key")).alias("leader"))
     stars = (
@@ -178,9 +178,10 @@ def text_classes(documents: DataFrame, similarity: float = SIMILARITY, size: int
         .select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
         .distinct()
     )
-    grams = stored(
-        _shingle_rows(keyed.join(central.select("key"), "key", "left_semi").dropDuplicates(["key"]), size), "shingles"
-    )
+    # texts without a partner stay where they are, and copies are brought down to one a task before they move
+    wanted, _ = told_apart(keyed, ["key"], central)
+    different = wanted.dropDuplicates(["key"]).join(central.select("key"), "key", "left_semi")
+    grams = stored(_shingle_rows(different, size), "shingles")
     first = stored(_verified(stars, grams, similarity), "links")
     comps = components(first)
     placed = members.select("bucket", "key").join(comps.withColumnRenamed("node", "key"), "key", "left")
