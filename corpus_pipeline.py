@@ -2,7 +2,12 @@
 
 Five stages, each a function of (spark, docs, sf_dir): quality filter, near-duplicates, repeated passages, benchmark
 passages, packing. Every stage works on all that the one before kept; its result is written as Parquet and read again
-before the next begins. All but the last return the columns of ``documents``.
+before the next begins. All but the last return the columns of ``documents``, further columns included, whatever their names.
+
+Odd rows have a defined fate. Null and empty texts and texts without words pass every filter: they score what the constant
+scores, are near nothing, hold no passage and no benchmark item, and are packed as one end token. Null ids are kept like
+others; of near-duplicates the smallest id stays, null ids come last, and of equal rows one stays. Empty tables give an
+empty result; without labels every document scores 0.5 and stays.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ LEAST_QUALITY = 0.3
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score of 0.3 or more).
+    """Documents that the quality classifier does not reject (score of 0.3 or more); repeated rows stay repeated.
 
     It learns from the labels of these documents, without those kept apart for measuring it (every fifth by checksum).
     """
@@ -32,12 +37,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates, the one with the smallest doc_id; ties and nulls as said above."""
     return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 35 words and more that occur more than once; n_chars follows the text."""
+    """Documents without the passages of 35 words and more that occur more than once; n_chars follows the text.
+
+    A document that loses all its words stays, with an empty text.
+    """
     cleaned = without_repeats(docs)
     if "n_chars" in docs.columns:
         n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
@@ -46,12 +54,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window near a benchmark item."""
+    """Documents that hold no window near a benchmark item; null items count for nothing."""
     return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenised documents in sequences of at most 4096 tokens, a row per piece."""
+    """Tokenised documents in sequences of at most 4096 tokens, a row per piece; repeated rows are packed each."""
     return pack_documents(docs)
 
 
