@@ -24,7 +24,7 @@ GIVING_BINS = 12
 
 
 def token_pieces(
-    documents: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1
+    documents: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, give_back: bool = False
 ) -> DataFrame:
     """Documents as pieces: doc_id, piece, start, length, ids_crc32.
 
@@ -51,7 +51,8 @@ def token_pieces(
                 ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        forget(tokenizer)
+        if give_back:
+            forget(tokenizer)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -235,12 +236,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GRO
 
 
 def pack_documents(
-    documents: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1
+    documents: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, give_back: bool = False
 ) -> DataFrame:
     """All documents in as few sequences of at most ``capacity`` tokens as the search finds.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, sequence_free. A null or empty text
     is a piece of one token (the end). Repeated rows are packed each; a null doc_id stays null. An empty table gives
-    an empty result.
+    an empty result. With ``give_back`` a task drops the pieces it remembers, for workers that go on with other work.
     """
-    return pack_pieces(token_pieces(documents, tokenizer, capacity, end_id), capacity)
+    return pack_pieces(token_pieces(documents, tokenizer, capacity, end_id, give_back), capacity)
