@@ -60,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenised documents in sequences of at most 4096 tokens, a row per piece; repeated rows are packed each."""
-    return pack_documents(docs)
+    return pack_documents(docs, give_back=True)
 
 
 STAGES = [
