@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spatial_join import spatial_join
+from .spatial_join import partner_counts, spatial_join
 
 # Which columns connect two layers.
 JOIN_RULES = {
@@ -87,6 +87,7 @@ def join_layers(
     b_name: str,
     how: str = "inner",
     predicate: str | None = None,
+    counted: str | None = None,
     **spatial,
 ) -> DataFrame:
     """Join two layers by the first rule of the catalog.
@@ -94,6 +95,8 @@ def join_layers(
     Columns of ``b`` that also exist in ``a`` are prefixed with its layer name.
     A ``predicate`` asks for the spatial rule; without one a key rule is taken
     when there is one, else containment (points) or intersection (polygons).
+    With ``counted`` the rows of ``a`` come out with their number of partners
+    under that name, for a spatial rule (see ``partner_counts``).
     """
     rules = find_rules(a_name, b_name)
     wanted = [r for r in rules if (predicate is not None) == (r[0] in ("point_polygon", "polygon_polygon"))]
@@ -113,9 +116,7 @@ def join_layers(
     b_point = tuple(f"{b_name}_{c}" if f"{b_name}_{c}" in b.columns else c for c in ("LON", "LAT"))
     if predicate is None:
         predicate = "within" if point_a else "contains" if point_b else "intersects"
-    return spatial_join(
-        a, b, predicate, how,
-        a_geom=("LON", "LAT") if point_a else "geometry",
-        b_geom=b_point if point_b else b_geometry,
-        **spatial,
-    )
+    geoms = {"a_geom": ("LON", "LAT") if point_a else "geometry", "b_geom": b_point if point_b else b_geometry}
+    if counted is not None:
+        return partner_counts(a, b, predicate, count=counted, **geoms, **spatial)
+    return spatial_join(a, b, predicate, how, **geoms, **spatial)

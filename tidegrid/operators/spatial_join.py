@@ -23,12 +23,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.storage import written
 from .cell_cover import cell_cover, point_in_cell_sql
+from .copies import code, once
 from .slab_overlap import measured_pairs
 
 # Level of a point: finer than any polygon, so points never own a cell.
@@ -115,6 +116,14 @@ class _Side:
         columns = list(self.geom) if self.is_point else [self.geom]
         return _Side(self.layer.select(*columns), self.geom, self.tag, self.grow)
 
+    def inside(self, other: Row) -> Column:
+        """The bounds meet the extent of the other layer."""
+        b = self.bounds
+        return (
+            (F.expr(b["x0"]) <= F.lit(other["x1"])) & (F.expr(b["x1"]) >= F.lit(other["x0"]))
+            & (F.expr(b["y0"]) <= F.lit(other["y1"])) & (F.expr(b["y1"]) >= F.lit(other["y0"]))
+        )
+
     def in_cells(self, other: Row, owner: int, rows_only: bool = False, with_corners: bool = False) -> DataFrame:
         """Rows inside the other layer's extent, once per cell.
 
@@ -124,10 +133,6 @@ class _Side:
         ``with_corners`` the number of corners is among them.
         """
         b = self.bounds
-        inside = (
-            (F.expr(b["x0"]) <= F.lit(other["x1"])) & (F.expr(b["x1"]) >= F.lit(other["x0"]))
-            & (F.expr(b["y0"]) <= F.lit(other["y1"])) & (F.expr(b["y1"]) >= F.lit(other["y0"]))
-        )
         levels = sorted(lv for lv in other["levels"] if lv > _POINT_LEVEL)
         foreign = f"CAST(array({', '.join(map(str, levels))}) AS ARRAY<INT>)"
         parts = [f"{v} AS {self.name(k)}" for k, v in b.items()]
@@ -138,7 +143,7 @@ class _Side:
             parts.append(f"{g.polygon_area_sql(self.geom)} AS {self.name('area')}")
             if with_corners:
                 parts.append(f"{self.corners} AS {self.name('corners')}")
-        rows = self.source.where(inside).selectExpr("*", *parts)
+        rows = self.source.where(self.inside(other)).selectExpr("*", *parts)
         level = self.name("level")
         coarser = f"lv_ > {level}" if owner == 0 else f"lv_ >= {level}"
         cells = (
@@ -301,7 +306,8 @@ def spatial_join(
     a_geom, b_geom  name of a geometry column, or (lon, lat) names of a point
     partition_keys  (a column, b column) pairs that must also be equal
     left_key        columns that identify a row's geometry in ``a``; needed for
-                    semi/anti joins of polygons (points use their coordinates)
+                    semi/anti joins of polygons (points use their coordinates);
+                    these joins see every different geometry once
     overlap_area    name of an extra column holding area(a and b) (inner only)
     a_layer, b_layer  for an input that is itself the result of joins: a plain
                     layer that holds all its geometries, to read the grid levels
@@ -318,10 +324,13 @@ def spatial_join(
             raise ValueError(f"rename columns present on both sides: {sorted(clash)}")
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
+    if how != "inner":
+        if left_key is None and isinstance(a_geom, str):
+            raise ValueError("left_key is needed for semi and anti joins of polygons")
+        limits = {"split_hot": split_hot, "block_rows": block_rows, "cut_corners": cut_corners}
+        return _with_match(a, b, predicate, how, a_geom, b_geom, partition_keys, left_key, limits)
     sa = _Side(a, a_geom, "a", layer=a_layer)
     sb = _Side(b, b_geom, "b", layer=b_layer)
-    if how != "inner":
-        left_key = _match_key(sa, left_key, partition_keys)
     summary = _summaries(sa, sb)
     out = [F.col(c) for c in (*a.columns, *b.columns)]
     cut = None
@@ -329,7 +338,7 @@ def spatial_join(
         # large outlines go cell by cell, the others as whole rows
         area = sb if sa.is_point else sa
         large = F.expr(f"{area.corners} > {cut_corners}")
-        cut = _cut_pairs(sa, sb, large, predicate, partition_keys, how, block_rows, summary)
+        cut = _cut_pairs(sa, sb, large, predicate, partition_keys, block_rows, summary)
         rest = area.df.where(~large)
         if area is sa:
             sa = _Side(rest, a_geom, "a", layer=sa.layer)
@@ -338,52 +347,131 @@ def spatial_join(
     whole = "true"
     if not (sa.is_point or sb.is_point) and max(summary[t]["corners"] or 0 for t in "ab") > cut_corners:
         # pairs with a large outline are measured slab by slab, the others as whole rows
-        cut = _slab_pairs(sa, sb, summary, predicate, partition_keys, how, split_hot, block_rows, cut_corners, overlap_area)
+        cut = _slab_pairs(sa, sb, summary, predicate, partition_keys, split_hot, block_rows, cut_corners, overlap_area)
         whole = f"{sa.name('corners')} <= {cut_corners} AND {sb.name('corners')} <= {cut_corners}"
     left, right, keys = _candidates(sa, sb, summary, partition_keys, split_hot, block_rows, with_corners=whole != "true")
     boxes = f"{whole} AND {_boxes(sa, sb)}"
     condition = f"{boxes} AND {_exact(predicate, sa, sb)}"
-    if how == "inner":
-        if overlap_area is not None and (sa.is_point or sb.is_point):
-            raise ValueError("a point and an area share no area")
-        if overlap_area is None:
-            pairs = _joined(left, right, keys, condition, "inner").select(*out)
-            return pairs if cut is None else pairs.unionByName(cut.select(*out))
-        # the measure comes with the predicate, so both are worked out in one go
-        areas = g.areas_sql(sa.shape, sb.shape)
-        test = g.area_test_sql(predicate, "o_") if predicate != "intersects" else "true"
-        rest = _exact("intersects", sa, sb) if predicate in ("intersects", "touches") else "true"
-        pairs = _joined(left, right, keys, f"{boxes} AND {rest}", "inner")
-        measured = pairs.selectExpr("*", f"inline(filter(array({areas}), o_ -> {test}))")
-        measured = measured.select(*out, F.col("shared").alias(overlap_area))
-        return measured if cut is None else measured.unionByName(cut.select(*out, overlap_area))
-    # Of the right side only internal columns take part, so its names may be those of the left.
-    internal = [c for c in right.columns if c.startswith("__")]
-    matched = _joined(left, right.select(*internal), keys, condition, "inner").select(*left_key)
-    if cut is not None:
-        matched = matched.unionByName(cut.select(*left_key))
-    # A row sits in several cells, so matches are collected by key first.  The planner streams the large side past the
-    # small one, and only distinct keys leave each task.
-    return a.join(matched.distinct(), left_key, how).select(*a.columns)
-
-
-def _match_key(sa: _Side, left_key, partition_keys) -> list[str]:
-    """Columns by which matches of a semi or anti join are collected."""
+    if overlap_area is not None and (sa.is_point or sb.is_point):
+        raise ValueError("a point and an area share no area")
+    if overlap_area is None:
+        pairs = _joined(left, right, keys, condition, "inner").select(*out)
+        return pairs if cut is None else pairs.unionByName(cut.select(*out))
+    # the measure comes with the predicate, so both are worked out in one go
+    areas = g.areas_sql(sa.shape, sb.shape)
+    test = g.area_test_sql(predicate, "o_") if predicate != "intersects" else "true"
+    rest = _exact("intersects", sa, sb) if predicate in ("intersects", "touches") else "true"
+    pairs = _joined(left, right, keys, f"{boxes} AND {rest}", "inner")
+    measured = pairs.selectExpr("*", f"inline(filter(array({areas}), o_ -> {test}))")
+    measured = measured.select(*out, F.col("shared").alias(overlap_area))
+    return measured if cut is None else measured.unionByName(cut.select(*out, overlap_area))
+
+
+# -- every geometry once ---------------------------------------------------------
+
+def _sides_once(a, b, a_geom, b_geom, partition_keys, radius: float | None = None):
+    """Both sides with every geometry (and partition key) once, the keyword arguments that join them, and by what the
+    rows of ``a`` are found again.
+
+    The extent of the left side filters the right one before its copies are brought together.  Of the right side only
+    internal columns take part, so its names may be those of the left.
+    """
+    keys_a = list(dict.fromkeys(ka for ka, _ in partition_keys))
+    # the columns take other names first, so that a key may be a coordinate too
+    theirs = [b_geom] if isinstance(b_geom, str) else list(b_geom)
+    shape_b = [f"__other{i}" for i in range(len(theirs))]
+    keys_b = [f"__other_key{i}" for i in range(len(partition_keys))]
+    right = b.select(
+        *[F.col(c).alias(n) for c, n in zip(theirs, shape_b)],
+        *[F.col(kb).alias(n) for (_, kb), n in zip(partition_keys, keys_b)],
+    )
+    geom_b = shape_b[0] if isinstance(b_geom, str) else tuple(shape_b)
+    left = once(a, a_geom, keys_a, "__rows")
+    extent = _Side(left, a_geom, "a", radius).summary().first()
+    right = once(right.where(_Side(right, geom_b, "b").inside(extent)), geom_b, keys_b, "__n")
+    left = left.withColumns(code(a_geom))
+    by = [*code(a_geom), *keys_a]
+    joined = {"a_geom": a_geom, "b_geom": geom_b}
+    return left, right, {**joined, "partition_keys": [(ka, n) for (ka, _), n in zip(partition_keys, keys_b)]}, by
+
+
+def _with_match(a, b, predicate, how, a_geom, b_geom, partition_keys, left_key, limits) -> DataFrame:
+    """Rows of ``a`` whose key has, or has not, a geometry for which the predicate holds with any of ``b``."""
+    left, right, joined, by = _sides_once(a, b, a_geom, b_geom, partition_keys)
+    matched = spatial_join(left, right, predicate, **joined, **limits).select(*by).distinct()
+    coded = a.withColumns(code(a_geom))
     if left_key is None:
-        if not sa.is_point:
-            raise ValueError("left_key is needed for semi and anti joins of polygons")
-        left_key = list(sa.geom)
-    left_key = [left_key] if isinstance(left_key, str) else list(left_key)
+        return coded.join(matched, by, how).select(*a.columns)
     # the keys that had to be equal are part of what a match is about
-    return left_key + [ka for ka, _ in partition_keys if ka not in left_key]
+    columns = list(dict.fromkeys([*([left_key] if isinstance(left_key, str) else left_key), *[ka for ka, _ in partition_keys]]))
+    # The planner streams the large side past the small one, and only distinct keys leave each task.
+    found = coded.join(matched, by, "left_semi").select(*columns).distinct()
+    return a.join(found, columns, how).select(*a.columns)
+
+
+def partner_counts(
+    a: DataFrame,
+    b: DataFrame,
+    predicate: str,
+    *,
+    a_geom="geometry",
+    b_geom="geometry",
+    count: str = "n_partners",
+    overlap_area: str | None = None,
+    partition_keys: Sequence[tuple[str, str]] = (),
+    cut_corners: int = CUT_CORNERS,
+) -> DataFrame:
+    """Rows of ``a`` that have partners in ``b``, with their number and, on request, the summed shared area.
+
+    What ``spatial_join`` gives after grouping by the left row, but copies of a
+    geometry go through the join once on either side, so the pairs grow with the
+    different geometries only.
+    """
+    left, right, joined, by = _sides_once(a, b, a_geom, b_geom, partition_keys)
+    pairs = spatial_join(left, right, predicate, **joined, overlap_area=overlap_area and "__shared", cut_corners=cut_corners)
+    measures = [F.sum("__n").alias(count)]
+    if overlap_area is not None:
+        measures.append(F.sum(F.col("__shared") * F.col("__n")).alias(overlap_area))
+    return _given_back(a, a_geom, pairs, by, measures)
+
+
+def near_counts(
+    a: DataFrame,
+    b: DataFrame,
+    radius: float,
+    *,
+    a_geom="geometry",
+    b_geom="geometry",
+    count: str = "n_near",
+    nearest: str = "nearest",
+    total: str = "total_distance",
+) -> DataFrame:
+    """Rows of ``a`` with anything of ``b`` no further than ``radius``: how much, the least and the summed distance.
+
+    ``distance_join`` grouped by the left row, every geometry seen once.
+    """
+    left, right, joined, by = _sides_once(a, b, a_geom, b_geom, (), radius)
+    pairs = distance_join(left, right, radius, distance="__distance", **joined)
+    measures = [
+        F.sum("__n").alias(count), F.min("__distance").alias(nearest),
+        F.sum(F.col("__distance") * F.col("__n")).alias(total),
+    ]
+    return _given_back(a, a_geom, pairs, by, measures)
+
+
+def _given_back(a: DataFrame, a_geom, pairs: DataFrame, by: list[str], measures) -> DataFrame:
+    """Measures of the pairs of a geometry, at every row that has it."""
+    sums = pairs.groupBy(*by).agg(*measures)
+    names = [c for c in sums.columns if c not in by]
+    return a.withColumns(code(a_geom)).join(sums, by).select(*a.columns, *names)
 
 
-def _cut_pairs(sa: _Side, sb: _Side, large, predicate, partition_keys, how, block_rows, summary) -> DataFrame:
+def _cut_pairs(sa: _Side, sb: _Side, large, predicate, partition_keys, block_rows, summary) -> DataFrame:
     """Pairs of points and large polygons, over the cells of the polygons (see ``cell_cover``).
 
     Every point visits its cell on each level that occurs and meets the one cover row of a polygon there, if any.
     Only numbers of polygons go through that join; their columns are fetched for the pairs at the end, so an outline
-    is read only if the caller wants it.  For semi and anti joins no column of the right side is fetched but its keys.
+    is read only if the caller wants it.
     """
     points, area = (sa, sb) if sa.is_point else (sb, sa)
     rows = written(area.df.where(large).withColumn("__pid", F.monotonically_increasing_id()), "large-polygons")
@@ -391,14 +479,13 @@ def _cut_pairs(sa: _Side, sb: _Side, large, predicate, partition_keys, how, bloc
     levels = sorted(r["__lv"] for r in cover.select("__lv").distinct().collect())  # at most some dozens
     x, y = points.geom
     keys = [(f"__k{i}", ka, kb) if points is sa else (f"__k{i}", kb, ka) for i, (ka, kb) in enumerate(partition_keys)]
-    fetched = points.columns if how == "inner" or points is sa else []
     cells = ", ".join(
         f"named_struct('__owner_level', {lv}, '__cx', CAST(floor({x} / pow(2D, {lv})) AS BIGINT),"
         f" '__cy', CAST(floor({y} / pow(2D, {lv})) AS BIGINT))"
         for lv in levels
     )
     visiting = points.source.select(
-        *[F.col(c).alias(f"__p_{c}") for c in fetched],
+        *[F.col(c).alias(f"__p_{c}") for c in points.columns],
         F.expr(f"CAST({x} AS DOUBLE)").alias("__x"), F.expr(f"CAST({y} AS DOUBLE)").alias("__y"),
         *[F.col(c).alias(k) for k, c, _ in keys],
         F.expr(f"inline(array({cells}))" if levels else "inline(CAST(array() AS ARRAY<STRUCT<__owner_level: INT, __cx: BIGINT, __cy: BIGINT>>))"),
@@ -417,16 +504,15 @@ def _cut_pairs(sa: _Side, sb: _Side, large, predicate, partition_keys, how, bloc
     right_way = predicate in ("intersects", "touches") or predicate == ("within" if points is sa else "contains")
     same = " AND ".join(["true", *[f"{k} = {k}_r" for k, *_ in keys]])
     met = visiting.join(placed, join_on).where(f"{str(right_way).lower()} AND {same} AND {test}")
-    met = met.select("__pid", *[f"__p_{c}" for c in fetched])
-    wanted = area.columns if how == "inner" or area is sa else []
-    attributes = rows.select("__pid", *[F.col(c).alias(f"__g_{c}") for c in wanted])
-    both = [F.col(f"__p_{c}").alias(c) for c in fetched if how == "inner" or points is sa]
-    both += [F.col(f"__g_{c}").alias(c) for c in wanted]
+    met = met.select("__pid", *[f"__p_{c}" for c in points.columns])
+    attributes = rows.select("__pid", *[F.col(c).alias(f"__g_{c}") for c in area.columns])
+    both = [F.col(f"__p_{c}").alias(c) for c in points.columns]
+    both += [F.col(f"__g_{c}").alias(c) for c in area.columns]
     return met.join(attributes, "__pid").select(*both)
 
 
 def _slab_pairs(
-    sa: _Side, sb: _Side, summary, predicate, partition_keys, how, split_hot, block_rows, cut_corners, overlap_area
+    sa: _Side, sb: _Side, summary, predicate, partition_keys, split_hot, block_rows, cut_corners, overlap_area
 ) -> DataFrame:
     """Pairs of polygons of which one or both are large, measured slab by slab (see ``slab_overlap``).
 
@@ -459,8 +545,7 @@ def _slab_pairs(
         test = f"__met AND {test}"
 
     def fetched(rows: DataFrame, side: _Side, tag: str) -> DataFrame:
-        wanted = side.columns if how == "inner" or side is sa else []
-        return rows.select(F.col("__pid").alias(f"__{tag}"), F.col("__area").alias(f"__area_{tag}"), *wanted)
+        return rows.select(F.col("__pid").alias(f"__{tag}"), F.col("__area").alias(f"__area_{tag}"), *side.columns)
 
     found = measured.join(fetched(rows_a, sa, "a"), "__a").join(fetched(rows_b, sb, "b"), "__b").where(test)
     return found if overlap_area is None else found.withColumnRenamed("__shared", overlap_area)

@@ -8,7 +8,7 @@ from ..functions import geometry as g
 from ..operators.aggregates import coverage_share
 from ..operators.make_valid import make_valid
 from ..operators.outlines import same_outlines
-from ..operators.spatial_join import distance_join, spatial_join
+from ..operators.spatial_join import near_counts, partner_counts
 from . import sql as s
 from .registry import query
 from .single_layer import measured
@@ -25,10 +25,10 @@ ALL_LARGE = 3
 )
 def hospitals_by_cells(layers):
     """Points in polygons with every outline cut per cell."""
-    pairs = spatial_join(
-        _hospitals(layers), _floods(layers), "within", a_geom=XY, b_geom="flood_geom", cut_corners=ALL_LARGE
+    hosting = partner_counts(
+        _floods(layers), _hospitals(layers), "contains", a_geom="flood_geom", b_geom=XY, cut_corners=ALL_LARGE
     )
-    return pairs.groupBy("GFID").agg(row_count().alias("num_hospitals"))
+    return hosting.groupBy("GFID").agg(F.sum("n_partners").alias("num_hospitals"))
 
 
 @query(
@@ -38,12 +38,12 @@ def hospitals_by_cells(layers):
 )
 def coverage_by_slabs(layers):
     """Shared areas as sums over the slabs of both outlines."""
-    pairs = spatial_join(
+    pairs = partner_counts(
         _tracts(layers), _floods(layers), "intersects",
         a_geom="tract_geom", b_geom="flood_geom", overlap_area="shared", cut_corners=ALL_LARGE,
     )
     shares = coverage_share(pairs, ["GEOID"], "tract_geom", "shared").withColumn("share", F.round("share", 6))
-    counts = pairs.groupBy("GEOID").agg(row_count().alias("num_floods"))
+    counts = pairs.groupBy("GEOID").agg(F.sum("n_partners").alias("num_floods"))
     return shares.join(counts, "GEOID")
 
 
@@ -124,7 +124,7 @@ def _polygon_distance_sql():
 def tracts_near_zcta(layers):
     """Polygons no further apart than a radius, zero where they meet."""
     areas = _polygons(layers, "zcta", F.col("GEOID").alias("zcta_geoid"), geom="zcta_geom")
-    pairs = distance_join(_tracts(layers), areas, 0.75, a_geom="tract_geom", b_geom="zcta_geom")
-    return pairs.groupBy("zcta_geoid").agg(
-        row_count().alias("num_near"), F.round(F.sum("distance"), 6).alias("total_distance")
+    near = near_counts(areas, _tracts(layers), 0.75, a_geom="zcta_geom", b_geom="tract_geom")
+    return near.groupBy("zcta_geoid").agg(
+        F.sum("n_near").alias("num_near"), F.round(F.sum("total_distance"), 6).alias("total_distance")
     )

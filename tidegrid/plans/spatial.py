@@ -1,9 +1,9 @@
 """Questions over spatially joined layers.
 
 A gold question often averages over joined pairs, so a tract counts once per
-floodplain it meets.  The pairs are counted per key right after the spatial
-join (combined on the map side) and carried on as a weight: same result, no
-fan-out in the later joins.
+floodplain it meets.  The partners of a row are counted by ``partner_counts``,
+which sees every different geometry once, and carried on as a weight: same
+result, no fan-out in the later joins.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import county_key, has_prefix, tract_text
 from ..operators.aggregates import coverage_share, top_n, weighted_avg
 from ..operators.key_join import JOIN_RULES, _layer_of, join_layers
-from ..operators.spatial_join import distance_join, spatial_join
+from ..operators.copies import once
+from ..operators.spatial_join import distance_join, near_counts, partner_counts, spatial_join
 from . import sql as s
 from .registry import query
 
@@ -43,10 +44,10 @@ def flood_counts(layers, tracts_where, valid_tract=True, valid_flood=True):
     tracts = _polygons(
         layers, "census_tracts", "GEOID", valid=valid_tract, where=tracts_where, geom="tract_geom"
     )
-    pairs = spatial_join(
+    counted = partner_counts(
         tracts, _floods(layers, valid_flood), "intersects", a_geom="tract_geom", b_geom="flood_geom"
     )
-    return pairs.groupBy("GEOID").agg(row_count().alias("n_floods"))
+    return counted.groupBy("GEOID").agg(F.sum("n_partners").alias("n_floods"))
 
 
 def flooded_tracts(layers, tracts_where, valid_tract=True):
@@ -167,13 +168,13 @@ _indicator("distinct_unemployment_avg", "svi", "GEOID LIKE '12%'", "EP_UNEMP BET
 def pairs_vs_distinct_count(layers):
     """Multiplicity of a spatial join beside the distinct counts."""
     tracts = _polygons(layers, "census_tracts", "GEOID", where="GEOID LIKE '12%'", geom="tract_geom")
-    pairs = spatial_join(
-        tracts, _floods(layers), "intersects", a_geom="tract_geom", b_geom="flood_geom"
-    )
-    return pairs.agg(
-        row_count().alias("num_pairs"), F.count_distinct("GEOID").alias("num_tracts"),
-        F.count_distinct("GFID").alias("num_floods"),
+    geoms = {"a_geom": "tract_geom", "b_geom": "flood_geom"}
+    counted = partner_counts(tracts, _floods(layers), "intersects", **geoms)
+    met = partner_counts(_floods(layers), tracts, "intersects", a_geom="flood_geom", b_geom="tract_geom")
+    pairs = counted.agg(
+        F.coalesce(F.sum("n_partners"), F.lit(0)).alias("num_pairs"), F.count_distinct("GEOID").alias("num_tracts")
     )
+    return pairs.crossJoin(met.agg(F.count_distinct("GFID").alias("num_floods")))
 
 
 @query(
@@ -242,11 +243,11 @@ def hospitals_by_county(layers, state, n):
     """Counties with the most hospital-floodplain pairs."""
     counties = _county_names(layers, state).withColumnRenamed("county_geoid", "COUNTYFIPS")
     valid = layers["county"].where("geometry.valid").select(F.col("GEOID").alias("COUNTYFIPS"))
-    inside = spatial_join(
+    inside = partner_counts(
         _hospitals(layers, "COUNTYFIPS", where=has_prefix("COUNTYFIPS", state)), _floods(layers),
         "within", a_geom=XY, b_geom="flood_geom",
     )
-    counts = inside.groupBy("COUNTYFIPS").agg(row_count().alias("n"))
+    counts = inside.groupBy("COUNTYFIPS").agg(F.sum("n_partners").alias("n"))
     joined = counts.join(counties, "COUNTYFIPS").join(valid, "COUNTYFIPS", "left_semi")
     return top_n(joined, ["county_name"], F.sum("n"), n)
 
@@ -295,8 +296,8 @@ def hospital_county_risk_avg(layers):
 
 def _hospital_counts(layers, county):
     """Hospitals inside each of some county polygons: county_geoid, n."""
-    inside = spatial_join(_hospitals(layers), county, "within", a_geom=XY)
-    return inside.groupBy(F.col("GEOID").alias("county_geoid")).agg(row_count().alias("n"))
+    hosting = partner_counts(county, _hospitals(layers), "contains", b_geom=XY)
+    return hosting.groupBy(F.col("GEOID").alias("county_geoid")).agg(F.sum("n_partners").alias("n"))
 
 
 @query(
@@ -389,8 +390,8 @@ def city_with_schools_at_risk(layers):
 def flooded_hospital_county_claims(layers):
     """Mean over hospital-claim pairs of a county, from per-county sums."""
     rows = _hospitals(layers, "COUNTYFIPS", where=F.col("STATEFP") == "12")
-    inside = spatial_join(rows, _floods(layers), "within", a_geom=XY, b_geom="flood_geom")
-    hospitals = inside.groupBy(F.col("COUNTYFIPS").alias("county_geoid")).agg(row_count().alias("n"))
+    inside = partner_counts(rows, _floods(layers), "within", a_geom=XY, b_geom="flood_geom")
+    hospitals = inside.groupBy(F.col("COUNTYFIPS").alias("county_geoid")).agg(F.sum("n_partners").alias("n"))
     # a county key begins with its state's, so the state filter holds for the claims too
     joined = _claim_sums(layers, "12").join(hospitals, "county_geoid")
     mean = F.try_divide(F.sum(F.col("paid") * F.col("n")), F.sum(F.col("claims") * F.col("n")).cast("double"))
@@ -440,12 +441,10 @@ def schools_in_flooded_tracts(layers):
     tracts = _polygons(layers, "census_tracts", "GEOID", where=has_prefix("GEOID", "22")).join(
         flooded, "GEOID", "left_semi"
     )
-    inside = spatial_join(
-        _schools(layers), tracts, "within", a_geom=XY, b_layer=_polygons(layers, "census_tracts")
-    )
-    joined = inside.withColumn("county_geoid", county_key()).join(
-        _county_names(layers, "22"), "county_geoid"
-    )
+    # stacked tracts of a county are one place, and a school there counts once
+    places = once(tracts.select(county_key().alias("county_geoid"), "geometry"), "geometry", ["county_geoid"])
+    inside = spatial_join(_schools(layers), places, "within", a_geom=XY)
+    joined = inside.join(_county_names(layers, "22"), "county_geoid")
     return top_n(joined, ["county_name"], F.count_distinct("SCHOOL_ID"), 5)
 
 
@@ -460,7 +459,8 @@ def _svi_of_point_tracts(name, points, key, point_where, tracts_where, column, a
     def run(layers):
         rows = layers[points].where(point_where.replace("p.", "")).select(key, *XY)
         tracts = _polygons(layers, "census_tracts", "GEOID", where=tracts_where.replace("g.", ""))
-        counts = spatial_join(rows, tracts, "within", a_geom=XY).groupBy("GEOID").agg(row_count().alias("n"))
+        hosting = partner_counts(tracts, rows, "contains", b_geom=XY)
+        counts = hosting.groupBy("GEOID").agg(F.sum("n_partners").alias("n"))
         values = layers["svi"].where(F.col(column).isNotNull() & F.col(column).between(0, 100))
         joined = values.join(counts, "GEOID")
         return joined.agg(F.round(weighted_avg(F.col(column), F.col("n")), 6).alias(alias))
@@ -677,8 +677,8 @@ def _point_rule(points, polygons):
     def run(layers):
         rows = layers[points].select(key, *XY)
         areas = _polygons(layers, polygons, F.col(group).alias("key"))
-        inside = join_layers(rows, points, areas, polygons, predicate="within")
-        return inside.groupBy("key").agg(row_count().alias("num_points"))
+        hosting = join_layers(areas, polygons, rows, points, predicate="contains", counted="num_points")
+        return hosting.groupBy("key").agg(F.sum("num_points").alias("num_points"))
 
 
 def _polygon_rule(a, b):
@@ -692,9 +692,8 @@ def _polygon_rule(a, b):
     def run(layers):
         left = _polygons(layers, a, F.col(group).alias("key"))
         right = _polygons(layers, b)
-        return join_layers(left, a, right, b, predicate="intersects").groupBy("key").agg(
-            row_count().alias("num_partners")
-        )
+        counted = join_layers(left, a, right, b, predicate="intersects", counted="num_partners")
+        return counted.groupBy("key").agg(F.sum("num_partners").alias("num_partners"))
 
 
 for _left, _right in JOIN_RULES["point_polygon"]:
@@ -732,7 +731,7 @@ OVERLAPS = "shared > 0 AND shared < least(area_a, area_b)"
               "GROUP BY a_key ORDER BY SUM(shared) DESC, a_key LIMIT 5"),
 )
 def overlap_area_topn(layers):
-    pairs = spatial_join(
+    pairs = partner_counts(
         _tracts(layers, "census_tracts_id", where="STATEFP = '12'"), _zctas(layers), "overlaps",
         a_geom="tract_geom", b_geom="zcta_geom", overlap_area="shared",
     )
@@ -748,12 +747,12 @@ def overlap_area_topn(layers):
 )
 def zcta_flood_overlap_area(layers):
     """Overlap magnitude per area; stacked floodplains add up."""
-    pairs = spatial_join(
-        _floods(layers), _zctas(layers), "overlaps",
-        a_geom="flood_geom", b_geom="zcta_geom", overlap_area="shared",
+    pairs = partner_counts(
+        _zctas(layers), _floods(layers), "overlaps",
+        a_geom="zcta_geom", b_geom="flood_geom", overlap_area="shared",
     )
     return pairs.groupBy("zcta_geoid").agg(
-        row_count().alias("num_floods"), F.round(F.sum("shared"), 6).alias("shared_area")
+        F.sum("n_partners").alias("num_floods"), F.round(F.sum("shared"), 6).alias("shared_area")
     )
 
 
@@ -763,7 +762,7 @@ def zcta_flood_overlap_area(layers):
               "GROUP BY a_key"),
 )
 def flood_coverage(layers):
-    pairs = spatial_join(
+    pairs = partner_counts(
         _tracts(layers), _floods(layers), "intersects",
         a_geom="tract_geom", b_geom="flood_geom", overlap_area="shared",
     )
@@ -793,8 +792,8 @@ _tract_pairs("polygon_equals", "equals", "shared = area_a AND shared = area_b")
 )
 def polygon_contains(layers):
     county = _polygons(layers, "county", F.col("GEOID").alias("county_geoid"), geom="county_geom")
-    pairs = spatial_join(county, _floods(layers), "contains", a_geom="county_geom", b_geom="flood_geom")
-    return pairs.groupBy("county_geoid").agg(row_count().alias("num_inside"))
+    counted = partner_counts(county, _floods(layers), "contains", a_geom="county_geom", b_geom="flood_geom")
+    return counted.groupBy("county_geoid").agg(F.sum("n_partners").alias("num_inside"))
 
 
 @query(
@@ -866,7 +865,7 @@ def _edge_distance_sql():
 def tracts_near_hospitals(layers):
     """Distance from polygons to points, zero inside."""
     tracts = _polygons(layers, "census_tracts", "GEOID", valid=False, geom="tract_geom")
-    pairs = distance_join(tracts, _hospitals(layers), 0.25, a_geom="tract_geom", b_geom=XY)
-    return pairs.groupBy("GEOID").agg(
-        row_count().alias("num_near"), F.round(F.min("distance"), 6).alias("nearest")
+    near = near_counts(tracts, _hospitals(layers), 0.25, a_geom="tract_geom", b_geom=XY)
+    return near.groupBy("GEOID").agg(
+        F.sum("n_near").alias("num_near"), F.round(F.min("nearest"), 6).alias("nearest")
     )
