@@ -14,7 +14,7 @@ from . import geometry as g
 
 _GEOMETRY = (
     "STRUCT<rings: ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>, xmin: DOUBLE, ymin: DOUBLE,"
-    " xmax: DOUBLE, ymax: DOUBLE, valid: BOOLEAN>"
+    " xmax: DOUBLE, ymax: DOUBLE, valid: BOOLEAN, corners: INT>"
 )
 _RECTANGLE = "STRUCT<xmin: DOUBLE, ymin: DOUBLE, xmax: DOUBLE, ymax: DOUBLE>"
 _NO_RINGS = "CAST(array() AS ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>)"
@@ -39,7 +39,7 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
         "st_point": (
             "x DOUBLE, y DOUBLE", _GEOMETRY,
             "CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN"
-            f" named_struct('rings', {_NO_RINGS}, 'xmin', x, 'ymin', y, 'xmax', x, 'ymax', y, 'valid', true) END",
+            f" named_struct('rings', {_NO_RINGS}, 'xmin', x, 'ymin', y, 'xmax', x, 'ymax', y, 'valid', true, 'corners', 0) END",
         ),
         "st_area": (one, "DOUBLE", g.polygon_area_sql("a")),
         "st_isvalid": (one, "BOOLEAN", "a.valid"),

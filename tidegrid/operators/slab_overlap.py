@@ -61,7 +61,7 @@ def slab_table(shapes: DataFrame, geom: str, edges_a_slab: int = EDGES_A_SLAB) -
         done = counts if last else counts.where("NOT __crowded")
         block = f"CAST(pmod(xxhash64(e), CAST(ceil(__n / {edges_a_slab}D) AS BIGINT)) AS INT) AS __block"
         parts.append(
-            touched.join(done, _KEY)
+            touched.join(_unsent(done), _KEY)
             .selectExpr(*_KEY, block, "e")
             .groupBy(*_KEY, "__block")
             .agg(F.collect_list("e").alias("__edges"))
@@ -69,7 +69,7 @@ def slab_table(shapes: DataFrame, geom: str, edges_a_slab: int = EDGES_A_SLAB) -
         if last:
             break
         k = 1 << _SPLIT
-        edges = touched.join(counts.where("__crowded").select(*_KEY), _KEY).selectExpr(
+        edges = touched.join(_unsent(counts.where("__crowded").select(*_KEY)), _KEY).selectExpr(
             "__pid", f"__lv - {_SPLIT} AS __lv", f"__cx * {k} AS __ox", "e"
         )
     out = parts[0]
@@ -78,6 +78,11 @@ def slab_table(shapes: DataFrame, geom: str, edges_a_slab: int = EDGES_A_SLAB) -
     return written(out, "slabs")
 
 
+def _unsent(df: DataFrame) -> DataFrame:
+    """Outlines and slabs take far more room in memory than on disk, so they are never sent to every executor."""
+    return df.hint("merge")
+
+
 def _tagged(slabs: DataFrame, tag: str) -> DataFrame:
     return slabs.withColumnsRenamed(
         {"__pid": f"__{tag}", "__lv": f"__lv_{tag}", "__cx": f"__cx_{tag}", "__block": f"__block_{tag}", "__edges": f"__e_{tag}"}
@@ -95,13 +100,13 @@ def _meetings(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     def finer(one: DataFrame, tag: str, other: DataFrame, to: str, test: str) -> DataFrame:
         lv, cx = f"__lv_{tag}", f"__cx_{tag}"
         return (
-            pairs.join(_levels(other, to), f"__{to}")
-            .join(_tagged(one, tag), f"__{tag}")
+            pairs.join(_unsent(_levels(other, to)), f"__{to}")
+            .join(_unsent(_tagged(one, tag)), f"__{tag}")
             .where(f"(__cx_{tag} + 1) * pow(2D, {lv}) >= __x0 AND __cx_{tag} * pow(2D, {lv}) <= __x1")
             .selectExpr("*", f"explode(filter(__levels_{to}, lv_ -> lv_ {test} {lv})) AS __lv_{to}")
             .drop(f"__levels_{to}")
             .selectExpr("*", f"shiftright({cx}, __lv_{to} - {lv}) AS __cx_{to}")
-            .join(_tagged(other, to), [f"__{to}", f"__lv_{to}", f"__cx_{to}"])
+            .join(_unsent(_tagged(other, to)), [f"__{to}", f"__lv_{to}", f"__cx_{to}"])
             .selectExpr("*", f"{cx} * pow(2D, {lv}) AS __lo", f"({cx} + 1) * pow(2D, {lv}) AS __hi")
         )
 
@@ -121,11 +126,11 @@ def _starts_inside(pairs: DataFrame, starts: DataFrame, tag: str, slabs: DataFra
     )
     return (
         pairs.select("__a", "__b")
-        .join(starts.withColumnRenamed("__pid", f"__{tag}"), f"__{tag}")
-        .join(_levels(slabs, to), f"__{to}")
+        .join(_unsent(starts.withColumnRenamed("__pid", f"__{tag}")), f"__{tag}")
+        .join(_unsent(_levels(slabs, to)), f"__{to}")
         .selectExpr("__a", "__b", "__ring", "__x", "__y", f"explode(__levels_{to}) AS __lv_{to}")
         .selectExpr("*", f"CAST(floor(__x / pow(2D, __lv_{to})) AS BIGINT) AS __cx_{to}")
-        .join(_tagged(slabs, to), [f"__{to}", f"__lv_{to}", f"__cx_{to}"])
+        .join(_unsent(_tagged(slabs, to)), [f"__{to}", f"__lv_{to}", f"__cx_{to}"])
         .selectExpr("__a", "__b", "__ring", f"{above} AS __t", f"{g.on_boundary_sql(f'__e_{to}', '__x', '__y')} AS __on")
         .groupBy("__a", "__b", "__ring")
         .agg(F.sum("__t").alias("__t"), F.max("__on").alias("__on"))
@@ -147,7 +152,7 @@ def measured_pairs(
         return df.selectExpr(f"__pid AS __{tag}", *[f"{geom}.{c} AS __{c}_{tag}" for c in g.BOUNDS])
 
     def taking_part(df, geom, tag):
-        return df.join(pairs.select(F.col(f"__{tag}").alias("__pid")).distinct(), "__pid", "left_semi").select("__pid", geom)
+        return df.join(_unsent(pairs.select(F.col(f"__{tag}").alias("__pid")).distinct()), "__pid", "left_semi").select("__pid", geom)
 
     def starts(df, geom):
         rings = df.selectExpr("__pid", f"posexplode({g.starts_sql(f'{geom}.rings')}) AS (__ring, __p)")
@@ -155,7 +160,7 @@ def measured_pairs(
 
     in_a, in_b = taking_part(a, a_geom, "a"), taking_part(b, b_geom, "b")
     slabs_a, slabs_b = slab_table(in_a, a_geom, edges_a_slab), slab_table(in_b, b_geom, edges_a_slab)
-    boxed = pairs.join(bounds(a, a_geom, "a"), "__a").join(bounds(b, b_geom, "b"), "__b")
+    boxed = pairs.join(_unsent(bounds(a, a_geom, "a")), "__a").join(_unsent(bounds(b, b_geom, "b")), "__b")
     boxed = boxed.selectExpr(
         "__a", "__b", "greatest(__xmin_a, __xmin_b) AS __x0", "least(__xmax_a, __xmax_b) AS __x1",
         "__ymin_a", "__ymax_a", "__ymin_b", "__ymax_b",

@@ -547,7 +547,8 @@ def _slab_pairs(
     def fetched(rows: DataFrame, side: _Side, tag: str) -> DataFrame:
         return rows.select(F.col("__pid").alias(f"__{tag}"), F.col("__area").alias(f"__area_{tag}"), *side.columns)
 
-    found = measured.join(fetched(rows_a, sa, "a"), "__a").join(fetched(rows_b, sb, "b"), "__b").where(test)
+    # by merging, since outlines take far more room in memory than on disk
+    found = measured.join(fetched(rows_a, sa, "a").hint("merge"), "__a").join(fetched(rows_b, sb, "b").hint("merge"), "__b").where(test)
     return found if overlap_area is None else found.withColumnRenamed("__shared", overlap_area)
 
 
