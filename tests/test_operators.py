@@ -179,3 +179,36 @@ def test_pruned_topk_is_exact_and_skips_blocks(spark):
     visits = block_visits(near, "query_vector", reach, directions, "floor").count()
     assert visits < 0.4 * near.count() * len(reach)
     assert cosine_topk_pruned(asked, items.limit(0), 3).count() == 0
+
+
+def test_crowded_groups_are_cut_by_their_own_size(spark, monkeypatch):
+    """A small group is one block however many rows the others have, so nothing of it is repeated."""
+    monkeypatch.setattr(rt, "VECTOR_BLOCK", 10)
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 10)
+    seen, spread = [], rt._in_blocks
+
+    def counting(*args):
+        out = spread(*args)
+        seen.append({r["__g0"]: r["n"] for r in out.groupBy("__g0").agg(F.count(F.lit(1)).alias("n")).collect()})
+        return out
+
+    monkeypatch.setattr(rt, "_in_blocks", counting)
+    rows = [(i, "many" if i < 35 else "few" if i < 40 else None, [float(i % 7), 1.0]) for i in range(43)]
+    q = spark.createDataFrame(rows, "query_id long, part string, query_vector array<float>")
+    v = spark.createDataFrame(rows, "item_id long, item_part string, item_vector array<float>")
+    got = rt.cosine_topk(q, v, 2, within=[("part", "item_part")])
+    assert got.groupBy("item_part").count().where("item_part = 'few'").first()["count"] == 10
+    assert seen == [{"many": 140, "few": 5, None: 3}] * 2
+
+
+@pytest.mark.parametrize("k", [0, 1, 3, 50])
+def test_best_of_rounded_scores(k):
+    """Scores that differ after the last digit are ties and go by column; those without a value come last."""
+    rng = np.random.default_rng(5)
+    scores = rng.integers(0, 9, (20, 30)) / 10 + rng.uniform(-4e-7, 4e-7, (20, 30))
+    scores[3, 4] = scores[5] = np.nan
+    kept = np.zeros(30, bool)
+    kept[[2, 11]] = True
+    ranks = np.argsort(np.argsort(-np.round(scores, rt.SCORE_DIGITS), axis=1, kind="stable"), axis=1)
+    rows, cols = rt._best(scores, np.full(20, k), kept)
+    assert sorted(zip(rows, cols)) == sorted(zip(*np.nonzero((ranks < k) | kept[None, :])))

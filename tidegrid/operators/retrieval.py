@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -16,23 +18,60 @@ from ..sources.storage import written
 # Rows of one block of vectors and of one block of queries; a task scores one
 # block of each, so neither side has to fit a task.
 VECTOR_BLOCK = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
+
+# Queries scored at a time inside a task.
+_SCORED_ROWS = 256
 
 # Scores are compared after rounding, so that ties do not hang on the order of
 # additions.
 SCORE_DIGITS = 6
 
 
-def _blocks(df: DataFrame, rows: int) -> int:
-    return max(1, -(-df.count() // rows))
+def _usable(vector: str) -> Column:
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+
 
+def _blocks(df: DataFrame, groups: list[str], rows: int, name: str) -> DataFrame:
+    """Into how many blocks the rows of each group are cut."""
+    return df.groupBy(*groups).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("long").alias(name))
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
+def _matched(a: DataFrame, b: DataFrame, groups: list[str]) -> DataFrame:
+    """Rows of equal groups; a missing value is a group of its own, as in a cogroup."""
+    if not groups:
+        return a.crossJoin(b)
+    b = b.withColumnsRenamed({n: f"{n}_r" for n in groups})
+    return a.join(b, reduce(and_, [F.col(n).eqNullSafe(F.col(f"{n}_r")) for n in groups])).drop(*[f"{n}_r" for n in groups])
 
-def _usable(vector: str) -> Column:
-    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+
+def _in_blocks(df: DataFrame, counts: DataFrame, groups: list[str], key: str, own, other) -> DataFrame:
+    """Each row in one block of its side, once for every block of the other side of its group."""
+    (n_own, block), (n_other, visited) = own, other
+    numbers = F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)
+    return _matched(df, counts, groups).select(
+        *df.columns, F.pmod(F.xxhash64(key), n_own).alias(block), F.explode(numbers).alias(visited)
+    )
+
+
+def _best(scores: np.ndarray, k: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best rounded scores of each row, ties by column, and of the kept columns.
+
+    Only scores that can be among them after rounding are sorted.
+    """
+    # scores without a value come last
+    order = np.where(np.isnan(scores), -np.inf, scores)
+    most = min(max(int(k.max(initial=0)), 0), scores.shape[1])
+    if not most:
+        return np.nonzero(np.broadcast_to(kept, scores.shape))
+    least = np.partition(order, -most, axis=1)[:, -most]
+    rows, cols = np.nonzero((order >= (least - 10.0**-SCORE_DIGITS)[:, None]) | kept[None, :])
+    value = np.round(order[rows, cols], SCORE_DIGITS)
+    sorted_ = np.lexsort((cols, -value, rows))
+    rows, cols = rows[sorted_], cols[sorted_]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = (rank < k[rows]) | kept[cols]
+    return rows[keep], cols[keep]
 
 
 def cosine_topk(
@@ -54,34 +93,35 @@ def cosine_topk(
             taken inside each such group
     forced  name of a boolean item column; those items are kept whatever their rank
 
-    Both sides are cut into hash blocks of bounded size and every pair of blocks
-    is scored as one matrix product, from which only its own best k leave, so
-    the quadratic part is never materialised and a crowded group is spread over
-    many tasks.  Returns query id, item id, score and rank, plus the item's
-    ``within`` columns; the rank of a forced item outside the best k is NULL.
-    Rows whose vector is NULL or holds a NULL take no part on either side.
+    Both sides of a group are cut into hash blocks of bounded size, as many as its
+    rows ask for, and every pair of blocks of a group is scored as a matrix
+    product, from which only its own best k leave, so the quadratic part is never
+    materialised and a crowded group is spread over many tasks.  Returns query
+    id, item id, score and rank, plus the item's ``within`` columns; the rank of
+    a forced item outside the best k is NULL.  Rows whose vector is NULL or holds
+    a NULL take no part on either side.
     """
     queries = queries.where(_usable(query_vector))
     vectors = vectors.where(_usable(item_vector))
-    n_query, n_vector = _blocks(queries, QUERY_BLOCK), _blocks(vectors, VECTOR_BLOCK)
     limit = F.lit(k) if isinstance(k, int) else F.col(k)
     groups = [f"__g{i}" for i in range(len(within))]
     q = queries.select(
         F.col(query_id).alias("__q"),
-        F.col(query_vector).cast("array<double>").alias("__qv"),
+        F.col(query_vector).alias("__qv"),
         limit.cast("int").alias("__k"),
         *[F.col(a).alias(n) for (a, _), n in zip(within, groups)],
-        F.pmod(F.xxhash64(query_id), F.lit(n_query).cast("long")).alias("__qb"),
-        F.explode(_numbers(n_vector)).alias("__vb"),
     )
     v = vectors.select(
         F.col(item_id).alias("__i"),
-        F.col(item_vector).cast("array<double>").alias("__iv"),
+        F.col(item_vector).alias("__iv"),
         (F.col(forced) if forced else F.lit(False)).alias("__forced"),
         *[F.col(b).alias(n) for (_, b), n in zip(within, groups)],
-        F.pmod(F.xxhash64(item_id), F.lit(n_vector).cast("long")).alias("__vb"),
-        F.explode(_numbers(n_query)).alias("__qb"),
     )
+    n_query, n_vector = _blocks(q, groups, QUERY_BLOCK, "__nq"), _blocks(v, groups, VECTOR_BLOCK, "__nv")
+    # stored, so that the planner knows how few they are
+    counts = written(_matched(n_query, n_vector, groups), "blocks")
+    q = _in_blocks(q, counts, groups, "__q", ("__nq", "__qb"), ("__nv", "__vb"))
+    v = _in_blocks(v, counts, groups, "__i", ("__nv", "__vb"), ("__nq", "__qb"))
     keys = [*groups, "__qb", "__vb"]
     types = {f.name: f.dataType.simpleString() for f in (*q.schema, *v.schema)}
     schema = ", ".join(
@@ -92,20 +132,22 @@ def cosine_topk(
         columns = ["__q", "__i", "__k", "__forced", *groups, "__score"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        a, b = np.stack(left["__qv"].to_numpy()), np.stack(right["__iv"].to_numpy())
-        norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-        scores = np.round((a @ b.T) / (norms + COSINE_EPSILON), SCORE_DIGITS)
         # columns in id order, so a stable sort settles ties by id
-        by_id = np.argsort(right["__i"].to_numpy(), kind="stable")
-        right, scores = right.iloc[by_id], scores[:, by_id]
-        ranks = np.argsort(np.argsort(-scores, axis=1, kind="stable"), axis=1)
-        keep = (ranks < left["__k"].to_numpy()[:, None]) | right["__forced"].to_numpy()[None, :]
-        rows, cols = np.nonzero(keep)
-        out = left.iloc[rows][["__q", "__k", *groups]].reset_index(drop=True)
-        out["__i"] = right["__i"].to_numpy()[cols]
-        out["__forced"] = right["__forced"].to_numpy()[cols]
-        out["__score"] = scores[rows, cols]
-        return out[columns]
+        right = right.iloc[np.argsort(right["__i"].to_numpy(), kind="stable")]
+        b = np.stack(right["__iv"].to_numpy()).astype(float)
+        lengths, kept = np.linalg.norm(b, axis=1), right["__forced"].to_numpy().astype(bool)
+        parts = []
+        for at in range(0, len(left), _SCORED_ROWS):
+            some = left.iloc[at : at + _SCORED_ROWS]
+            a, most = np.stack(some["__qv"].to_numpy()).astype(float), some["__k"].fillna(0).to_numpy()
+            scores = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * lengths[None, :] + COSINE_EPSILON)
+            rows, cols = _best(scores, most, kept)
+            out = some.iloc[rows][["__q", "__k", *groups]].reset_index(drop=True)
+            out["__i"] = right["__i"].to_numpy()[cols]
+            out["__forced"] = kept[cols]
+            out["__score"] = np.round(scores[rows, cols], SCORE_DIGITS)
+            parts.append(out[columns])
+        return pd.concat(parts, ignore_index=True)
 
     best = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(score, schema)
     order = Window.partitionBy("__q", *groups).orderBy(F.desc("__score"), "__i")
