@@ -212,3 +212,21 @@ def test_best_of_rounded_scores(k):
     ranks = np.argsort(np.argsort(-np.round(scores, rt.SCORE_DIGITS), axis=1, kind="stable"), axis=1)
     rows, cols = rt._best(scores, np.full(20, k), kept)
     assert sorted(zip(rows, cols)) == sorted(zip(*np.nonzero((ranks < k) | kept[None, :])))
+
+
+def test_shared_items_move_only_where_a_key_is_repeated(spark, monkeypatch):
+    rows = [(1, ["x", "x", "yy"], ["x", "yy", "yy"]), (2, ["a", None], [None, "a"]), (3, ["x"], None), (None, ["b"], ["b"])]
+    spread, counted = cmp.item_counts, []
+    monkeypatch.setattr(cmp, "item_counts", lambda df, *rest: counted.append(df.count()) or spread(df, *rest))
+    schema = "id long, l array<string>, r array<string>"
+
+    def best(rows):
+        found = cmp.top_shared_items(spark.createDataFrame(rows, schema), "id", "l", "r", 2)
+        return sorted((tuple(r) for r in found.collect()), key=repr)
+
+    want = [(1, "x", 1, 2), (1, "yy", 1, 1), (2, "a", 1, 1), (2, None, 1, 2), (None, "b", 1, 1)]
+    assert best(rows) == sorted(want, key=repr) and counted == []
+    # a key at two rows: the items of both are taken together, also where the key is missing
+    more = [(1, ["zzz"], ["x"]), (None, ["c", "c"], ["b", "c"])]
+    want = [(1, "x", 2, 2), (1, "yy", 1, 1), (2, "a", 1, 1), (2, None, 1, 2), (None, "b", 1, 1), (None, "c", 1, 2)]
+    assert best(rows + more) == sorted(want, key=repr) and counted == [4]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, written
 
 _NUMERIC = (T.NumericType,)
 
@@ -137,15 +137,35 @@ def multiset_jaccard(pairs: DataFrame, key: str, left: str, right: str) -> DataF
     )
 
 
+def _top_shared_in_row(pairs: DataFrame, key: str, left: str, right: str, n: int) -> DataFrame:
+    """The n longest common items of each row on its own, with their multiset count."""
+    longest = f"array_sort(transform(array_intersect(`{left}`, `{right}`), i_ -> struct(coalesce(-length(i_), 1) AS o, i_ AS item)))"
+    best = pairs.select(key, left, right, F.posexplode(F.expr(f"slice({longest}, 1, {n})")).alias("__at", "__best"))
+    n_left, n_right = (f"size(filter(`{c}`, i_ -> i_ <=> __best.item))" for c in (left, right))
+    return best.selectExpr(
+        f"`{key}`", "__best.item AS item", f"CAST(least({n_left}, {n_right}) AS BIGINT) AS matches", "CAST(__at + 1 AS BIGINT) AS rank"
+    )
+
+
 def top_shared_items(pairs: DataFrame, key: str, left: str, right: str, n: int = 5) -> DataFrame:
-    """The n longest items common to both arrays, with their multiset count."""
-    counts = item_counts(pairs, key, left, right).withColumn(
+    """The n longest items common to both arrays, with their multiset count.
+
+    The arrays of a key that has one row are compared inside the row.  Those of a
+    repeated key are taken together, spread by item.
+    """
+    repeated = written(pairs.groupBy(F.col(key).alias("__key")).count().where("count > 1").select("__key"), "repeated-keys")
+    if repeated.isEmpty():
+        return _top_shared_in_row(pairs, key, left, right, n)
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    single, several = pairs.join(repeated, same, "left_anti"), pairs.join(repeated, same, "left_semi")
+    counts = item_counts(several, key, left, right).withColumn(
         "matches", F.least("n_left", "n_right")
     )
     longest = Window.partitionBy(key).orderBy(F.length("item").desc(), "item")
-    return (
+    ranked = (
         counts.where(F.col("matches") > 0)
         .withColumn("rank", F.row_number().over(longest).cast("long"))
         .where(F.col("rank") <= n)
         .select(key, "item", "matches", "rank")
     )
+    return _top_shared_in_row(single, key, left, right, n).unionByName(ranked)
