@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.storage import written
 
 # Up to this many edges all pairs of a row are compared in place.
 IN_ROW_EDGES = 64
@@ -79,23 +80,31 @@ def flag_valid(
 ) -> DataFrame:
     """Add a boolean column telling whether each polygon is valid.
 
-    The edges of large outlines are checked under 128 bits of the outline
-    itself, once per different outline, so null and repeated keys do not
-    matter; ``key`` is kept for callers and not needed to tell rows apart.
+    Every different outline is checked once, large ones under 128 bits of the
+    outline itself, so null and repeated keys do not matter; ``key`` is kept
+    for callers and not needed to tell rows apart.
     """
     columns = [c for c in df.columns if c != flag]
-    staged = df.withColumn("__clean", F.expr(g.clean_rings_sql(rings))).withColumn(
-        "__es", F.expr(g.numbered_edges_sql("__clean"))
-    )
+    rows = df.select(*columns)
     corners = f"aggregate({rings}, 0, (n_, r_) -> n_ + size(r_))"
     small = F.expr(f"coalesce({corners}, 0) <= {in_row_edges}")
     shape_ok = g.shape_ok_sql("__clean")
-    in_row = staged.where(small).selectExpr(
-        *columns,
-        f"coalesce({shape_ok} AND NOT {g.clashes_in_row_sql('__es')}, false) AS {flag}",
+
+    def staged(df: DataFrame) -> DataFrame:
+        cleaned = df.withColumn("__clean", F.expr(g.clean_rings_sql(rings)))
+        return cleaned.withColumn("__es", F.expr(g.numbered_edges_sql("__clean")))
+
+    # every different outline once; only those found unsound go back to the rows.  The flag is stored before it is
+    # asked for, since a filter on it would work the edges out again for each of its terms.
+    sound = f"coalesce({shape_ok} AND NOT {g.clashes_in_row_sql('__es')}, false)"
+    different = staged(rows.where(small).select(rings).distinct())
+    checked = written(different.selectExpr(f"`{rings}` AS __unsound", f"{sound} AS __sound"), "checked-outlines")
+    unsound = written(checked.where("NOT __sound").select("__unsound", F.lit(True).alias("__found")), "unsound-outlines")
+    in_row = rows.where(small).join(unsound, F.col(rings).eqNullSafe(F.col("__unsound")), "left").selectExpr(
+        *[f"`{c}`" for c in columns], f"__found IS NULL AS {flag}"
     )
     outline = ["__outline_a", "__outline_b"]
-    large = staged.where(~small).selectExpr(
+    large = staged(rows.where(~small)).selectExpr(
         "*", "xxhash64(__es) AS __outline_a", "xxhash64(17, __es) AS __outline_b"
     )
     shapes = large.select(*outline, "__es").dropDuplicates(outline)
