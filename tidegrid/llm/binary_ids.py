@@ -72,18 +72,21 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     values[escaped] = (np.uint64(1) << BITS[widest[escaped]].astype(np.uint64)) - np.uint64(1)
     fit = np.minimum(fit, widest)
 
-    # for every place the selector with the most slots whose next ids all fit; the end of a block may leave slots empty
-    place = np.arange(n, dtype=np.int32)
+    # for every place the selector with the most slots whose next ids all fit; the end of a block may leave slots empty.
+    # Blocks stand side by side with narrow ids behind them; the widest id of a window comes from two shorter windows.
     end = np.minimum((of + 1) * block, n).astype(np.int32)
-    left = end - place
-    selector = np.full(n, len(SLOTS) - 1, np.int8)
+    padded = np.zeros((blocks, block + int(SLOTS.max())), np.uint8)
+    padded[:, :block].flat[:n] = fit
+    widest, window = padded, 1
+    chosen_for = np.full((blocks, block), len(SLOTS) - 1, np.int8)
     for s in range(len(SLOTS) - 2, 1, -1):
-        wide = fit > s
-        at = np.flatnonzero(wide)
-        if len(at) and max(at[0], n - at[-1], np.diff(at).max(initial=0)) <= min(SLOTS[s], block):
-            break  # no run is long enough for this selector, nor for one with more slots
-        too_wide = np.minimum.accumulate(np.where(wide, place, np.int32(n))[::-1])[::-1]  # next id that does not fit
-        selector[too_wide - place >= np.minimum(np.int32(SLOTS[s]), left)] = s
+        step = int(SLOTS[s]) - window
+        widest, window = np.maximum(widest[:, : widest.shape[1] - step], widest[:, step:]), int(SLOTS[s])
+        fits = widest[:, :block] <= s
+        if not fits.any():
+            break  # nor does any window of more slots
+        chosen_for[fits] = s
+    selector = chosen_for.reshape(-1)[:n]
     # walk all blocks side by side
     at, bound, heads = starts.copy(), starts + sizes, []
     while len(at):

@@ -11,6 +11,7 @@ Other files are encoded as whole texts.
 
 from __future__ import annotations
 
+import array
 import itertools
 import json
 import os
@@ -27,6 +28,12 @@ from .common import text_slices
 
 #: letters and closing marks whose lower case and composition are the same in every Unicode version
 _LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: how the byte-level step spells letters beyond ASCII: the bytes of 0xA1 to 0xFF but 0xAD stand for themselves, 0x80 to
+#: 0xA0 and 0xAD for the characters from U+0122 on
+_SPELT = {
+    c: "".join(chr(0x122 + b - 0x80) if b <= 0xA0 else "\u0143" if b == 0xAD else chr(b) for b in chr(c).encode())
+    for c in range(0xC0, 0x100)
+}
 #: a control character that stands between pieces handed over in one string
 _BETWEEN = "\x01"
 #: fixed value: the pattern by which such a file parts its texts
@@ -75,6 +82,7 @@ class PieceEncoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.forget()
         (self.between,) = self._plain(_BETWEEN)
+        self.word_ids = self.tokenizer.model.tokenize
 
     def forget(self) -> None:
         self.known, self.held = {"": b""}, 0
@@ -96,6 +104,14 @@ class PieceEncoder:
                 start = end + 4
         self.held += 200 * len(pieces) + sum(map(len, pieces))
 
+    def _encode_words(self, words: list[str]) -> None:
+        """Lower-case Latin words: nothing is left to normalise or to part, so they go to the file's model as they are."""
+        known, word_ids = self.known, self.word_ids
+        for word in words:
+            spelt = word if word.isascii() else word.translate(_SPELT)
+            known[word] = array.array("I", [t.id for t in word_ids(spelt)]).tobytes()
+        self.held += 200 * len(words) + sum(map(len, words))
+
     def learn(self, pieces: set[str]) -> list[str]:
         """Make every piece known; the table is emptied first when it has grown past its bound in bytes.
 
@@ -112,8 +128,9 @@ class PieceEncoder:
                 parts[piece] = m[1].lower(), m[2]
             else:
                 new.append(piece)
-        new += {p for pair in parts.values() for p in pair}.difference(known)
+        new += {marks for _, marks in parts.values()}.difference(known)
         self._encode(new)
+        self._encode_words(list({letters for letters, _ in parts.values()}.difference(known)))
         for piece in odd:
             known[piece] = np.array(self._plain(piece), "<u4").tobytes()
         for piece, (letters, marks) in parts.items():
