@@ -71,6 +71,18 @@ def clashing_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.join(others, [*key, *_CELL]).where(clash).select(*key).distinct()
 
 
+def _outline_code(rings: str, names: Sequence[str]) -> list[str]:
+    """Two columns of 64 bits that tell outlines apart.
+
+    Hashes run through nested arrays, see no ends of rings and skip what is null, so the lengths of the rings and the
+    places without coordinates are hashed too.
+    """
+    lengths = f"transform({rings}, r_ -> size(r_))"
+    missing = f"transform(flatten({rings}), p_ -> int(p_.x IS NULL) + 2 * int(p_.y IS NULL))"
+    told = f"{rings} IS NULL, {lengths}, {missing}, {rings}"
+    return [f"xxhash64({told}) AS {names[0]}", f"xxhash64(17, {told}) AS {names[1]}"]
+
+
 def flag_valid(
     df: DataFrame,
     key: Sequence[str] | str,
@@ -94,16 +106,18 @@ def flag_valid(
         cleaned = df.withColumn("__clean", F.expr(g.clean_rings_sql(rings)))
         return cleaned.withColumn("__es", F.expr(g.numbered_edges_sql("__clean")))
 
-    # every different outline once; only those found unsound go back to the rows.  The flag is stored before it is
-    # asked for, since a filter on it would work the edges out again for each of its terms.
+    # Every different outline once; only those found unsound go back to the rows, by their code, so that neither side of
+    # that join is sorted by whole outlines.  The flag is stored before it is asked for, since a filter on it would work
+    # the edges out again for each of its terms.
+    outline = ["__outline_a", "__outline_b"]
+    in_code = _outline_code(rings, outline)
     sound = f"coalesce({shape_ok} AND NOT {g.clashes_in_row_sql('__es')}, false)"
     different = staged(rows.where(small).select(rings).distinct())
-    checked = written(different.selectExpr(f"`{rings}` AS __unsound", f"{sound} AS __sound"), "checked-outlines")
-    unsound = written(checked.where("NOT __sound").select("__unsound", F.lit(True).alias("__found")), "unsound-outlines")
-    in_row = rows.where(small).join(unsound, F.col(rings).eqNullSafe(F.col("__unsound")), "left").selectExpr(
+    checked = written(different.selectExpr(*in_code, f"{sound} AS __sound"), "checked-outlines")
+    unsound = written(checked.where("NOT __sound").select(*outline, F.lit(True).alias("__found")), "unsound-outlines")
+    in_row = rows.where(small).selectExpr("*", *in_code).join(unsound, outline, "left").selectExpr(
         *[f"`{c}`" for c in columns], f"__found IS NULL AS {flag}"
     )
-    outline = ["__outline_a", "__outline_b"]
     large = staged(rows.where(~small)).selectExpr(
         "*", "xxhash64(__es) AS __outline_a", "xxhash64(17, __es) AS __outline_b"
     )
