@@ -35,3 +35,10 @@ def test_words_take_as_many_ids_as_fit(n):
             kept, used = kept[slots[s] :], used + 1
         greedy.append(used)
     assert n_words.tolist() == greedy
+
+
+def test_a_plain_word_is_held_once():
+    encode = tokens.PieceEncoder(tokens.tokenizer_path("word_bpe_49k.json"))
+    (ids,) = encode(["harbour Zürich harbour"])
+    assert ids == np.array(encode._plain("harbour Zürich harbour"), "<u4").tobytes()
+    assert encode.held == 2 * 200 + len("harbourzürich")

@@ -85,7 +85,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         fits = widest[:, :block] <= s
         if not fits.any():
             break  # nor does any window of more slots
-        chosen_for[fits] = s
+        chosen_for -= fits.view(np.int8)  # where this one fits, so did all before it
     selector = chosen_for.reshape(-1)[:n]
     # walk all blocks side by side
     at, bound, heads = starts.copy(), starts + sizes, []

@@ -120,16 +120,21 @@ class PieceEncoder:
         if self.held > self.limit:
             self.forget()
         known = self.known
-        new, parts, odd = [], {}, []
+        new, words, parts, odd = [], [], {}, []
         for piece in pieces.difference(known):
-            if _BETWEEN in piece or len(piece) > _LONG:
+            if len(piece) <= _LONG and piece.isascii() and piece.isalpha() and piece.islower():
+                words.append(piece)
+            elif _BETWEEN in piece or len(piece) > _LONG:
                 odd.append(piece)
-            elif (m := _LATIN.fullmatch(piece)) is not None:
-                parts[piece] = m[1].lower(), m[2]
-            else:
+            elif (m := _LATIN.fullmatch(piece)) is None:
                 new.append(piece)
+            elif (letters := m[1].lower()) == piece:
+                words.append(piece)
+            else:
+                parts[piece] = letters, m[2]
         new += {marks for _, marks in parts.values()}.difference(known)
         self._encode(new)
+        self._encode_words(words)
         self._encode_words(list({letters for letters, _ in parts.values()}.difference(known)))
         for piece in odd:
             known[piece] = np.array(self._plain(piece), "<u4").tobytes()
