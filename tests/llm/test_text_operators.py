@@ -243,6 +243,13 @@ def test_top_k(spark):
     assert top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_sends_no_blocks_to_the_driver(spark):
+    """Blocks of queries are copied for every line of the grid, so they are not broadcast however small they look."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
+    plan = top_k(df, df.where("vec_id % 100 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_language(spark, docs, none):
     langs = {"aa": "ka ko ki ku".split(), "bb": "zor zer zir zur".split()}
     rows = [(i, " ".join(rng.choice(langs[x]) for _ in range(30)), x) for i in range(80) for x in ("aa", "bb")]

@@ -143,7 +143,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: float =
     ties go to the smaller vec_id. Only vectors of the query's length are compared.
 
     Blocks of queries meet blocks of vectors in a grid of tasks: each task has one share of either, so with P tasks
-    neither table is copied more than about sqrt(P) times, weighted by their sizes, and nothing is broadcast by force.
+    neither table is copied more than about sqrt(P) times, weighted by their sizes. They meet by merging: on disk the blocks
+    of queries may look small enough to broadcast, but the driver would have to hold them once for every line of the grid.
     A task keeps the best k of the queries at hand from block to block; the best of all tasks are ranked at the end.
 
     Rows with null ids or null, missing or non-finite components take no part. Rows that share a vec_id are candidates
@@ -172,7 +173,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: float =
         .join(
             file.withColumn("line", share(lines))
             .withColumn("column", every(columns))
-            .select("dim", "line", "column", F.struct(*file.columns).alias("block")),
+            .select("dim", "line", "column", F.struct(*file.columns).alias("block"))
+            .hint("merge"),
             ["dim", "line", "column"],
         )
         .select("batch", "asked", "block")
