@@ -8,6 +8,7 @@ from tests import shapes as sh
 from tidegrid.functions import geometry as g
 from tidegrid.operators import spatial_join as sj
 from tidegrid.operators.copies import once
+from tidegrid.plans.registry import all_queries
 
 
 @pytest.fixture
@@ -89,3 +90,47 @@ def test_rings_that_end_elsewhere_are_other_outlines(spark):
     area = spark.createDataFrame(rows, "id long, r array<array<struct<x:double,y:double>>>")
     area = area.select("id", g.make_polygon("r", "false").alias("geometry"))
     assert sorted(r[0] for r in once(area, "geometry").select("__n").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("predicate", ["intersects", "touches", "equals"])
+def test_pairs_of_copies_come_from_pairs_of_outlines(left, right, joined_rows, predicate):
+    a, b = copies(left, 3), copies(right, 2).withColumnRenamed("copy", "other_copy")
+    brute = {"intersects": g.intersects, "touches": g.touches, "equals": g.equals}[predicate]
+    columns = ["a_id", "copy", "b_id", "other_copy"]
+    want = ids(a.crossJoin(b).where(brute("a_geom", "b_geom")), *columns)
+    kw = {"a_geom": "a_geom", "b_geom": "b_geom", "copies_once": True}
+    assert ids(sj.spatial_join(a, b, predicate, **kw), *columns) == want
+    assert max(joined_rows[0]) <= 70
+    # every geometry has more rows than a block
+    assert ids(sj.spatial_join(a, b, predicate, block_rows=1, **kw), *columns) == want
+
+
+def test_pairs_of_copies_with_keys_points_and_shared_areas(left, right, points):
+    a = copies(left, 2).withColumn("part", F.col("a_id") % 2)
+    b = right.withColumn("other", F.when(F.col("b_id") % 5 > 0, F.col("b_id") % 2))
+    same = a.crossJoin(b).where("part = other").where(g.intersects("a_geom", "b_geom"))
+    want = same.select("a_id", "copy", "b_id", g.intersection_area("a_geom", "b_geom").alias("shared"))
+    got = sj.spatial_join(
+        a, b, "intersects", a_geom="a_geom", b_geom="b_geom", partition_keys=[("part", "other")], overlap_area="shared",
+        copies_once=True,
+    )
+    assert got.columns == [*a.columns, *b.columns, "shared"]
+    want, got = ({tuple(r)[:3]: r["shared"] for r in f.collect()} for f in (want, got.select("a_id", "copy", "b_id", "shared")))
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    spots = copies(points, 2)
+    inside = ids(left.crossJoin(spots).where(g.contains_xy("a_geom", "lon", "lat")), "a_id", "p_id", "copy")
+    found = sj.spatial_join(left, spots, "contains", a_geom="a_geom", b_geom=("lon", "lat"), copies_once=True)
+    assert ids(found, "a_id", "p_id", "copy") == inside
+
+
+@pytest.mark.parametrize("name", ["touching_neighbours", "polygon_equals"])
+def test_tracts_of_one_outline_are_compared_once(spark, tmp_path, joined_rows, name):
+    """Twenty suppliers at each of two places side by side; a row comes twice, keys and places are missing."""
+    keys = [*range(0, 640, 32), *range(23, 640, 32)]
+    rows = [(k, "s", 0) for k in [*keys, 0, None]] + [(5, "s", None)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    met = {"touching_neighbours": lambda x, y: x % 32 != y % 32, "polygon_equals": lambda x, y: x % 32 == y % 32}[name]
+    want = [(f"48000{x:06}", f"48000{y:06}") for x in [*keys, 0] for y in [*keys, 0] if x < y and met(x, y)]
+    got = all_queries()[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert joined_rows == [(2, 2)]

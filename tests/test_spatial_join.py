@@ -156,3 +156,21 @@ def test_a_hot_cell_of_equal_rows_is_found_and_split(spark):
     points = spark.createDataFrame([(1.0, 1.0)] * 50, "lon double, lat double")
     got = spatial_join(points, area, "within", a_geom=("lon", "lat"), b_geom="shape", block_rows=7)
     assert got.count() == 1500
+
+
+def test_large_sides_are_not_broadcast(spark, tmp_path):
+    """Outlines that repeat are small on disk, whatever room they take once they are decoded and in cells."""
+    def stored(n, key, geom):
+        corner = lambda x, y: f"named_struct('x', CAST(id + {x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))"
+        ring = ", ".join(corner(x, y) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))
+        squares = spark.range(n).selectExpr(f"id AS {key}", f"array(array({ring})) AS r")
+        squares.select(key, g.make_polygon("r", "true").alias(geom)).write.parquet(f"{tmp_path}/{key}")
+        return spark.read.parquet(f"{tmp_path}/{key}")
+
+    def plan(a, b):
+        joined = spatial_join(a, b, "touches", a_geom="a_geom", b_geom="b_geom", split_hot=False)
+        return joined._jdf.queryExecution().executedPlan().toString()
+
+    large, other, few = stored(6_000, "a_id", "a_geom"), stored(6_000, "b_id", "b_geom"), stored(50, "c_id", "b_geom")
+    assert "Broadcast" not in plan(large, other)
+    assert "BroadcastHashJoin" in plan(large, few)

@@ -14,7 +14,9 @@ The levels in use and the extent of each layer are read beforehand by one small
 job over the bounds columns (two result rows).  Each extent becomes a filter on the
 other layer's bounds, which the parquet scan uses to skip row groups of a layer
 stored by place (the "one state only" filter, without being told the state).
-Catalyst then picks broadcast or sort-merge by size.  Rows per cell are counted from the
+Catalyst then picks broadcast or sort-merge by size, unless both sides are too large for a
+broadcast: it only knows their size on disk, where outlines take a small share of the room they
+need in memory, once per cell.  Rows per cell are counted from the
 bounds alone, and a cell that would hold too much work is split into blocks
 (see ``_split_hot_cells``).
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources.storage import written
 from .cell_cover import cell_cover, point_in_cell_sql
-from .copies import code, once
+from .copies import code, located, once
 from .slab_overlap import measured_pairs
 
 # Level of a point: finer than any polygon, so points never own a cell.
@@ -48,6 +50,10 @@ CUT_CORNERS = 1_000
 # A cell with more blocks than this on one side is split whatever the other side holds.
 FEW_BLOCKS = 4
 
+# Memory that a row and a corner of its outline take in a join, and the most that is broadcast.
+ROW_BYTES, CORNER_BYTES = 256, 80
+BROADCAST_BYTES = 10 << 20
+
 _CELL = ("__owner_level", "__cx", "__cy")
 
 SYMMETRIC = {"intersects", "overlaps", "touches", "equals"}
@@ -95,7 +101,7 @@ class _Side:
         return f"{self.geom}.corners" if "corners" in fields else g.corners_sql(f"{self.geom}.rings")
 
     def summary(self) -> DataFrame:
-        """Levels in use, extent and number of rows, as one row.
+        """Levels in use, extent and number of rows and corners, as one row.
 
         Both may come from a larger layer: more levels or a wider extent cost a
         little work and never change the result.
@@ -103,11 +109,16 @@ class _Side:
         b = self.bounds
         return self.layer.selectExpr(
             f"'{self.tag}' AS tag", f"collect_set({self.level}) AS levels", "count(1) AS n",
-            f"max({self.corners}) AS corners",
+            f"max({self.corners}) AS corners", f"sum({self.corners}) AS all_corners",
             f"CAST(min({b['x0']}) AS DOUBLE) AS x0", f"CAST(min({b['y0']}) AS DOUBLE) AS y0",
             f"CAST(max({b['x1']}) AS DOUBLE) AS x1", f"CAST(max({b['y1']}) AS DOUBLE) AS y1",
         )
 
+    def room(self, own: Row) -> int:
+        """Bytes that the rows take in memory, once per cell; ``own`` is the summary."""
+        cells = 4 if self.has_extent else 1
+        return cells * (own["n"] * ROW_BYTES + (own["all_corners"] or 0) * CORNER_BYTES)
+
     def bounds_only(self) -> _Side:
         """The same side over nothing but what its bounds are read from.
 
@@ -273,6 +284,8 @@ def _candidates(a: _Side, b: _Side, summary, partition_keys, split_hot, block_ro
         if split_hot or not hot.isEmpty():
             left, right = _split_hot_cells(left, right, hot)
             keys += ["__block_a", "__block_b"]
+    if min(a.room(summary["a"]), b.room(summary["b"])) > BROADCAST_BYTES:
+        left = left.hint("merge")
     return left, right, keys
 
 
@@ -298,6 +311,7 @@ def spatial_join(
     split_hot: bool | None = None,
     block_rows: int = BLOCK_ROWS,
     cut_corners: int = CUT_CORNERS,
+    copies_once: bool = False,
 ) -> DataFrame:
     """Join two layers where ``predicate(a, b)`` holds.
 
@@ -315,6 +329,8 @@ def spatial_join(
     split_hot       split crowded cells: None looks whether there are any, True
                     splits without looking first, False never splits
     cut_corners     polygons with more corners are cut per cell (``cell_cover``)
+    copies_once     compare every different geometry once and make the pairs of rows
+                    from that, where a layer holds many copies (inner only)
     """
     if predicate not in POLYGON_PREDICATES:
         raise ValueError(f"unknown spatial predicate {predicate!r}")
@@ -329,6 +345,9 @@ def spatial_join(
             raise ValueError("left_key is needed for semi and anti joins of polygons")
         limits = {"split_hot": split_hot, "block_rows": block_rows, "cut_corners": cut_corners}
         return _with_match(a, b, predicate, how, a_geom, b_geom, partition_keys, left_key, limits)
+    if copies_once:
+        limits = {"split_hot": split_hot, "block_rows": block_rows, "cut_corners": cut_corners}
+        return _pairs_of_rows(a, b, predicate, a_geom, b_geom, partition_keys, overlap_area, limits)
     sa = _Side(a, a_geom, "a", layer=a_layer)
     sb = _Side(b, b_geom, "b", layer=b_layer)
     summary = _summaries(sa, sb)
@@ -409,6 +428,48 @@ def _with_match(a, b, predicate, how, a_geom, b_geom, partition_keys, left_key,
     return a.join(found, columns, how).select(*a.columns)
 
 
+def _pairs_of_rows(a, b, predicate, a_geom, b_geom, partition_keys, overlap_area, limits) -> DataFrame:
+    """Pairs of rows made from the pairs of their geometries.
+
+    Rows of either side go to the pairs their geometry is part of, those of a crowded geometry in blocks as in
+    ``_split_hot_cells``, so no task has to take more than a block of either side at once.  Nothing is broadcast.
+    """
+    left, right, joined, by_a = _sides_once(a, b, a_geom, b_geom, partition_keys)
+    codes_b = {f"__to{i}": c for i, c in enumerate(code(joined["b_geom"]).values())}
+    keys_b = {n: F.col(kb) for (_, kb), (_, n) in zip(partition_keys, joined["partition_keys"])}
+    by_b = [*codes_b, *keys_b]
+    measure = [] if overlap_area is None else ["__shared"]
+    met = spatial_join(
+        left, right.withColumns(codes_b), predicate, **joined, overlap_area=measure[0] if measure else None, **limits
+    )
+    met = written(
+        met.select(
+            *by_a, *by_b, *measure,
+            F.ceil(F.col("__rows") / limits["block_rows"]).alias("__blocks_a"),
+            F.ceil(F.col("__n") / limits["block_rows"]).alias("__blocks_b"),
+            F.monotonically_increasing_id().alias("__pair"),
+        ),
+        "met-outlines",
+    )
+    join_on = ["__pair", "__block_a", "__block_b"]
+
+    def spread(rows, by, columns, mine, theirs):
+        return (
+            rows.withColumn("__row", F.monotonically_increasing_id())
+            .join(met.select(*by, "__pair", "__blocks_a", "__blocks_b", *measure).hint("merge"), by)
+            .withColumn(f"__block_{mine}", F.pmod(F.xxhash64("__row"), F.col(f"__blocks_{mine}")))
+            .withColumn(f"__block_{theirs}", F.explode(F.sequence(F.lit(0), F.col(f"__blocks_{theirs}") - 1)))
+            .select(*columns, *join_on)
+        )
+
+    rows_a = located(a, a_geom).withColumns(code(a_geom))
+    rows_b = located(b, b_geom).withColumns({n: c for n, c in zip(codes_b, code(b_geom).values())} | keys_b)
+    pairs = spread(rows_a, by_a, [*a.columns, *measure], "a", "b").join(
+        spread(rows_b, by_b, b.columns, "b", "a").hint("merge"), join_on
+    )
+    return pairs.select(*a.columns, *b.columns, *[F.col(c).alias(overlap_area) for c in measure])
+
+
 def partner_counts(
     a: DataFrame,
     b: DataFrame,

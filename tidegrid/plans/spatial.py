@@ -777,7 +777,7 @@ def _tract_pairs(name, predicate, condition):
     )
     def run(layers):
         left, right = _tracts(layers, "tract_a", "geom_a"), _tracts(layers, "tract_b", "geom_b")
-        pairs = spatial_join(left, right, predicate, a_geom="geom_a", b_geom="geom_b")
+        pairs = spatial_join(left, right, predicate, a_geom="geom_a", b_geom="geom_b", copies_once=True)
         return pairs.where("tract_a < tract_b").select("tract_a", "tract_b")
 
 
