@@ -8,6 +8,7 @@ from tests import shapes as sh
 from tidegrid.functions import geometry as g
 from tidegrid.operators import spatial_join as sj
 from tidegrid.operators.copies import once
+from tidegrid.plans.layers import DerivedLayers
 from tidegrid.plans.registry import all_queries
 
 
@@ -134,3 +135,31 @@ def test_tracts_of_one_outline_are_compared_once(spark, tmp_path, joined_rows, n
     got = all_queries()[name](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert joined_rows == [(2, 2)]
+
+
+def test_chain_of_copies_is_joined_by_outlines(spark, tmp_path, joined_rows):
+    """Rows come again, outlines come again under other keys, and keys and places are missing."""
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    stored("nation", [(n, f"n{n}") for n in [0, 1, 6, 6, None]], "n_nationkey int, n_name string")
+    suppliers = [(k + 32 * c, "s", n) for n in (0, 1, 6) for k in range(8) for c in range(3)]
+    suppliers += [suppliers[0], (None, "s", 0), (5, "s", None)]
+    stored("supplier", suppliers, "s_suppkey long, s_name string, s_nationkey int")
+    orders = [(k + c * 1280 * 1280, "1-URGENT") for k in range(400) for c in range(2)]
+    stored("orders", [*orders, *orders[:300], (None, "1-URGENT")], "o_orderkey long, o_orderpriority string")
+
+    layers = DerivedLayers(spark, str(tmp_path))
+    tracts, zctas, floods = (layers[n].where("geometry.valid") for n in ("census_tracts", "zcta", "floodplain"))
+    tracts = tracts.select(F.col("geometry").alias("t"))
+    zctas = zctas.select(F.col("GEOID").alias("zcta_geoid"), F.col("geometry").alias("z"))
+    rows = tracts.join(zctas, g.overlaps("t", "z")).join(floods, g.intersects("t", "geometry"))
+    want = rows.groupBy("zcta_geoid").agg(F.count(F.lit(1)), F.count_distinct("GFID"))
+    want = sorted(map(tuple, want.collect()))
+    assert len(want) == 3 and all(n > 2 * k for _, n, k in want)
+    got = all_queries()["three_polygon_chain"](spark, str(tmp_path))
+    assert got.columns == ["zcta_geoid", "num_rows", "num_floods"]
+    assert sorted(map(tuple, got.collect())) == want
+    outlines = floods.select("geometry").distinct().count()
+    assert outlines < floods.count() / 2
+    assert joined_rows == [(24, 4), (24, outlines)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import county_key, has_prefix, tract_text
 from ..operators.aggregates import coverage_share, top_n, weighted_avg
 from ..operators.key_join import JOIN_RULES, _layer_of, join_layers
-from ..operators.copies import once
+from ..operators.copies import code, once
 from ..operators.spatial_join import distance_join, near_counts, partner_counts, spatial_join
 from . import sql as s
 from .registry import query
@@ -815,16 +815,25 @@ def polygon_within(layers):
     " FROM tz JOIN tf ON tz.a_key = tf.a_key GROUP BY tz.b_key",
 )
 def three_polygon_chain(layers):
-    """Tracts that overlap a ZIP area, and the floodplains they meet."""
+    """Tracts that overlap a ZIP area, and the floodplains they meet.
+
+    Every different outline is joined once; the tracts of one are a weight, and the floodplains get back to their rows
+    before they are counted.
+    """
+    tracts = once(_tracts(layers), "tract_geom", count="n_tracts").withColumns(code("tract_geom"))
+    by_tract = [*code("tract_geom")]
+    floods = _floods(layers)
+    codes = {f"flood{i}": c for i, c in enumerate(code("flood_geom").values())}
     overlapping = spatial_join(
-        _tracts(layers), _zctas(layers), "overlaps", a_geom="tract_geom", b_geom="zcta_geom"
-    ).select("GEOID", "zcta_geoid", "tract_geom")
-    chain = spatial_join(
-        overlapping, _floods(layers), "intersects",
-        a_geom="tract_geom", b_geom="flood_geom", a_layer=_tracts(layers),
-    )
-    return chain.groupBy("zcta_geoid").agg(
-        row_count().alias("num_rows"), F.count_distinct("GFID").alias("num_floods")
+        tracts, _zctas(layers), "overlaps", a_geom="tract_geom", b_geom="zcta_geom"
+    ).select(*by_tract, "n_tracts", "zcta_geoid")
+    met = spatial_join(
+        tracts, once(floods, "flood_geom").withColumns(codes), "intersects", a_geom="tract_geom", b_geom="flood_geom"
+    ).select(*by_tract, *codes)
+    chain = overlapping.join(met, by_tract).groupBy("zcta_geoid", *codes).agg(F.sum("n_tracts").alias("n_tracts"))
+    rows = floods.select("GFID", *[c.alias(n) for n, c in codes.items()]).join(chain, [*codes])
+    return rows.groupBy("zcta_geoid").agg(
+        F.sum("n_tracts").alias("num_rows"), F.count_distinct("GFID").alias("num_floods")
     )
 
 
