@@ -1,5 +1,7 @@
 """Joins that see every different geometry once, against brute force over all pairs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,8 @@ def test_chain_of_copies_is_joined_by_outlines(spark, tmp_path, joined_rows):
     got = all_queries()["three_polygon_chain"](spark, str(tmp_path))
     assert got.columns == ["zcta_geoid", "num_rows", "num_floods"]
     assert sorted(map(tuple, got.collect())) == want
+    # rows of the floodplains meet what was found by merging
+    assert re.search(r"\w+Join", got._jdf.queryExecution().executedPlan().toString())[0] == "SortMergeJoin"
     outlines = floods.select("geometry").distinct().count()
     assert outlines < floods.count() / 2
     assert joined_rows == [(24, 4), (24, outlines)]
